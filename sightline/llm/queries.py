@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, exact_dedup, language_id, packing, token_files
+from . import bpe, exact_dedup, language_id, packing, quality, token_files
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -17,6 +17,13 @@ def op2_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.round_trip(_table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.tiktoken"))
 
 
+def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents").withColumn("held_out", language_id.held_out(5, 0))
+    labels = _table(spark, sf_dir, "labels").where(~language_id.held_out(5, 0))
+    model = quality.fit(docs.where(~F.col("held_out")), labels)
+    return quality.score(docs, model, "held_out").select("doc_id", "held_out", "score", "predicted")
+
+
 def op4_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_groups(_table(spark, sf_dir, "documents"))
 
@@ -35,7 +42,7 @@ def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_id.predict(docs, model, "held_out").select("doc_id", "held_out", "lang_pred", "score")
 
 
-QUERIES = {f.__name__: f for f in (op2_byte_bpe, op4_exact_dedup, op5_packing, op7_token_files, op8_language_id)}
+QUERIES = {f.__name__: f for f in (op2_byte_bpe, op3_quality, op4_exact_dedup, op5_packing, op7_token_files, op8_language_id)}
 
 SQL = {
     "op4_exact_dedup": """
