@@ -167,7 +167,7 @@ class Merges:
         by = np.argsort(pairs[:, 2], kind="stable")
         self.new_of_rank = np.zeros(int(pairs[:, 2].max()) + 1, np.int32)
         self.new_of_rank[pairs[by, 2]] = pairs[by, 3]
-        self.first, self.last = first, last
+        self.first, self.last, self.pairs = first, last, pairs
 
     @staticmethod
     def _key(a, b):
