@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, exact_dedup, language_id, packing, quality, token_counts, token_files
+from . import bpe, exact_dedup, language_id, minhash, packing, quality, token_counts, token_files
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -42,11 +42,15 @@ def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_id.predict(docs, model, "held_out").select("doc_id", "held_out", "lang_pred", "score")
 
 
+def op9_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash.near_groups(_table(spark, sf_dir, "documents"))
+
+
 def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.count_tokens(_table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
 
-QUERIES = {f.__name__: f for f in (op2_byte_bpe, op3_quality, op4_exact_dedup, op5_packing, op7_token_files, op8_language_id, op10_token_counts)}
+QUERIES = {f.__name__: f for f in (op2_byte_bpe, op3_quality, op4_exact_dedup, op5_packing, op7_token_files, op8_language_id, op9_minhash, op10_token_counts)}
 
 SQL = {
     "op4_exact_dedup": """
