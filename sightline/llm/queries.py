@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, embedding_dedup, exact_dedup, language_id, minhash, packing, quality, token_counts, token_files
+from . import bpe, embedding_dedup, exact_dedup, language_id, minhash, packing, quality, substring_dedup, token_counts, token_files
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -32,6 +32,10 @@ def op4_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_groups(_table(spark, sf_dir, "documents"))
 
 
+def op6_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring_dedup.repeated_passages(_table(spark, sf_dir, "documents"))
+
+
 def op7_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files.round_trip(_table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), 0)
 
@@ -54,7 +58,7 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.count_tokens(_table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
 
-QUERIES = {f.__name__: f for f in (op1_embedding_dedup, op2_byte_bpe, op3_quality, op4_exact_dedup, op5_packing, op7_token_files, op8_language_id, op9_minhash, op10_token_counts)}
+QUERIES = {f.__name__: f for f in (op1_embedding_dedup, op2_byte_bpe, op3_quality, op4_exact_dedup, op5_packing, op6_substring_dedup, op7_token_files, op8_language_id, op9_minhash, op10_token_counts)}
 
 SQL = {
     "op4_exact_dedup": """
