@@ -197,6 +197,14 @@ def exact_groups(docs: DataFrame, keep: str = "largest") -> DataFrame:
 
 
 def drop_copies(docs: DataFrame, keep: str = "largest") -> DataFrame:
-    """The documents that stay, with all their columns."""
-    stay = exact_groups(docs, keep).where("kept").select(F.col("doc_id").alias("_stay"))
-    return docs.join(stay.distinct(), F.col("doc_id") == F.col("_stay"), "left_semi")
+    """The documents that stay, one row each, with all their columns; rows with a null doc_id go where another row has their text."""
+    groups = exact_groups(docs, keep)
+    stay = groups.where("kept").select(F.col("doc_id").alias("_id"), F.col("text_sha256").alias("_sha")).distinct()
+    nameless = groups.where("keep_id is null").select("text_sha256").distinct()
+    own = F.sha2(F.coalesce("text", F.lit("")).cast("binary"), 256)
+    rows = docs.join(stay, (F.col("doc_id") == F.col("_id")) & (own == F.col("_sha")), "left_semi")
+    n, ids = docs.agg(F.count("*"), F.countDistinct("doc_id")).first()
+    if n == ids:
+        return rows
+    rest = docs.where("doc_id is null").join(nameless, own == F.col("text_sha256"), "left_semi")
+    return rows.dropDuplicates(["doc_id", "text"]).unionByName(rest.dropDuplicates(["text"]))

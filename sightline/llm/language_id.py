@@ -161,6 +161,31 @@ def predict(docs: DataFrame, model: KernelModel | None, *extra: str) -> DataFram
     return rows.mapInPandas(run, schema)
 
 
+def accept(docs: DataFrame, model: KernelModel | None) -> DataFrame:
+    """The rows of a table whose text has a known language (not `und`), with all their columns."""
+    shared = docs.sparkSession.sparkContext.broadcast(model)  # landmarks x n-grams: bounded by `landmarks`
+
+    def run(batches):
+        m = shared.value
+        for b in batches:
+            if m is None:
+                continue
+            texts = b.column("text").to_pylist()
+            keep = []
+            for at in range(0, len(texts), 256):
+                codes = [grams(t) if t else np.zeros(0, np.int32) for t in texts[at : at + 256]]
+                known = np.array([len(g) > 0 for g in codes])
+                if known.any():
+                    s = m.scores([g for g in codes if len(g)])
+                    known[known] = np.isfinite(s.max(1)) & (s.max(1) > 0)
+                keep.append(known)
+            import pyarrow as pa
+
+            yield b.filter(pa.array(np.concatenate([np.zeros(0, bool), *keep])))
+
+    return docs.mapInArrow(run, docs.schema)
+
+
 def held_out(modulus: int, rest: int):
     """Whether crc32 of doc_id as text leaves this remainder."""
     return F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % modulus == rest, F.lit(False))

@@ -199,3 +199,9 @@ def near_groups(docs: DataFrame, percent: int = 85, size: int = 5) -> DataFrame:
     own = F.when(F.col("n_shingles") > 0, F.coalesce("component_id", "id")).otherwise(F.col("doc_id"))
     out = member.select("doc_id", "n_shingles", F.coalesce(own, F.col("doc_id")).alias("component_id"))
     return out.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(False)))
+
+
+def drop_near_copies(docs: DataFrame, percent: int = 85, size: int = 5) -> DataFrame:
+    """One document of each group, with all its columns; rows with a null doc_id stay."""
+    gone = near_groups(docs, percent, size).where("not kept and doc_id is not null").select(F.col("doc_id").alias("_gone"))
+    return docs.join(gone.distinct(), F.col("doc_id") == F.col("_gone"), "left_anti")
