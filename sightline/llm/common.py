@@ -57,6 +57,14 @@ def documents(df: DataFrame, *extra: str) -> DataFrame:
     return df.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"), *extra)
 
 
+def fresh(df: DataFrame, name: str) -> str:
+    """A column name that df does not have."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name = "_" + name
+    return name
+
+
 def tasks(spark: SparkSession, least: int = 1) -> int:
     """Partitions for shuffles that are set by hand."""
     return max(least, int(spark.conf.get("spark.sql.shuffle.partitions")))
