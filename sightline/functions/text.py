@@ -49,9 +49,10 @@ def reading_order(lines: Column) -> Column:
 
 
 def outer_json(c: Column) -> Column:
-    """From the first { to the last }, or null."""
+    """From the first { to the last }, or null if that is no JSON."""
     x = F.regexp_extract(c, r"(?s)\{.*\}", 0)
-    return F.when(x != "", x)
+    one = F.json_array_length(F.concat(F.lit("["), x, F.lit("]"))) == 1  # a parser alone would pass by what follows the first value
+    return F.when(one, x)
 
 
 def fenced_json(c: Column) -> Column:
