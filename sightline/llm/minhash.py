@@ -40,6 +40,8 @@ from .shingles import helpings, shingle_sets
 M, ROWS, SIGNATURE = 10, 2, 128
 _factors = np.random.default_rng(41).integers(1 << 62, 1 << 63, SIGNATURE).astype(np.uint64) * np.uint64(2) + np.uint64(1)
 AGREE = 86
+#: Words of the bit map of wanted ids.
+MAP_WORDS = 1 << 18
 
 
 def minhashes(sets: list[np.ndarray]) -> np.ndarray:
@@ -148,21 +150,40 @@ def candidates(rows: DataFrame, most: int | None) -> DataFrame:
 
 
 def full_sets(docs: DataFrame, ids: DataFrame, size: int) -> DataFrame:
-    """id and whole shingle set (array of long) of the documents in ids(id), one row per id."""
+    """id and whole shingle set (array of long) of the documents in ids(id), and of a few others.
+
+    Texts don't cross a shuffle: each task passes by most documents that are
+    not asked for with a bit map of fixed size (2 MB), in which a wanted id
+    always has its bit.  Beyond as many ids as fill an eighth of it, ids are
+    looked up by a join instead.  What else passes drops out when sets are
+    joined with pairs.
+    """
+    rows = documents(docs).select(F.col("doc_id").alias("id"), F.col("text").cast("binary").alias("text"))
+    place = F.pmod(F.xxhash64("id"), F.lit(64 * MAP_WORDS))
+    seen = None
+    if ids.count() <= 8 * MAP_WORDS:
+        words = ids.select(place.alias("p")).groupBy(F.expr("shiftright(p, 6)").alias("w")).agg(F.expr("bit_or(shiftleft(1L, cast(p % 64 as int)))").alias("bits"))
+        bits = np.zeros(MAP_WORDS, np.int64)
+        for r in words.collect():  # MAP_WORDS rows at most
+            bits[r["w"]] = r["bits"]
+        seen = docs.sparkSession.sparkContext.broadcast(np.unpackbits(bits.view(np.uint8), bitorder="little"))
+    else:
+        rows = rows.join(ids, "id", "left_semi")
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
+            if seen is not None:
+                b = b[b["id"].notna().to_numpy() & (seen.value[b["place"].to_numpy()] > 0)]
             texts = b["text"].tolist()
             for i, j in helpings(texts):
                 yield pd.DataFrame({"id": b["id"].iloc[i:j].array, "shingles": [s.view(np.int64) for s in shingle_sets(texts[i:j], size)]})
 
-    rows = documents(docs).select(F.col("doc_id").alias("id"), F.col("text").cast("binary").alias("text"))
-    return rows.join(ids, "id", "left_semi").mapInPandas(run, "id long, shingles array<long>")
+    return rows.select("id", "text", place.alias("place")).mapInPandas(run, "id long, shingles array<long>")
 
 
 def confirm(docs: DataFrame, pairs: DataFrame, size: int, percent: int) -> DataFrame:
     """The pairs (a, b) whose full sets have 100 * intersection >= percent * union."""
-    ids = pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct()
+    ids = materialize(pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct(), "asked")
     sets = materialize(full_sets(docs, ids, size), "shingle_sets")
     left = pairs.join(sets.select(F.col("id").alias("a"), F.col("shingles").alias("x")), "a")
     both = left.join(sets.select(F.col("id").alias("b"), F.col("shingles").alias("y")), "b")
@@ -188,7 +209,7 @@ def near_groups(docs: DataFrame, percent: int = 85, size: int = 5) -> DataFrame:
         else:
             rows = rows.withColumn("part", F.col("id"))
         found = materialize(candidates(rows, most), "candidates")
-        pairs = found.where("b is not null").distinct()
+        pairs = materialize(found.where("b is not null").distinct(), "pairs")
         new = confirm(docs, pairs, size, percent)
         links = new if links is None else links.union(new)
         keys = found.where("b is null").select(F.col("a").alias("key")).distinct()
@@ -203,5 +224,5 @@ def near_groups(docs: DataFrame, percent: int = 85, size: int = 5) -> DataFrame:
 
 def drop_near_copies(docs: DataFrame, percent: int = 85, size: int = 5) -> DataFrame:
     """One document of each group, with all its columns; rows with a null doc_id stay."""
-    gone = near_groups(docs, percent, size).where("not kept and doc_id is not null").select(F.col("doc_id").alias("_gone"))
-    return docs.join(gone.distinct(), F.col("doc_id") == F.col("_gone"), "left_anti")
+    gone = near_groups(docs, percent, size).where("not kept and doc_id is not null").select(F.col("doc_id").alias("_gone")).distinct()
+    return docs.join(gone, docs["doc_id"] == gone["_gone"], "left_anti")
