@@ -128,3 +128,18 @@ def file_numbers(name: Column) -> dict[str, Column]:
     hit = name.rlike(r"^frame\d+_logo\d+")
     number = lambda k: F.when(hit, F.regexp_extract(name, r"^frame(\d+)_logo(\d+)", k).cast("long"))
     return {"unmatched": ~hit, "frame": number(1), "logo": number(2), "lower_name": F.lower(name)}
+
+
+def parse_list(c: Column) -> Column:
+    """A JSON list of texts; an empty list where it is none."""
+    return F.coalesce(F.from_json(c, "array<string>"), F.array().cast("array<string>"))
+
+
+def affirms(c: Column, word: str = "yes") -> Column:
+    """Whether a verifier's answer holds the word; false without an answer."""
+    return F.coalesce(F.lower(c).contains(word), F.lit(False))
+
+
+def content_id(data: Column, *other: Column) -> Column:
+    """An id by content; by the other columns where there is none, so that it is the same on every run."""
+    return F.coalesce(F.md5(data), F.sha2(F.concat_ws("\x1f", *(o.cast("string") for o in other)), 256))

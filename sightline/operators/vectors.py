@@ -166,6 +166,6 @@ def number_from(gallery: DataFrame, new: DataFrame, order: list[str], copies: in
     return new.sparkSession.createDataFrame(indexed, schema).crossJoin(F.broadcast(highest)).withColumn("vec_id", F.col("m") + 1 + F.col("_n")).drop("m", "_n")
 
 
-def by_space(queries: dict[str, DataFrame], galleries: dict[str, DataFrame], k: int) -> DataFrame:
+def by_space(queries: dict[str, DataFrame], galleries: dict[str, DataFrame], k: int, leave_out_self: bool = False) -> DataFrame:
     """Each embedding space searched by itself, results tagged with its name."""
-    return reduce(DataFrame.unionByName, [knn(queries[s], galleries[s], k).withColumn("space", F.lit(s)) for s in sorted(queries)])
+    return reduce(DataFrame.unionByName, [knn(queries[s], galleries[s], k, leave_out_self).withColumn("space", F.lit(s)) for s in sorted(queries)])

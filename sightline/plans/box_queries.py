@@ -123,10 +123,10 @@ def range_expand(spark, sf):
     return f.select("frame", F.explode(L.expand(F.col("frame") % 100, F.lit(100), 3).cast("array<long>")).alias("shown"))
 
 
-@query("WITH d AS (SELECT DISTINCT video, frame, brand FROM (SELECT video, frame, brand FROM [detections] WHERE frame % 40 = 0)), f AS (SELECT DISTINCT video, frame FROM [detections]) SELECT f.video AS video, f.frame AS frame, d.frame AS detected_at, d.brand AS brand FROM f JOIN d ON f.video = d.video AND abs(f.frame - d.frame) <= 2")
+@query("WITH d AS (SELECT DISTINCT video, frame, brand FROM [detections] WHERE brand = 'signup'), f AS (SELECT DISTINCT video, frame FROM [detections]) SELECT f.video AS video, f.frame AS frame, d.frame AS detected_at, d.brand AS brand FROM f JOIN d ON f.video = d.video AND abs(f.frame - d.frame) <= 2")
 def window_join(spark, sf):
     e = table(spark, sf, "detections")
-    d = e.where("frame % 40 = 0").select("video", "frame", "brand").distinct()
+    d = e.where("brand = 'signup'").select("video", "frame", "brand").distinct()
     return L.within_window(d, e.select("video", "frame").distinct(), 2).select("video", "frame", "detected_at", "brand")
 
 

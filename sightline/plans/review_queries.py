@@ -215,7 +215,7 @@ def llm_routing(spark, sf):
     return sql(spark, sf, ROUTES).select("id", C.route(*(F.col(c) for c in ("pg", "ns", "pm", "pl", "poster", "stylized", "design"))).alias("route"))
 
 
-YES = "SELECT conv_id, CASE turn % 4 WHEN 0 THEN 'Yes, it is' WHEN 1 THEN 'I know it' WHEN 2 THEN 'perhaps' ELSE substr(text, 1, 40) END AS answer FROM {conversations}"
+YES = "SELECT conv_id, CASE turn % 4 WHEN 0 THEN 'Yes, it is' WHEN 1 THEN 'I know it' WHEN 2 THEN 'perhaps' ELSE text END AS answer FROM {conversations}"
 
 
 @query(f"WITH a AS (SELECT conv_id, CASE WHEN lower(answer) LIKE '%yes%' THEN 1 ELSE 0 END AS y, CASE WHEN lower(answer) LIKE '%yes%' OR lower(answer) LIKE '%no%' THEN 1 ELSE 0 END AS i FROM ({YES})) SELECT conv_id, CAST(sum(y) AS BIGINT) AS yes, CAST(sum(i) AS BIGINT) AS include, round(sum(y) / nullif(sum(i), 0), 6) AS probability FROM a GROUP BY conv_id")

@@ -2,16 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from ..functions import similarity as S
 from ..functions import text as T
 from ..operators import cascade as C
 from ..operators import matching as M
 from .base import query, sql, table
 
-TEXTS = "SELECT doc_id, substr(text, 1, 160) AS t FROM {documents}"
 NORM = "trim(regexp_replace(regexp_replace(regexp_replace(lower({x}), '[\\r\\n\\t]', ' ', 'g'), '[^a-z0-9 ]', '', 'g'), ' +', ' ', 'g'))"
 
 
@@ -101,13 +98,12 @@ def safe_names(spark, sf):
 FILES = "SELECT event_id, CASE WHEN event_id % 7 = 0 THEN concat('Other', CAST(event_id AS STRING)) ELSE concat('frame', CAST(event_id % 50 AS STRING), '_logo', CAST(user_id % 20 AS STRING), '.png') END AS name FROM {events}"
 
 
-@query(f"""SELECT event_id, row_number() OVER (ORDER BY event_id % 7 = 0, CASE WHEN event_id % 7 <> 0 THEN event_id % 50 END NULLS FIRST, CASE WHEN event_id % 7 <> 0 THEN CAST(regexp_extract(name, '_logo([0-9]+)', 1) AS BIGINT) END NULLS FIRST, lower(name), event_id) AS place FROM ({FILES}) QUALIFY place <= 100""")
+@query(f"""SELECT event_id, event_id % 7 = 0 AS unmatched, CASE WHEN event_id % 7 <> 0 THEN event_id % 50 END AS frame, CASE WHEN event_id % 7 <> 0 THEN user_id % 20 END AS logo, lower(name) AS lower_name FROM ({FILES})""".replace("AS name FROM {events}", "AS name, user_id FROM {events}"))
 def numeric_file_order(spark, sf):
-    """The first hundred names in order, with their places."""
+    """Every name in order, with the keys that order it."""
     f = sql(spark, sf, FILES)
     keys = T.file_numbers(F.col("name"))
-    first = f.orderBy(*keys.values(), "event_id").limit(100)
-    return first.select("event_id", F.row_number().over(Window.orderBy(*keys.values(), "event_id")).cast("long").alias("place"))
+    return f.orderBy(*keys.values(), "event_id").select("event_id", *(c.alias(n) for n, c in keys.items()))
 
 
 @query("SELECT event_id, CASE event_type WHEN 'click' THEN 'click' WHEN 'view' THEN 'base/view' END AS path FROM {events}")
@@ -144,6 +140,24 @@ def prompt_text(spark, sf):
     return c.select("conv_id", M.prompt([("audio_brands", audio), ("faiss_matches", hits)]).alias("prompt"))
 
 
+@query("""SELECT event_id, CASE WHEN event_id % 3 = 0 THEN 0 ELSE 2 END AS n, CASE WHEN event_id % 3 <> 0 THEN event_type END AS first FROM {events}""")
+def parse_lists(spark, sf):
+    raw = F.when(F.col("event_id") % 3 == 0, "[bad").otherwise(F.to_json(F.array("event_type", F.col("user_id").cast("string"))))
+    e = table(spark, sf, "events").withColumn("l", T.parse_list(raw))
+    return e.select("event_id", F.size("l").alias("n"), F.get("l", F.lit(0)).alias("first"))
+
+
+@query("SELECT det_id, lower(text) LIKE '%yes%' AS yes, lower(concat('A logo of ', role)) LIKE '%logo%' AS logo FROM [answers]")
+def verifiers(spark, sf):
+    a = table(spark, sf, "answers")
+    return a.select("det_id", T.affirms(F.col("text")).alias("yes"), T.affirms(F.concat(F.lit("A logo of "), F.col("role")), "logo").alias("logo"))
+
+
+@query("SELECT doc_id, md5(text) AS id FROM {documents}")
+def content_ids(spark, sf):
+    return table(spark, sf, "documents").select("doc_id", T.content_id(F.col("text").cast("binary"), F.col("doc_id")).alias("id"))
+
+
 BOXES = """SELECT event_id, user_id % 1000 AS a, event_id % 1000 AS b, CAST(floor(value) AS BIGINT) % 1000 AS c, (user_id + event_id) % 1000 AS d FROM {events}"""
 
 

@@ -17,9 +17,9 @@ LOO = """n AS (SELECT brand FROM [vectors] GROUP BY brand HAVING count(*) >= 2),
          FROM [vectors] q JOIN [vectors] g ON q.vec_id <> g.vec_id WHERE q.brand IN (SELECT brand FROM n)) QUALIFY rank <= 5),
     f AS (SELECT query_id, true_brand, min(CASE WHEN brand = true_brand THEN rank END) AS first_hit FROM h GROUP BY ALL)"""
 SUMS = "round(avg(CASE WHEN first_hit <= 1 THEN 1e0 ELSE 0 END), 6) AS recall_at_1, round(avg(CASE WHEN first_hit <= 3 THEN 1e0 ELSE 0 END), 6) AS recall_at_3, round(avg(CASE WHEN first_hit <= 5 THEN 1e0 ELSE 0 END), 6) AS recall_at_5, round(avg(coalesce(1e0 / first_hit, 0)), 6) AS mrr, count(*) AS n_queries"
-SPLIT = """h AS (SELECT query_id, vec_id, brand, true_brand, d2, 1 - d2 / 4 AS similarity, row_number() OVER (PARTITION BY query_id ORDER BY d2, vec_id) AS rank FROM
+OTHERS = """h AS (SELECT query_id, vec_id, brand, true_brand, d2, 1 - d2 / 4 AS similarity, row_number() OVER (PARTITION BY query_id ORDER BY d2, vec_id) AS rank FROM
         (SELECT q.vec_id AS query_id, g.vec_id AS vec_id, g.brand AS brand, q.brand AS true_brand, pow(list_distance(CAST(q.embedding AS DOUBLE[]), CAST(g.embedding AS DOUBLE[])), 2) AS d2
-         FROM [vectors] q JOIN [vectors] g ON g.vec_id % 5 <> 0 WHERE q.vec_id % 5 = 0) QUALIFY rank <= {K})"""
+         FROM [vectors] q JOIN [vectors] g ON q.vec_id <> g.vec_id) QUALIFY rank <= {K})"""
 
 
 def _loo(spark, sf):
@@ -30,12 +30,11 @@ def _rounded(df, *names):
     return df.select(*(F.round(c, 6).alias(c) if c in names else c for c in df.columns))
 
 
-def _split(spark, sf, k):
-    """A fifth of the vectors asked against the rest."""
+def _others(spark, sf, k):
+    """Every vector asked against all others."""
     v = table(spark, sf, "vectors")
-    asked = v.where("vec_id % 5 = 0").select(F.col("vec_id").alias("query_id"), "embedding", F.col("brand").alias("true_brand"))
-    gallery = v.where("vec_id % 5 <> 0")
-    return R.with_brands(V.knn(asked.select("query_id", "embedding"), gallery, k), asked, gallery)
+    asked = v.select(F.col("vec_id").alias("query_id"), "embedding", F.col("brand").alias("true_brand"))
+    return R.with_brands(V.knn(asked.select("query_id", "embedding"), v, k, leave_out_self=True), asked, v)
 
 
 @query(f"WITH {LOO} SELECT {SUMS}, (SELECT count(*) FROM [vectors]) - count(*) AS n_skipped FROM f")
@@ -52,22 +51,22 @@ def knn_topk(spark, sf):
     return h.select("query_id", "rank", "vec_id", F.round(V.similarity(F.col("d2")), 6).alias("similarity"), F.round(V.cosine(F.col("d2")), 6).alias("cosine"))
 
 
-@query(f"WITH {SPLIT.replace('{K}', '5')} SELECT query_id, vec_id, brand, round(similarity, 6) AS similarity FROM h WHERE similarity >= 0.68")
+@query(f"WITH {OTHERS.replace('{K}', '5')} SELECT query_id, vec_id, brand, round(similarity, 6) AS similarity FROM h WHERE similarity >= 0.68")
 def knn_threshold(spark, sf):
-    h = _split(spark, sf, 5).where("similarity >= 0.68")
+    h = _others(spark, sf, 5).where("similarity >= 0.68")
     return h.select("query_id", "vec_id", "brand", F.round("similarity", 6).alias("similarity"))
 
 
-@query(f"""WITH {SPLIT.replace('{K}', '15')}, b AS (SELECT query_id, brand, round(max(similarity), 4) AS similarity FROM h GROUP BY ALL)
+@query(f"""WITH {OTHERS.replace('{K}', '15')}, b AS (SELECT query_id, brand, round(max(similarity), 4) AS similarity FROM h GROUP BY ALL)
     SELECT query_id, brand, similarity, CAST(row_number() OVER (PARTITION BY query_id ORDER BY similarity DESC, brand) AS INT) AS rank FROM b QUALIFY rank <= 5""")
 def knn_brand_dedup(spark, sf):
-    return V.top_by_brand(_split(spark, sf, 15), 5)
+    return V.top_by_brand(_others(spark, sf, 15), 5)
 
 
-@query(f"""WITH {SPLIT.replace('{K}', '5')}, c AS (SELECT query_id, lower(brand) AS winner, count(*) AS votes, min(rank) AS first FROM h GROUP BY ALL)
+@query(f"""WITH {OTHERS.replace('{K}', '5')}, c AS (SELECT query_id, lower(brand) AS winner, count(*) AS votes, min(rank) AS first FROM h GROUP BY ALL)
     SELECT query_id, winner, votes, votes / 5e0 AS share FROM c QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY votes DESC, first) = 1""")
 def knn_consensus(spark, sf):
-    return V.consensus(_split(spark, sf, 5))
+    return V.consensus(_others(spark, sf, 5))
 
 
 @query(f"""WITH {LOO}, t AS (SELECT unnest([0.5e0, 0.55e0, 0.6e0, 0.65e0, 0.7e0, 0.75e0, 0.8e0, 0.85e0, 0.9e0, 0.95e0]) AS threshold),
@@ -93,9 +92,9 @@ def per_brand_pivot(spark, sf):
     return R.brand_by_model(_rounded(first.groupBy("model", "brand").agg(R.recall(1).alias("recall_at_1")), "recall_at_1"), ["even", "odd"])
 
 
-@query(f"WITH {SPLIT.replace('{K}', '5')}, f AS (SELECT query_id, true_brand, min(CASE WHEN brand = true_brand THEN rank END) AS first_hit FROM h GROUP BY ALL) SELECT {SUMS} FROM f")
+@query(f"WITH {OTHERS.replace('{K}', '5')}, f AS (SELECT query_id, true_brand, min(CASE WHEN brand = true_brand THEN rank END) AS first_hit FROM h GROUP BY ALL) SELECT {SUMS} FROM f")
 def crop_evaluation(spark, sf):
-    return _rounded(R.summary(_split(spark, sf, 5)), "recall_at_1", "recall_at_3", "recall_at_5", "mrr")
+    return _rounded(R.summary(_others(spark, sf, 5)), "recall_at_1", "recall_at_3", "recall_at_5", "mrr")
 
 
 @query(f"""WITH {LOO}, p AS (SELECT query_id, true_brand, min(CASE WHEN brand = true_brand THEN rank END) AS f, array_agg(brand ORDER BY rank) AS b, min(CASE WHEN rank = 1 THEN similarity END) AS s FROM h GROUP BY ALL)
@@ -120,30 +119,30 @@ def hybrid_embedding(spark, sf):
     return h.select("vec_id", F.size("h").alias("dim"), F.round(F.col("h")[0], 6).alias("first"), F.round(F.col("h")[127], 6).alias("last"))
 
 
-@query("""WITH u AS (SELECT vec_id // 4 AS g, list_transform(CAST(embedding AS DOUBLE[]), lambda x: x / sqrt(list_inner_product(CAST(embedding AS DOUBLE[]), CAST(embedding AS DOUBLE[])))) AS e FROM {embeddings} WHERE vec_id < 200),
+@query("""WITH u AS (SELECT vec_id // 4 AS g, list_transform(CAST(embedding AS DOUBLE[]), lambda x: x / sqrt(list_inner_product(CAST(embedding AS DOUBLE[]), CAST(embedding AS DOUBLE[])))) AS e FROM {embeddings}),
     x AS (SELECT g, unnest(generate_series(1, 64)) AS pos, unnest(e) AS v FROM u), m AS (SELECT g, pos, avg(v) AS v FROM x GROUP BY ALL),
     q AS (SELECT g AS query_id, array_agg(v ORDER BY pos) AS e FROM m GROUP BY g), n AS (SELECT query_id, list_transform(e, lambda x: x / sqrt(list_inner_product(e, e))) AS e FROM q),
-    d AS (SELECT query_id, vec_id, pow(list_distance(e, CAST(embedding AS DOUBLE[])), 2) AS d2 FROM n, {embeddings} WHERE vec_id >= 200)
+    d AS (SELECT query_id, vec_id, pow(list_distance(e, CAST(embedding AS DOUBLE[])), 2) AS d2 FROM n, {embeddings})
     SELECT query_id, vec_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY d2, vec_id) AS INT) AS rank, round(1 - d2 / 4, 6) AS similarity FROM d QUALIFY rank <= 3""")
 def tta_mean_search(spark, sf):
     e = table(spark, sf, "embeddings")
-    variants = e.where("vec_id < 200").select(F.floor(F.col("vec_id") / 4).alias("query_id"), "embedding")
-    h = V.knn(V.mean_vectors(variants, "query_id"), e.where("vec_id >= 200"), 3)
+    variants = e.select(F.floor(F.col("vec_id") / 4).alias("query_id"), "embedding")
+    h = V.knn(V.mean_vectors(variants, "query_id"), e, 3)
     return h.select("query_id", "vec_id", "rank", F.round(V.similarity(F.col("d2")), 6).alias("similarity"))
 
 
-@query("""SELECT a.vec_id AS vec_id, a.brand AS brand FROM [vectors] a WHERE a.vec_id % 5 = 0 AND NOT EXISTS
-    (SELECT 1 FROM [vectors] b WHERE b.vec_id % 5 <> 0 AND 1 - pow(list_distance(CAST(a.embedding AS DOUBLE[]), CAST(b.embedding AS DOUBLE[])), 2) / 4 >= 0.7)""")
+@query("""SELECT a.vec_id AS vec_id, a.brand AS brand FROM [vectors] a WHERE a.brand = 'b0' AND NOT EXISTS
+    (SELECT 1 FROM [vectors] b WHERE b.brand <> 'b0' AND 1 - pow(list_distance(CAST(a.embedding AS DOUBLE[]), CAST(b.embedding AS DOUBLE[])), 2) / 4 >= 0.7)""")
 def skip_near_duplicates(spark, sf):
     v = table(spark, sf, "vectors")
-    return V.skip_near(v.where("vec_id % 5 = 0"), v.where("vec_id % 5 <> 0"), 0.7).select("vec_id", "brand")
+    return V.skip_near(v.where("brand = 'b0'"), v.where("brand <> 'b0'"), 0.7).select("vec_id", "brand")
 
 
-@query("""WITH g AS (SELECT max(vec_id) AS m FROM {embeddings}), n AS (SELECT vec_id AS source_id, brand, c.i AS copy FROM [vectors], (SELECT unnest([0, 1, 2]) AS i) c WHERE vec_id % 10 = 3)
+@query("""WITH g AS (SELECT max(vec_id) AS m FROM {embeddings}), n AS (SELECT vec_id AS source_id, brand, c.i AS copy FROM [vectors], (SELECT unnest([0, 1, 2]) AS i) c WHERE brand = 'b3')
     SELECT source_id, brand, copy, m + row_number() OVER (ORDER BY source_id, copy) AS vec_id FROM n, g""")
 def gallery_append(spark, sf):
     v = table(spark, sf, "vectors")
-    new = v.where("vec_id % 10 = 3").select(F.col("vec_id").alias("source_id"), "brand")
+    new = v.where("brand = 'b3'").select(F.col("vec_id").alias("source_id"), "brand")
     return V.number_from(v, new, ["source_id"], 3).select("source_id", "brand", "copy", "vec_id")
 
 
@@ -155,10 +154,10 @@ def zero_shot_argmax(spark, sf):
 
 
 @query("""WITH d AS (SELECT q.vec_id AS query_id, g.vec_id AS vec_id, CASE WHEN q.vec_id % 2 = 0 THEN 'clip' ELSE 'siglip' END AS space, pow(list_distance(CAST(q.embedding AS DOUBLE[]), CAST(g.embedding AS DOUBLE[])), 2) AS d2
-    FROM {embeddings} q JOIN {embeddings} g ON q.vec_id % 2 = g.vec_id % 2 AND g.vec_id % 10 >= 2 WHERE q.vec_id % 10 < 2)
+    FROM {embeddings} q JOIN {embeddings} g ON q.vec_id % 2 = g.vec_id % 2 AND q.vec_id <> g.vec_id)
     SELECT space, query_id, vec_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY d2, vec_id) AS INT) AS rank FROM d QUALIFY rank <= 3""")
 def knn_by_space(spark, sf):
     e = table(spark, sf, "embeddings")
-    ask = {s: e.where(f"vec_id % 10 = {r}").select(F.col("vec_id").alias("query_id"), "embedding") for s, r in (("clip", 0), ("siglip", 1))}
-    have = {s: e.where(f"vec_id % 2 = {r} and vec_id % 10 >= 2") for s, r in (("clip", 0), ("siglip", 1))}
-    return V.by_space(ask, have, 3).select("space", "query_id", "vec_id", "rank")
+    have = {s: e.where(f"vec_id % 2 = {r}") for s, r in (("clip", 0), ("siglip", 1))}
+    ask = {s: g.select(F.col("vec_id").alias("query_id"), "embedding") for s, g in have.items()}
+    return V.by_space(ask, have, 3, leave_out_self=True).select("space", "query_id", "vec_id", "rank")
