@@ -232,6 +232,8 @@ class Counter:
         return out
 
     def _run(self, part, out) -> None:
+        if not part:
+            return
         symbols, ends = stream([t for _, t in part])
         if not len(symbols):
             return

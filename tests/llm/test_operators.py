@@ -10,7 +10,7 @@ import public_tokenizers as P
 import pytest
 from tokenizers import Tokenizer
 
-from sightline.llm import bpe, embedding_dedup, exact_dedup, language_id, minhash, packing, quality, substring_dedup, token_counts, token_files
+from sightline.llm import bpe, common, embedding_dedup, exact_dedup, language_id, minhash, packing, quality, substring_dedup, token_counts, token_files
 from sightline.llm.common import components
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -40,10 +40,12 @@ def near_components(texts):
     return {k: find(parent, k) for k in sets}
 
 
-def test_components(spark):
+@pytest.mark.parametrize("most", [20, 500_000])
+def test_components(spark, monkeypatch, most):
+    monkeypatch.setattr(common, "TASK_EDGES", most)
     edges = [(1, 2), (2, 3), (5, 4), (9, 9), (4, 6), (10, 3)] + [(100, k) for k in range(101, 160)] + [(k, k + 1) for k in range(200, 240)]
     got = {r["id"]: r["component_id"] for r in components(spark.createDataFrame(edges, "a long, b long")).collect()}
-    assert got == {k: 1 for k in (1, 2, 3, 10)} | {4: 4, 5: 4, 6: 4} | {k: 100 for k in range(100, 160)} | {k: 200 for k in range(200, 241)}
+    assert got == {9: 9} | {k: 1 for k in (1, 2, 3, 10)} | {4: 4, 5: 4, 6: 4} | {k: 100 for k in range(100, 160)} | {k: 200 for k in range(200, 241)}
     assert components(spark.createDataFrame([], "a long, b long")).count() == 0
 
 
@@ -215,7 +217,7 @@ def brute_links(vectors, limit):
 
 
 def test_embeddings(spark, monkeypatch):
-    monkeypatch.setattr(embedding_dedup, "BLOCK", 16)
+    monkeypatch.setattr(embedding_dedup, "BLOCK_BYTES", 1)
     rng = np.random.default_rng(2)
     v = [(i, rng.standard_normal(24).tolist()) for i in range(60)]
     for i in range(60, 120):
