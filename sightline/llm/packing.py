@@ -3,7 +3,10 @@
 A document's token counts, hashed to a short vector, are projected to a few
 dimensions; the cell they fall in gives a Hilbert key.  Documents are
 range-sorted by (key, doc_id), so that neighbours on the curve meet in one
-sequence, and laid end to end into sequences of `size` tokens; a document is
+sequence.  Ranges hold about as many tokens each: they are cut from the token
+sums of the key's leading bits, and where one such cell (copies of one text,
+say) holds more than a range it is dealt by doc_id over several.  Within a
+range documents are laid end to end into sequences of `size` tokens; a document is
 cut where a sequence is full.  What is left at the end of a task's range fills
 sequences whose lengths are powers of two, so nothing is padded.
 
@@ -22,11 +25,14 @@ import pandas as pd
 import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from .common import documents, materialize, tasks
 from .tokens import tokens
 
 DIMENSIONS, BITS, HASHED = 4, 12, 512
+#: Leading bits of the key that tell the cells by which ranges are cut.
+CELL_BITS = 16
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 
 
@@ -70,6 +76,28 @@ def curve_keys(ids: list[np.ndarray]) -> np.ndarray:
     return hilbert(np.minimum((at * (1 << BITS)).astype(np.int64), (1 << BITS) - 1), BITS)
 
 
+def ranges(coded: DataFrame, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """First range of each cell of the curve, and over how many ranges the cell is dealt.
+
+    At most 2 ** CELL_BITS sums come to the driver.
+    """
+    cell = F.shiftright("key", DIMENSIONS * BITS - CELL_BITS).cast("int")
+    total = np.zeros(1 << CELL_BITS)
+    for r in coded.groupBy(cell.alias("cell")).agg(F.sum("n").alias("n")).collect():
+        total[r["cell"]] = r["n"]
+    share = max(1.0, total.sum() / n)
+    parts = np.maximum(1, np.round(total / share)).astype(np.int64)
+    first, used, held = np.zeros(len(total), np.int64), 0, 0.0
+    for c in np.flatnonzero(total):
+        if held and held + total[c] > 1.2 * share:
+            used, held = used + 1, 0.0
+        first[c] = used
+        held += total[c]
+        if parts[c] > 1:
+            used, held = used + int(parts[c]), 0.0
+    return first, parts
+
+
 def tail(left: int) -> list[int]:
     """Lengths of the last sequences: the powers of two that make up `left`."""
     return [1 << k for k in range(left.bit_length() - 1, -1, -1) if left >> k & 1]
@@ -129,4 +157,12 @@ def pack(docs: DataFrame, vocabulary: str, end_id: int, size: int = 4096, words:
             yield frame(rows)
 
     coded = materialize(documents(docs).mapInPandas(encode, "key long, doc_id long, n long, ids binary"), "packing")
-    return coded.repartitionByRange(tasks(spark), "key", "doc_id").sortWithinPartitions("key", "doc_id", "n").mapInPandas(lay, PIECES)
+    first, parts = ranges(coded, tasks(spark))
+
+    def place(keys: pd.Series, ids: pd.Series) -> pd.Series:
+        cell = keys.to_numpy() >> (DIMENSIONS * BITS - CELL_BITS)
+        return pd.Series((first[cell] + ids.to_numpy() % parts[cell]).astype(np.int32))
+
+    spot = F.pandas_udf(place, "int")(F.col("key"), F.coalesce(F.xxhash64("doc_id"), F.lit(0)))
+    dealt = coded.withColumn("range", spot).repartitionById(int((first + parts).max()), F.col("range"))
+    return dealt.drop("range").sortWithinPartitions("key", "doc_id", "n").mapInPandas(lay, PIECES)
