@@ -6,7 +6,10 @@ import os
 import re
 import tempfile
 import uuid
+from collections.abc import Iterator
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -28,15 +31,28 @@ def shared_dir(spark: SparkSession) -> str:
     return folder.rstrip("/")
 
 
+def _own_dir(spark: SparkSession) -> str:
+    return f"{shared_dir(spark)}/sightline-{spark.sparkContext.applicationId}"
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
+
+
+def clear(spark: SparkSession) -> None:
+    """Delete all tables that this application has made; results not yet written are lost."""
+    _delete(spark, _own_dir(spark))
+
+
 def materialize(df: DataFrame, name: str) -> DataFrame:
     """Write df as a Parquet table in the shared folder and read it back.
 
-    This cuts lineage and survives the loss of executors.  The table belongs to
-    the running application and goes with the shared folder's clean-up, or with
-    `discard`.
+    This cuts lineage and survives the loss of executors.  Results may still be
+    read from the table later, so it stays until `discard` or `clear`.
     """
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/sightline-{re.sub('[^a-z0-9]', '_', name.lower())}-{uuid.uuid4().hex}"
+    path = f"{_own_dir(spark)}/{re.sub('[^a-z0-9]', '_', name.lower())}-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out._sightline_path = path
@@ -45,11 +61,8 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
 
 def discard(df: DataFrame) -> None:
     """Delete a table made by `materialize` that no later result reads."""
-    path = getattr(df, "_sightline_path", None)
-    if path:
-        spark = df.sparkSession
-        p = spark._jvm.org.apache.hadoop.fs.Path(path)
-        p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
+    if path := getattr(df, "_sightline_path", None):
+        _delete(df.sparkSession, path)
 
 
 def documents(df: DataFrame, *extra: str) -> DataFrame:
@@ -70,16 +83,48 @@ def tasks(spark: SparkSession, least: int = 1) -> int:
     return max(least, int(spark.conf.get("spark.sql.shuffle.partitions")))
 
 
+#: Edges that one task contracts by itself.
+TASK_EDGES = 500_000
+
+
+def forest(a: np.ndarray, b: np.ndarray, n: int) -> np.ndarray:
+    """Least index of each of n nodes' component under edges (a, b)."""
+    label = np.arange(n)
+    while True:
+        low = np.minimum(label[a], label[b])
+        new = label.copy()
+        for at in (a, b, label[a], label[b]):
+            np.minimum.at(new, at, low)
+        new = new[new]
+        if (new == label).all():
+            return label
+        label = new
+
+
+def _contract(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """A task's edges as stars: (u, v) with v the least id that u reaches by them."""
+    parts = list(batches)
+    if not parts:
+        return
+    ids, ends = np.unique(np.concatenate([p[["u", "v"]].to_numpy(np.int64).ravel() for p in parts]), return_inverse=True)
+    a, b = ends.reshape(-1, 2).T
+    root = ids[forest(a, b, len(ids))]
+    yield pd.DataFrame({"u": ids[ids != root], "v": root[ids != root]})
+
+
 def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     """Connected components of edges(a, b): one row (id, component_id) per endpoint.
 
-    component_id is the smallest id reachable.  Alternates the large-star and
-    small-star steps on tables in the shared folder until the edge set stands
-    still; nothing but one checksum row per round comes to the driver.
+    component_id is the smallest id reachable.  Tasks of at most TASK_EDGES
+    edges contract them to stars; beyond one task the large-star and small-star
+    steps alternate on tables in the shared folder until the edge set stands
+    still.  A count or a checksum comes to the driver, nothing else.
     """
-    e = materialize(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct(), "edges")
+    all_ = materialize(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u is not null and v is not null").distinct(), "edges")
+    parts = -(-max(1, all_.count()) // TASK_EDGES)
+    e = materialize(all_.where("u <> v").repartition(parts).mapInPandas(_contract, "u long, v long"), "edges")
     before = None
-    for _ in range(rounds):
+    for _ in range(rounds if parts > 1 else 0):
         both = e.select("u", "v").union(e.select(F.col("v"), F.col("u")))
         low = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
         large = both.join(low, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
@@ -93,5 +138,7 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
             break
         before = tuple(sum_)
     else:
-        raise RuntimeError("components did not settle")
-    return e.groupBy(F.col("u").alias("id")).agg(F.min("v").alias("component_id")).union(e.select("v", "v").distinct())
+        if parts > 1:
+            raise RuntimeError("components did not settle")
+    linked = e.groupBy(F.col("u").alias("id")).agg(F.min("v").alias("component_id"))
+    return linked.unionByName(all_.select("v").union(all_.where("u = v").select("u")).distinct().join(e.select(F.col("u").alias("v")), "v", "left_anti").select(F.col("v").alias("id"), F.col("v").alias("component_id")))

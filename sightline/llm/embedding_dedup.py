@@ -33,9 +33,10 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import components, materialize, tasks
+from .common import components, forest, materialize, tasks
 
-BLOCK, MOST_PIVOTS, SIGMAS = 4096, 1024, 6.0
+#: Bytes of vectors in a block, in double precision; pivots at most; deviations of the bound.
+BLOCK_BYTES, MOST_PIVOTS, SIGMAS = 8 << 20, 1024, 6.0
 
 
 def rotation(size: int) -> np.ndarray:
@@ -131,22 +132,6 @@ def _links(x: dict, y: dict | None, limit: float) -> tuple[np.ndarray, np.ndarra
     return np.concatenate([a for a, _ in out]), np.concatenate([b for _, b in out])
 
 
-def _forest(a: np.ndarray, b: np.ndarray, n: int) -> np.ndarray:
-    """Least index of each node's component under edges (a, b)."""
-    label = np.arange(n)
-    while True:
-        low = np.minimum(label[a], label[b])
-        new = label.copy()
-        np.minimum.at(new, a, low)
-        np.minimum.at(new, b, low)
-        np.minimum.at(new, label[a], low)
-        np.minimum.at(new, label[b], low)
-        new = new[new]
-        if (new == label).all():
-            return label
-        label = new
-
-
 def near_groups(table: DataFrame, limit: float = 0.95, id_column: str = "vec_id", vector: str = "embedding") -> DataFrame:
     """vec_id, n_links, component_id and kept of every row."""
     spark = table.sparkSession
@@ -154,7 +139,9 @@ def near_groups(table: DataFrame, limit: float = 0.95, id_column: str = "vec_id"
     reps = rows.where("set_key is not null and id is not null").groupBy("set_key").agg(F.min("id").alias("id"), F.count("*").alias("n"), *(F.first(c).alias(c) for c in ("size", "vector", "code", "factor")))
     reps = materialize(reps, "vectors")
     total = reps.count()
-    wanted = min(MOST_PIVOTS, max(1, total // BLOCK))
+    longest = reps.agg(F.coalesce(F.max("size"), F.lit(1))).first()[0]
+    block_rows = max(16, BLOCK_BYTES // (8 * longest))
+    wanted = min(MOST_PIVOTS, max(1, total // block_rows))
     # At most MOST_PIVOTS pivots for each vector length; lengths are few.
     from pyspark.sql import Window
 
@@ -180,7 +167,7 @@ def near_groups(table: DataFrame, limit: float = 0.95, id_column: str = "vec_id"
     stats = {r["cell"]: r for r in cells.groupBy("cell").agg(F.count("*").alias("n"), F.max("angle").alias("radius")).collect()}  # a row per pivot
     blocks, count = {}, 0
     for c in sorted(stats):
-        k = -(-stats[c]["n"] // BLOCK)
+        k = -(-stats[c]["n"] // block_rows)
         blocks[c] = (count, k)
         count += k
     near: dict[int, list[int]] = {c: [] for c in stats}
@@ -226,7 +213,7 @@ def near_groups(table: DataFrame, limit: float = 0.95, id_column: str = "vec_id"
             order = np.argsort(ids, kind="stable")
             place = np.empty_like(order)
             place[order] = np.arange(len(ids))
-            root = ids[order][_forest(place[a], place[b], len(ids))][place]
+            root = ids[order][forest(place[a], place[b], len(ids))][place]
             some = links > 0
             yield pd.DataFrame({"id": ids[some], "links": links[some].astype(np.int64), "root": root[some]})
 

@@ -191,6 +191,7 @@ def confirm(docs: DataFrame, pairs: DataFrame, size: int, percent: int) -> DataF
     links = both.select("a", "b", shared.alias("i"), (F.size("x") + F.size("y") - shared).alias("u")).where(100 * F.col("i") >= percent * F.col("u")).select("a", "b")
     links = materialize(links, "links")
     discard(sets)
+    discard(ids)
     return links
 
 
@@ -211,6 +212,7 @@ def near_groups(docs: DataFrame, percent: int = 85, size: int = 5) -> DataFrame:
         found = materialize(candidates(rows, most), "candidates")
         pairs = materialize(found.where("b is not null").distinct(), "pairs")
         new = confirm(docs, pairs, size, percent)
+        discard(pairs)
         links = new if links is None else links.union(new)
         keys = found.where("b is null").select(F.col("a").alias("key")).distinct()
         part = materialize(components(links), "components")
