@@ -10,7 +10,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -65,8 +65,16 @@ def discard(df: DataFrame) -> None:
         _delete(df.sparkSession, path)
 
 
+def small_batches(spark: SparkSession, rows: int = 1000) -> None:
+    """Texts are long rows: at most `rows` of them at a time go to a Python worker of this session."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(key)) <= rows:
+        spark.conf.set(key, str(rows))
+
+
 def documents(df: DataFrame, *extra: str) -> DataFrame:
     """doc_id and text (null counts as empty), whatever other columns there are."""
+    small_batches(df.sparkSession)
     return df.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"), *extra)
 
 
@@ -83,6 +91,61 @@ def tasks(spark: SparkSession, least: int = 1) -> int:
     return max(least, int(spark.conf.get("spark.sql.shuffle.partitions")))
 
 
+#: Words of the bit map of ids, 2 MB in all.
+MAP_WORDS = 1 << 18
+
+
+def id_places(ids: Column) -> Column:
+    """The bit of each id."""
+    return F.pmod(F.xxhash64(ids), F.lit(64 * MAP_WORDS))
+
+
+def id_words(ids: DataFrame) -> DataFrame | None:
+    """A bit map of fixed size in which every id of ids(id) has its bit, as (w, bits); None for more ids than an eighth of its bits."""
+    if ids.count() > 8 * MAP_WORDS:
+        return None
+    return ids.select(id_places(F.col("id")).alias("p")).groupBy(F.expr("shiftright(p, 6)").alias("w")).agg(F.expr("bit_or(shiftleft(1L, cast(p % 64 as int)))").alias("bits"))
+
+
+def id_map(ids: DataFrame) -> np.ndarray | None:
+    """The bit map as one byte per bit."""
+    words = id_words(ids)
+    if words is None:
+        return None
+    bits = np.zeros(MAP_WORDS, np.int64)
+    for r in words.collect():  # MAP_WORDS rows at most
+        bits[r["w"]] = r["bits"]
+    return np.unpackbits(bits.view(np.uint8), bitorder="little")
+
+
+def mark_maybe(df: DataFrame, ids: DataFrame, column: str, flag: str) -> DataFrame:
+    """df with a column `flag`: false for most values of a column that are not in ids(id), true for all that are.
+
+    For rows that are costly to shuffle: only those that may match go on to an
+    exact join.  The map is MAP_WORDS rows at most, so it is broadcast.  With
+    too many ids for it the flag is true throughout.
+    """
+    words = id_words(ids)
+    if words is None:
+        return df.withColumn(flag, F.lit(True))
+    place, w, bits = (fresh(df, n) for n in ("_place", "_w", "_bits"))
+    words = words.select(F.col("w").alias(w), F.col("bits").alias(bits))
+    df = df.withColumn(place, id_places(F.col(column).cast("long")))
+    near = df.join(F.broadcast(words), F.shiftright(df[place], 6) == words[w], "left")
+    hit = F.expr(f"coalesce((shiftright(`{bits}`, cast(`{place}` % 64 as int)) & 1L) = 1L, false)")
+    return near.withColumn(flag, hit).drop(place, w, bits)
+
+
+def without_ids(docs: DataFrame, gone: DataFrame) -> DataFrame:
+    """Rows of docs whose doc_id is not in gone(id); only rows that may be in it are shuffled."""
+    gone = materialize(gone.where("id is not null").distinct(), "gone")
+    flag = fresh(docs, "_maybe")
+    marked = mark_maybe(docs, gone, "doc_id", flag)
+    unsure = marked.where(F.col(flag))
+    unsure = unsure.join(gone, unsure["doc_id"] == gone["id"], "left_anti")
+    return marked.where(~F.col(flag)).unionByName(unsure).drop(flag)
+
+
 #: Edges that one task contracts by itself.
 TASK_EDGES = 500_000
 

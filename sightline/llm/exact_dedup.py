@@ -24,7 +24,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import documents, fresh, tasks
+from .common import documents, fresh, tasks, without_ids
 
 SPILL_BYTES = 128 << 20
 
@@ -198,14 +198,14 @@ def exact_groups(docs: DataFrame, keep: str = "largest") -> DataFrame:
 
 def drop_copies(docs: DataFrame, keep: str = "largest") -> DataFrame:
     """The documents that stay, one row each, with all their columns; rows with a null doc_id go where another row has their text."""
+    n, ids = docs.agg(F.count("*"), F.countDistinct("doc_id")).first()
     groups = exact_groups(docs, keep)
+    if n == ids:
+        return without_ids(docs, groups.where("not kept").select(F.col("doc_id").alias("id")))
     hash_ = fresh(docs, "_hash")
     rows = docs.withColumn(hash_, F.sha2(F.coalesce("text", F.lit("")).cast("binary"), 256))
     stay = groups.where("kept").select(F.col("doc_id").alias("_id"), F.col("text_sha256").alias("_sha")).distinct()
     kept = rows.join(stay, (rows["doc_id"] == stay["_id"]) & (rows[hash_] == stay["_sha"]), "left_semi").drop(hash_)
-    n, ids = docs.agg(F.count("*"), F.countDistinct("doc_id")).first()
-    if n == ids:
-        return kept
     nameless = groups.where("keep_id is null").select(F.col("text_sha256").alias("_sha")).distinct()
     rest = rows.where(rows["doc_id"].isNull()).join(nameless, rows[hash_] == nameless["_sha"], "left_semi").drop(hash_)
     return kept.dropDuplicates(["doc_id", "text"]).unionByName(rest.dropDuplicates(["text"]))

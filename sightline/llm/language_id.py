@@ -24,6 +24,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import small_batches
 from .pieces import L, char_classes
 
 SYMBOLS = 64
@@ -139,6 +140,7 @@ def fit(docs: DataFrame, label: str = "lang", sample: int = 1500, landmarks: int
 
 def predict(docs: DataFrame, model: KernelModel | None, *extra: str) -> DataFrame:
     """doc_id, lang_pred and score of every whole text, and the `extra` columns."""
+    small_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(model)  # landmarks x n-grams: bounded by `landmarks`
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", *extra)
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.drop("text").schema) + ", lang_pred string, score double"
@@ -163,6 +165,7 @@ def predict(docs: DataFrame, model: KernelModel | None, *extra: str) -> DataFram
 
 def accept(docs: DataFrame, model: KernelModel | None) -> DataFrame:
     """The rows of a table whose text has a known language (not `und`), with all their columns."""
+    small_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(model)  # landmarks x n-grams: bounded by `landmarks`
 
     def run(batches):

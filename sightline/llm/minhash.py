@@ -34,14 +34,12 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import components, discard, documents, materialize, tasks
+from .common import components, discard, documents, id_map, id_places, materialize, tasks, without_ids
 from .shingles import helpings, shingle_sets
 
 M, ROWS, SIGNATURE = 10, 2, 128
 _factors = np.random.default_rng(41).integers(1 << 62, 1 << 63, SIGNATURE).astype(np.uint64) * np.uint64(2) + np.uint64(1)
 AGREE = 86
-#: Words of the bit map of wanted ids.
-MAP_WORDS = 1 << 18
 
 
 def minhashes(sets: list[np.ndarray]) -> np.ndarray:
@@ -159,15 +157,9 @@ def full_sets(docs: DataFrame, ids: DataFrame, size: int) -> DataFrame:
     joined with pairs.
     """
     rows = documents(docs).select(F.col("doc_id").alias("id"), F.col("text").cast("binary").alias("text"))
-    place = F.pmod(F.xxhash64("id"), F.lit(64 * MAP_WORDS))
-    seen = None
-    if ids.count() <= 8 * MAP_WORDS:
-        words = ids.select(place.alias("p")).groupBy(F.expr("shiftright(p, 6)").alias("w")).agg(F.expr("bit_or(shiftleft(1L, cast(p % 64 as int)))").alias("bits"))
-        bits = np.zeros(MAP_WORDS, np.int64)
-        for r in words.collect():  # MAP_WORDS rows at most
-            bits[r["w"]] = r["bits"]
-        seen = docs.sparkSession.sparkContext.broadcast(np.unpackbits(bits.view(np.uint8), bitorder="little"))
-    else:
+    bits = id_map(ids)
+    seen = None if bits is None else docs.sparkSession.sparkContext.broadcast(bits)
+    if seen is None:
         rows = rows.join(ids, "id", "left_semi")
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -178,7 +170,7 @@ def full_sets(docs: DataFrame, ids: DataFrame, size: int) -> DataFrame:
             for i, j in helpings(texts):
                 yield pd.DataFrame({"id": b["id"].iloc[i:j].array, "shingles": [s.view(np.int64) for s in shingle_sets(texts[i:j], size)]})
 
-    return rows.select("id", "text", place.alias("place")).mapInPandas(run, "id long, shingles array<long>")
+    return rows.select("id", "text", id_places(F.col("id")).alias("place")).mapInPandas(run, "id long, shingles array<long>")
 
 
 def confirm(docs: DataFrame, pairs: DataFrame, size: int, percent: int) -> DataFrame:
@@ -226,5 +218,5 @@ def near_groups(docs: DataFrame, percent: int = 85, size: int = 5) -> DataFrame:
 
 def drop_near_copies(docs: DataFrame, percent: int = 85, size: int = 5) -> DataFrame:
     """One document of each group, with all its columns; rows with a null doc_id stay."""
-    gone = near_groups(docs, percent, size).where("not kept and doc_id is not null").select(F.col("doc_id").alias("_gone")).distinct()
-    return docs.join(gone, docs["doc_id"] == gone["_gone"], "left_anti")
+    gone = near_groups(docs, percent, size).where("not kept and doc_id is not null").select(F.col("doc_id").alias("id"))
+    return without_ids(docs, gone)

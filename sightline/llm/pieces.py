@@ -290,7 +290,7 @@ class PieceEncoder:
     result.  Pieces are told apart by a 64-bit hash of their code points.
     """
 
-    def __init__(self, merges: Merges, most: int = 1_500_000):
+    def __init__(self, merges: Merges, most: int = 1_000_000):
         self.merges, self.most = merges, most
         rng = np.random.default_rng(20)
         self.odd = int(rng.integers(1 << 62, 1 << 63)) | 1
@@ -299,7 +299,7 @@ class PieceEncoder:
         self._clear()
 
     def _clear(self):
-        self.table, self.pool = IntMap(22), np.zeros(1 << 20, np.uint16 if len(self.merges.new_of_rank) < 60000 else np.int32)
+        self.table, self.pool = IntMap(21), np.zeros(1 << 20, np.uint16 if len(self.merges.new_of_rank) < 60000 else np.int32)
         self.used, self.at, self.size, self.rows = 0, np.zeros(1 << 16, np.int32), np.zeros(1 << 16, np.int32), 0
 
     def _powers(self, n: int):

@@ -25,6 +25,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import small_batches
 from .pieces import L, N, O, S, char_classes, code_points
 
 NAMES = ["upper", "digits", "symbols", "marks", "word_length", "repeats", "length", "empty", "twice", "distinct"]
@@ -235,6 +236,7 @@ def score(docs: DataFrame, model: LineModel, *extra: str, threshold: float = 0.3
     """doc_id, score and predicted of every whole text, and the `extra` columns."""
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"), *extra)
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.drop("text").schema) + ", score double, predicted int"
+    small_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(model)  # some dozens of weights
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:

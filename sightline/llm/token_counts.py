@@ -32,6 +32,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import pieces as P
+from .common import documents
 from .tokens import lower_nfc
 
 CHUNK = 96
@@ -251,7 +252,7 @@ def counter(path: str) -> Counter:
 
 def count_tokens(docs: DataFrame, vocabulary: str, limit: int = 2048) -> DataFrame:
     """doc_id, n_bytes, n_tokens and over_limit of every whole text."""
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
+    rows = documents(docs)
     rows = rows.select("doc_id", "text", F.octet_length("text").cast("long").alias("n_bytes"))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
