@@ -25,8 +25,8 @@ def no_exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def no_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies, that with the smallest doc_id."""
-    return minhash.drop_near_copies(docs)
+    """One document of each group of near copies (five-word shingles, similarity 0.8 or more), that with the smallest doc_id."""
+    return minhash.drop_near_copies(docs, percent=80)
 
 
 def no_repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

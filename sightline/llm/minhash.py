@@ -5,11 +5,12 @@ set, and a table key is a pair (U_i, V_j): with m hashes in each collection
 there are m * m tables for 2m band computations.  Rows are dealt by U_i; inside
 such a bucket the pairs with some V_j in common are those that share a table
 key.  At similarity s a pair is missed with a probability below
-2 * (1 - s**2)**10, which is 5e-6 at s = 0.85 and 1e-7 at s = 0.9.
+2 * (1 - s**2)**m.  The limit sets m so that a pair at it is missed with at most
+1e-5: 10 at 0.85 (5e-6 there, 1e-7 at 0.9), 12 at 0.8.
 
 Equal sets are one representative first.  Signatures of 128 bytes prune pairs
-that are far from the limit (86 of 128 agreeing; a linked pair falls below
-with a probability of about 1e-7).  What remains is confirmed on full sets.
+that are far from the limit (86 of 128 agreeing at 0.85; a linked pair falls
+below with a probability of about 1e-7).  What remains is confirmed on full sets.
 
 A bucket does not emit all its pairs: with more than four candidates a row it
 emits each row's nearest partners that are not yet in one component with it
@@ -26,6 +27,7 @@ result; other columns are ignored.
 from __future__ import annotations
 
 import hashlib
+import math
 from collections.abc import Iterator
 from itertools import groupby
 
@@ -37,9 +39,27 @@ from pyspark.sql import functions as F
 from .common import components, discard, documents, id_map, id_places, materialize, tasks, without_ids
 from .shingles import helpings, shingle_sets
 
-M, ROWS, SIGNATURE = 10, 2, 128
+ROWS, SIGNATURE = 2, 128
 _factors = np.random.default_rng(41).integers(1 << 62, 1 << 63, SIGNATURE).astype(np.uint64) * np.uint64(2) + np.uint64(1)
-AGREE = 86
+
+
+def bands(percent: int) -> int:
+    """How many bands in each collection (m) miss a pair at the limit with a probability of at most 1e-5."""
+    m, s = 1, percent / 100
+    while 2 * (1 - s**ROWS) ** m > 1e-5 and 2 * (m + 1) * ROWS <= SIGNATURE:
+        m += 1
+    return m
+
+
+def least_agreeing(percent: int) -> int:
+    """The most signature bytes for which a pair at the limit has fewer with a probability of at most 2e-7."""
+    s, k, below = percent / 100, 0, 0.0
+    while k < SIGNATURE:
+        below += math.comb(SIGNATURE, k) * s**k * (1 - s) ** (SIGNATURE - k)
+        if below > 2e-7:
+            break
+        k += 1
+    return k
 
 
 def minhashes(sets: list[np.ndarray]) -> np.ndarray:
@@ -52,10 +72,10 @@ def minhashes(sets: list[np.ndarray]) -> np.ndarray:
     return out
 
 
-def band_hashes(low: np.ndarray) -> np.ndarray:
-    """U_0 .. U_(M-1), each of ROWS minhashes, with its number mixed in."""
-    out = np.empty((len(low), M), np.uint64)
-    for i in range(M):
+def band_hashes(low: np.ndarray, m: int) -> np.ndarray:
+    """U_0 .. U_(m-1), each of ROWS minhashes, with its number mixed in."""
+    out = np.empty((len(low), m), np.uint64)
+    for i in range(m):
         h = np.full(len(low), i + 1, np.uint64)
         for r in range(ROWS):
             h = (h ^ low[:, i * ROWS + r]) * np.uint64(0x9E3779B97F4A7C15)
@@ -64,8 +84,9 @@ def band_hashes(low: np.ndarray) -> np.ndarray:
     return out
 
 
-def signatures(docs: DataFrame, size: int = 5) -> DataFrame:
-    """doc_id, n_shingles, set_key (16 bytes), bands (M longs) and signature (bytes) of each whole text."""
+def signatures(docs: DataFrame, size: int = 5, percent: int = 85) -> DataFrame:
+    """doc_id, n_shingles, set_key (16 bytes), bands (m longs) and signature (bytes) of each whole text."""
+    m = bands(percent)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
@@ -73,27 +94,27 @@ def signatures(docs: DataFrame, size: int = 5) -> DataFrame:
             for i, j in helpings(texts):
                 sets = shingle_sets(texts[i:j], size)
                 some = [k for k, s in enumerate(sets) if len(s)]
-                bands, sig = [None] * len(sets), [None] * len(sets)
+                keys, sig = [None] * len(sets), [None] * len(sets)
                 if some:
                     low = minhashes([sets[k] for k in some])
-                    u = band_hashes(low).view(np.int64)
+                    u = band_hashes(low, m).view(np.int64)
                     s = ((low * np.uint64(0xD6E8FEB86659FD93)) >> np.uint64(56)).astype(np.uint8)
                     for r, k in enumerate(some):
-                        bands[k], sig[k] = u[r], s[r].tobytes()
-                yield pd.DataFrame({"doc_id": b["doc_id"].iloc[i:j].array, "n_shingles": [len(s) for s in sets], "set_key": [hashlib.blake2b(s.tobytes(), digest_size=16).digest() for s in sets], "bands": bands, "signature": sig})
+                        keys[k], sig[k] = u[r], s[r].tobytes()
+                yield pd.DataFrame({"doc_id": b["doc_id"].iloc[i:j].array, "n_shingles": [len(s) for s in sets], "set_key": [hashlib.blake2b(s.tobytes(), digest_size=16).digest() for s in sets], "bands": keys, "signature": sig})
 
     rows = documents(docs).select("doc_id", F.col("text").cast("binary").alias("text"))
     return rows.mapInPandas(run, "doc_id long, n_shingles long, set_key binary, bands array<long>, signature binary")
 
 
-def _bucket(ids: np.ndarray, part: np.ndarray, sig: np.ndarray, most: int | None) -> tuple[np.ndarray, np.ndarray, bool]:
+def _bucket(ids: np.ndarray, part: np.ndarray, sig: np.ndarray, most: int | None, percent: int) -> tuple[np.ndarray, np.ndarray, bool]:
     """Candidate pairs of a bucket (as indices), and whether some were put off.
 
     part: component of each row; most: partners a row may name when there are
     many candidates, or None for all of them.
     """
-    n = len(ids)
-    v = sig[:, M * ROWS : 2 * M * ROWS].copy().view(np.uint16).reshape(n, M) if ROWS == 2 else None
+    n, m, least = len(ids), bands(percent), least_agreeing(percent)
+    v = sig[:, m * ROWS : 2 * m * ROWS].copy().view(np.uint16).reshape(n, m) if ROWS == 2 else None
     a, b, e = [], [], []
     step = max(1, (1 << 22) // (n * 16))
     for i in range(0, n, step):
@@ -101,7 +122,7 @@ def _bucket(ids: np.ndarray, part: np.ndarray, sig: np.ndarray, most: int | None
         agree = np.zeros((len(s), n), np.uint8)
         for k in range(0, SIGNATURE, 8):
             agree += (s[:, None, k : k + 8] == sig[None, :, k : k + 8]).sum(2, dtype=np.uint8)
-        ok = (agree >= AGREE) & (part[i : i + step, None] != part[None, :])
+        ok = (agree >= least) & (part[i : i + step, None] != part[None, :])
         x, y = np.nonzero(ok)
         keep = (v[i + x] == v[y]).any(1)
         a.append(i + x[keep])
@@ -119,7 +140,7 @@ def _bucket(ids: np.ndarray, part: np.ndarray, sig: np.ndarray, most: int | None
     return a, b, later
 
 
-def candidates(rows: DataFrame, most: int | None) -> DataFrame:
+def candidates(rows: DataFrame, most: int | None, percent: int = 85) -> DataFrame:
     """From rows (id, part, bands, signature), pairs (a, b) that share a table key, or (key, null) for buckets to be looked at again."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -133,7 +154,7 @@ def candidates(rows: DataFrame, most: int | None) -> DataFrame:
             if len(group) > 1:
                 ids, part = np.array([r[1] for r in group]), np.array([r[2] for r in group])
                 sig = np.frombuffer(b"".join(r[3] for r in group), np.uint8).reshape(len(group), SIGNATURE)
-                a, b, later = _bucket(ids, part, sig, most)
+                a, b, later = _bucket(ids, part, sig, most, percent)
                 held.extend(zip(np.minimum(ids[a], ids[b]).tolist(), np.maximum(ids[a], ids[b]).tolist(), strict=True))
                 if later:
                     held.append((key, None))
@@ -189,7 +210,7 @@ def confirm(docs: DataFrame, pairs: DataFrame, size: int, percent: int) -> DataF
 
 def near_groups(docs: DataFrame, percent: int = 85, size: int = 5) -> DataFrame:
     """doc_id, n_shingles, component_id and kept of every row."""
-    sig = materialize(signatures(docs, size), "signatures")
+    sig = materialize(signatures(docs, size, percent), "signatures")
     reps = sig.where("n_shingles > 0 and doc_id is not null").groupBy("set_key").agg(F.min("doc_id").alias("id"), F.first("bands").alias("bands"), F.first("signature").alias("signature"))
     reps = materialize(reps, "representatives")
     links, keys, part = None, None, None
@@ -201,7 +222,7 @@ def near_groups(docs: DataFrame, percent: int = 85, size: int = 5) -> DataFrame:
             rows = rows.join(part, "id", "left").select("id", "signature", "key", F.coalesce("component_id", "id").alias("part"))
         else:
             rows = rows.withColumn("part", F.col("id"))
-        found = materialize(candidates(rows, most), "candidates")
+        found = materialize(candidates(rows, most, percent), "candidates")
         pairs = materialize(found.where("b is not null").distinct(), "pairs")
         new = confirm(docs, pairs, size, percent)
         discard(pairs)
