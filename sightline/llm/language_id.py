@@ -164,21 +164,24 @@ def predict(docs: DataFrame, model: KernelModel | None, *extra: str) -> DataFram
 
 
 def accept(docs: DataFrame, model: KernelModel | None) -> DataFrame:
-    """The rows of a table whose text has a known language (not `und`), with all their columns."""
+    """The rows of a table whose text is not `und`, with all their columns.
+
+    Letters alone decide: a text without any goes.  The model gives every other
+    text one of its languages, so its score turns none away; without a model
+    (no row has a label) they stay as well.
+    """
     small_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(model)  # landmarks x n-grams: bounded by `landmarks`
 
     def run(batches):
         m = shared.value
         for b in batches:
-            if m is None:
-                continue
             texts = b.column("text").to_pylist()
             keep = []
             for at in range(0, len(texts), 256):
                 codes = [grams(t) if t else np.zeros(0, np.int32) for t in texts[at : at + 256]]
                 known = np.array([len(g) > 0 for g in codes])
-                if known.any():
+                if m is not None and known.any():
                     s = m.scores([g for g in codes if len(g)])
                     known[known] = np.isfinite(s.max(1)) & (s.max(1) > 0)
                 keep.append(known)
