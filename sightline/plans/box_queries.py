@@ -130,6 +130,13 @@ def window_join(spark, sf):
     return L.within_window(d, e.select("video", "frame").distinct(), 2).select("video", "frame", "detected_at", "brand")
 
 
+@query()
+def window_join_all(spark, sf):
+    """All brands; without SQL, whose join by range is slow over all rows. A test holds it against brute force."""
+    e = table(spark, sf, "detections")
+    return L.within_window(e.select("video", "frame", "brand").distinct(), e.select("video", "frame").distinct(), 2).select("video", "frame", "detected_at", "brand")
+
+
 @query("""WITH g AS (SELECT frame, array_agg(DISTINCT CAST(supp % 9 - 4 AS INT)) AS a FROM [boxes] GROUP BY frame), e AS (SELECT frame, a, list_filter([-2, 1], lambda o: list_contains(a, o)) AS x FROM g),
     u AS (SELECT frame, unnest(a) AS o FROM e WHERE len(x) = 0), n AS (SELECT frame, o FROM u QUALIFY row_number() OVER (PARTITION BY frame ORDER BY abs(o), o) <= 2)
     SELECT frame, array_to_string(x, ',') AS offsets FROM e WHERE len(x) > 0 UNION ALL SELECT frame, string_agg(CAST(o AS STRING), ',' ORDER BY o) FROM n GROUP BY frame""")
@@ -160,6 +167,13 @@ def same_frame_pairs(spark, sf):
     return b.join(b.select("frame", F.col("part").alias("other")), "frame").where("part < other")
 
 
+@query()
+def same_frame_pairs_all(spark, sf):
+    """Pairs of all boxes of a frame, whatever their score. A test holds it against brute force."""
+    b = _boxes(spark, sf).select("frame", "part")
+    return b.join(b.select("frame", F.col("part").alias("other")), "frame").where("part < other")
+
+
 @query(f"SELECT {K}, label, price FROM [boxes] QUALIFY row_number() OVER (PARTITION BY frame ORDER BY price, part) = 1")
 def first_per_frame(spark, sf):
     return L.first_per(_boxes(spark, sf), ["frame"], ["price", "part"]).select(*KEY, "label", "price")
