@@ -3,7 +3,7 @@
 import random
 
 import corpus_pipeline
-from test_operators import shingles
+from near_brute import shingles
 
 from sightline.llm import minhash
 

@@ -7,7 +7,7 @@ from collections import defaultdict
 import corpus_pipeline
 import numpy as np
 import public_tokenizers as P
-from test_operators import near_components
+from near_brute import near_components
 from tokenizers import Tokenizer
 
 
