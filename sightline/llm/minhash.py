@@ -2,26 +2,28 @@
 
 Two small collections of band hashes, U and V, are computed for each shingle
 set, and a table key is a pair (U_i, V_j): with m hashes in each collection
-there are m * m tables for 2m band computations.  Rows are dealt by U_i; inside
-such a bucket the pairs with some V_j in common are those that share a table
-key.  At similarity s a pair is missed with a probability below
-2 * (1 - s**2)**m.  The limit sets m so that a pair at it is missed with at most
-1e-5: 10 at 0.85 (5e-6 there, 1e-7 at 0.9), 12 at 0.8.
-
-Equal sets are one representative first.  Signatures of 128 bytes prune pairs
-that are far from the limit (86 of 128 agreeing at 0.85; a linked pair falls
-below with a probability of about 1e-7).  What remains is confirmed on full sets.
-
-A bucket does not emit all its pairs: with more than four candidates a row it
-emits each row's nearest partners that are not yet in one component with it
-and is looked at again when those are confirmed; in the third round what still
-joins different components is emitted whole.  So components are exact while
-large groups stay near linear.
+there are m * m tables for 2m band computations (4m minhashes in all).  At
+similarity s a pair is missed with a probability below 2 * (1 - s**2)**m.  The
+limit sets m so that a pair at it is missed with at most 1e-5: 10 at 0.85 (5e-6
+there, 1e-7 at 0.9), 12 at 0.8.
+
+Equal sets are one representative first.  Representatives are dealt by table key.
+The documents of a key give a star, each with the least of them, so rows and not
+pairs are counted; a task does so for keys that are frequent in it before the
+shuffle and passes on the least document alone.  The distinct edges of all stars
+are pruned by their minhashes (a linked pair falls below with a probability of
+2e-7) and confirmed on full sets.
+
+A star edge that is not confirmed may hide a link between others of its key.  So
+keys whose documents are not in one component then are looked at again: between
+components, each document names its nearest four, and when these are confirmed
+all that are left.  No link between components is left out.
 
 Texts without words (null, empty, white space) have an empty set and link with
-nothing.  Rows with a null doc_id link with nothing.  Rows repeated under one
-doc_id count once as nodes and each give a row.  An empty table gives an empty
-result; other columns are ignored.
+nothing.  Rows with a null doc_id link with nothing and have no component.  Rows
+repeated under one doc_id count once as nodes and each give a row.  Very long
+texts count whole; equally near partners are taken by doc_id.  An empty table
+gives an empty result; other columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -36,46 +38,50 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import components, discard, documents, id_map, id_places, materialize, tasks, without_ids
+from .common import components, documents, mark_maybe, materialize, tasks, without_ids
 from .shingles import helpings, shingle_sets
 
-ROWS, SIGNATURE = 2, 128
-_factors = np.random.default_rng(41).integers(1 << 62, 1 << 63, SIGNATURE).astype(np.uint64) * np.uint64(2) + np.uint64(1)
+#: Minhashes of a band, and the most of a document.
+ROWS, MOST = 2, 256
+#: Documents of one key in a task beyond which their star is made before the shuffle; table entries held at a time; documents compared in a block.
+MANY, FLUSH, BLOCK = 16, 2_000_000, 2048
+_factors = np.random.default_rng(41).integers(1 << 62, 1 << 63, MOST).astype(np.uint64) * np.uint64(2) + np.uint64(1)
 
 
 def bands(percent: int) -> int:
     """How many bands in each collection (m) miss a pair at the limit with a probability of at most 1e-5."""
     m, s = 1, percent / 100
-    while 2 * (1 - s**ROWS) ** m > 1e-5 and 2 * (m + 1) * ROWS <= SIGNATURE:
+    while 2 * (1 - s**ROWS) ** m > 1e-5 and 2 * (m + 1) * ROWS <= MOST:
         m += 1
     return m
 
 
 def least_agreeing(percent: int) -> int:
-    """The most signature bytes for which a pair at the limit has fewer with a probability of at most 2e-7."""
+    """The most of a document's minhashes of which a pair at the limit shares fewer with a probability of at most 2e-7."""
+    n = 2 * ROWS * bands(percent)
     s, k, below = percent / 100, 0, 0.0
-    while k < SIGNATURE:
-        below += math.comb(SIGNATURE, k) * s**k * (1 - s) ** (SIGNATURE - k)
+    while k < n:
+        below += math.comb(n, k) * s**k * (1 - s) ** (n - k)
         if below > 2e-7:
             break
         k += 1
     return k
 
 
-def minhashes(sets: list[np.ndarray]) -> np.ndarray:
-    """The least of each permuted set: a row per set, which must not be empty."""
+def minhashes(sets: list[np.ndarray], n: int) -> np.ndarray:
+    """The least of each permuted set: a row of n per set, which must not be empty."""
     flat = np.concatenate(sets)
     first = np.cumsum([0, *map(len, sets[:-1])])
-    out = np.empty((len(sets), SIGNATURE), np.uint64)
-    for k in range(SIGNATURE):
+    out = np.empty((len(sets), n), np.uint64)
+    for k in range(n):
         out[:, k] = np.minimum.reduceat(flat * _factors[k], first)
     return out
 
 
-def band_hashes(low: np.ndarray, m: int) -> np.ndarray:
-    """U_0 .. U_(m-1), each of ROWS minhashes, with its number mixed in."""
-    out = np.empty((len(low), m), np.uint64)
-    for i in range(m):
+def band_hashes(low: np.ndarray) -> np.ndarray:
+    """U and V: the hash of each ROWS minhashes in turn."""
+    out = np.empty((len(low), low.shape[1] // ROWS), np.uint64)
+    for i in range(out.shape[1]):
         h = np.full(len(low), i + 1, np.uint64)
         for r in range(ROWS):
             h = (h ^ low[:, i * ROWS + r]) * np.uint64(0x9E3779B97F4A7C15)
@@ -84,9 +90,17 @@ def band_hashes(low: np.ndarray, m: int) -> np.ndarray:
     return out
 
 
+def table_keys(bands_: np.ndarray) -> np.ndarray:
+    """The keys (U_i, V_j) of each row of band hashes: m * m of them."""
+    m = bands_.shape[1] // 2
+    h = (bands_[:, :m, None] ^ (bands_[:, None, m:] >> np.uint64(17))) * np.uint64(0xD6E8FEB86659FD93) + bands_[:, None, m:]
+    h ^= h >> np.uint64(29)
+    return (h * np.uint64(0x9E3779B97F4A7C15)).reshape(len(bands_), m * m)
+
+
 def signatures(docs: DataFrame, size: int = 5, percent: int = 85) -> DataFrame:
-    """doc_id, n_shingles, set_key (16 bytes), bands (m longs) and signature (bytes) of each whole text."""
-    m = bands(percent)
+    """doc_id, n_shingles, set_key (16 bytes), bands (U and V, packed longs) and signature (a byte of each minhash) of each whole text."""
+    n = 2 * ROWS * bands(percent)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
@@ -96,116 +110,201 @@ def signatures(docs: DataFrame, size: int = 5, percent: int = 85) -> DataFrame:
                 some = [k for k, s in enumerate(sets) if len(s)]
                 keys, sig = [None] * len(sets), [None] * len(sets)
                 if some:
-                    low = minhashes([sets[k] for k in some])
-                    u = band_hashes(low, m).view(np.int64)
+                    low = minhashes([sets[k] for k in some], n)
+                    u = band_hashes(low)
                     s = ((low * np.uint64(0xD6E8FEB86659FD93)) >> np.uint64(56)).astype(np.uint8)
                     for r, k in enumerate(some):
-                        keys[k], sig[k] = u[r], s[r].tobytes()
+                        keys[k], sig[k] = u[r].tobytes(), s[r].tobytes()
                 yield pd.DataFrame({"doc_id": b["doc_id"].iloc[i:j].array, "n_shingles": [len(s) for s in sets], "set_key": [hashlib.blake2b(s.tobytes(), digest_size=16).digest() for s in sets], "bands": keys, "signature": sig})
 
     rows = documents(docs).select("doc_id", F.col("text").cast("binary").alias("text"))
-    return rows.mapInPandas(run, "doc_id long, n_shingles long, set_key binary, bands array<long>, signature binary")
+    return rows.mapInPandas(run, "doc_id long, n_shingles long, set_key binary, bands binary, signature binary")
 
 
-def _bucket(ids: np.ndarray, part: np.ndarray, sig: np.ndarray, most: int | None, percent: int) -> tuple[np.ndarray, np.ndarray, bool]:
-    """Candidate pairs of a bucket (as indices), and whether some were put off.
+def star(key: np.ndarray, id_: np.ndarray, last: bool) -> tuple[np.ndarray, np.ndarray]:
+    """Edges (a, b, key) of each key's documents with the least of them, and the places of entries to go on.
 
-    part: component of each row; most: partners a row may name when there are
-    many candidates, or None for all of them.
+    Unless this is the last time a key is looked at, only keys of more than MANY documents give edges; of these the least document goes on.
     """
-    n, m, least = len(ids), bands(percent), least_agreeing(percent)
-    v = sig[:, m * ROWS : 2 * m * ROWS].copy().view(np.uint16).reshape(n, m) if ROWS == 2 else None
+    order = np.lexsort((id_, key))
+    k, i = key[order], id_[order]
+    begins = np.append(True, k[1:] != k[:-1])
+    first = np.flatnonzero(begins)
+    group = np.cumsum(begins) - 1
+    count = np.diff(np.append(first, len(k)))[group]
+    done = (count > (1 if last else MANY)) & ~begins
+    at = np.flatnonzero(done & (i != i[first[group]]))
+    edges = np.stack([i[first[group[at]]], i[at], k[at].view(np.int64)], 1)
+    return edges, np.sort(order[~done]) if not last else order[:0]
+
+
+def stars(reps: DataFrame, percent: int) -> DataFrame:
+    """Edges (a, b, key), a < b, of the stars of all table keys of reps(id, bands)."""
+    spark = reps.sparkSession
+    m, buckets = bands(percent), 4 * tasks(spark)
+
+    def table(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held, size, turn = [], 0, 0
+
+        def flush():
+            key, id_ = map(np.concatenate, zip(*held, strict=True))
+            edges, on = star(key, id_, False)
+            key, id_ = key[on], id_[on]
+            bucket = ((key >> np.uint64(40)) % np.uint64(buckets)).astype(np.uint16 if buckets <= 1 << 16 else np.int64)
+            order = np.argsort(bucket, kind="stable")
+            key, id_ = key[order], id_[order]
+            cut = np.searchsorted(bucket[order], np.arange(buckets + 1))
+            # Ids ascend within a bucket, so their differences are small numbers.
+            out = [(k, False, key[cut[k] : cut[k + 1]].tobytes(), np.diff(id_[cut[k] : cut[k + 1]], prepend=0).view(np.uint8).reshape(-1, 8).T.tobytes()) for k in np.flatnonzero(np.diff(cut)).tolist()]
+            if len(edges):
+                out.append((turn % buckets, True, edges.tobytes(), b""))
+            return pd.DataFrame(out, columns=["bucket", "edges", "data", "ids"])
+
+        for b in batches:
+            b = b.sort_values("id")
+            for at in range(0, len(b), 4096):
+                part = b.iloc[at : at + 4096]
+                key = table_keys(np.frombuffer(b"".join(part["bands"]), np.uint64).reshape(len(part), 2 * m))
+                id_ = part["id"].to_numpy(np.int64)
+                turn = turn or int(id_[0] & 0xFFFF)
+                held.append((key.ravel(), np.repeat(id_, m * m)))
+                size += key.size
+                if size >= FLUSH:
+                    yield flush()
+                    held, size, turn = [], 0, turn + 1
+        if held:
+            yield flush()
+
+    def meet(batches):
+        import pyarrow as pa
+
+        held, size, now = [], 0, None
+
+        def out(edges):
+            return pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(c)) for c in edges.T], ["a", "b", "key"])
+
+        for b in batches:
+            for bucket, is_edges, data, ids in zip(b.column("bucket").to_pylist(), b.column("edges").to_pylist(), b.column("data"), b.column("ids"), strict=True):
+                if is_edges:
+                    yield out(np.frombuffer(data.as_py(), np.int64).reshape(-1, 3))
+                    continue
+                if held and bucket != now:
+                    yield out(star(*map(np.concatenate, zip(*held, strict=True)), True)[0])
+                    held, size = [], 0
+                now = bucket
+                key = np.frombuffer(data.as_py(), np.uint64)
+                held.append((key, np.cumsum(np.ascontiguousarray(np.frombuffer(ids.as_py(), np.uint8).reshape(8, -1).T).view(np.int64).ravel())))
+                size += len(key)
+                if size > 2 * FLUSH:  # frequent keys need not pile up
+                    key, id_ = map(np.concatenate, zip(*held, strict=True))
+                    edges, on = star(key, id_, False)
+                    yield out(edges)
+                    held = [(key[on], id_[on])]
+                    size = size // 2 if len(on) > FLUSH else len(on)
+        if held:
+            yield out(star(*map(np.concatenate, zip(*held, strict=True)), True)[0])
+
+    dealt = reps.select("id", "bands").mapInPandas(table, "bucket int, edges boolean, data binary, ids binary")
+    return dealt.repartition(tasks(spark), "bucket").sortWithinPartitions("edges", "bucket").mapInArrow(meet, "a long, b long, key long")
+
+
+def _between(x: tuple, y: tuple | None, most: int | None, least: int) -> tuple[np.ndarray, np.ndarray]:
+    """Ids of pairs of two blocks (ids, parts, signatures), or within one, that are in different components and agree in enough minhashes.
+
+    most: partners each document names, the nearest first, or None for all.
+    """
+    ids, part, sig = x
+    other, their, signs = y or x
     a, b, e = [], [], []
-    step = max(1, (1 << 22) // (n * 16))
-    for i in range(0, n, step):
-        s = sig[i : i + step]
-        agree = np.zeros((len(s), n), np.uint8)
-        for k in range(0, SIGNATURE, 8):
-            agree += (s[:, None, k : k + 8] == sig[None, :, k : k + 8]).sum(2, dtype=np.uint8)
-        ok = (agree >= least) & (part[i : i + step, None] != part[None, :])
-        x, y = np.nonzero(ok)
-        keep = (v[i + x] == v[y]).any(1)
-        a.append(i + x[keep])
-        b.append(y[keep])
-        e.append(agree[x[keep], y[keep]])
+    step = max(1, (1 << 24) // (len(other) * sig.shape[1]))
+    for i in range(0, len(ids), step):
+        agree = (sig[i : i + step, None, :] == signs[None, :, :]).sum(2, dtype=np.int16)
+        row, col = np.nonzero((agree >= least) & (part[i : i + step, None] != their[None, :]))
+        a.append(i + row)
+        b.append(col)
+        e.append(agree[row, col])
     a, b, e = np.concatenate(a), np.concatenate(b), np.concatenate(e)
-    later = most is not None and len(a) > 8 * n
-    if later:
-        order = np.lexsort((b, -e.astype(np.int64), a))
+    if most is not None:
+        order = np.lexsort((other[b], -e, a))
         a, b = a[order], b[order]
-        turn = np.arange(len(a)) - np.searchsorted(a, a, side="left")
-        a, b = a[turn < most], b[turn < most]
-    else:
-        a, b = a[a < b], b[a < b]
-    return a, b, later
+        few = np.arange(len(a)) - np.searchsorted(a, a, side="left") < most
+        a, b = a[few], b[few]
+    return np.minimum(ids[a], other[b]), np.maximum(ids[a], other[b])
+
 
+def between_components(members: DataFrame, most: int | None, percent: int) -> DataFrame:
+    """Pairs (a, b) of members(key, id, part, signature) of one key in different components.
 
-def candidates(rows: DataFrame, most: int | None, percent: int = 85) -> DataFrame:
-    """From rows (id, part, bands, signature), pairs (a, b) that share a table key, or (key, null) for buckets to be looked at again."""
+    A key of two documents has been decided before.  Keys of many documents are dealt in pairs of blocks.
+    """
+    least, n = least_agreeing(percent), 2 * ROWS * bands(percent)
+    sizes = members.groupBy("key").agg(F.count("*").alias("n"), F.min("part").alias("low"), F.max("part").alias("high")).where("low < high and n > 2").select("key", F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks"))
+    rows = members.join(materialize(sizes, "keys"), "key").withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
+    rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    rows = rows.select("key", "id", "part", "signature", F.least("block", "other").alias("bi"), F.greatest("block", "other").alias("bj"), (F.col("block") > F.col("other")).alias("side"))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         def stream():
             for b in batches:
-                yield from zip(b["key"].tolist(), b["id"].tolist(), b["part"].tolist(), b["signature"], strict=True)
-
-        held: list = []
-        for key, group in groupby(stream(), lambda r: r[0]):
-            group = list(group)
-            if len(group) > 1:
-                ids, part = np.array([r[1] for r in group]), np.array([r[2] for r in group])
-                sig = np.frombuffer(b"".join(r[3] for r in group), np.uint8).reshape(len(group), SIGNATURE)
-                a, b, later = _bucket(ids, part, sig, most, percent)
-                held.extend(zip(np.minimum(ids[a], ids[b]).tolist(), np.maximum(ids[a], ids[b]).tolist(), strict=True))
-                if later:
-                    held.append((key, None))
-                if len(held) > 20_000:
-                    yield pd.DataFrame(held, columns=["a", "b"]).astype({"b": "Int64"})
-                    held = []
-        if held:
-            yield pd.DataFrame(held, columns=["a", "b"]).astype({"b": "Int64"})
+                yield from zip(b["key"].tolist(), b["bi"].tolist(), b["bj"].tolist(), b["side"].tolist(), b["id"].tolist(), b["part"].tolist(), b["signature"], strict=True)
 
-    dealt = rows.repartition(tasks(rows.sparkSession), "key").sortWithinPartitions("key", "id")
-    return dealt.mapInPandas(run, "a long, b long")
+        for (_, bi, bj), group in groupby(stream(), lambda r: r[:3]):
+            sides: list = [[], []]
+            for r in group:
+                sides[r[3]].append(r)
+            x, y = ((np.array([r[4] for r in g]), np.array([r[5] for r in g]), np.frombuffer(b"".join(r[6] for r in g), np.uint8).reshape(-1, n)) if g else None for g in sides)
+            if x is None or (bi != bj and y is None):
+                continue
+            a, b = _between(x, y, most, least)
+            if len(a):
+                yield pd.DataFrame({"a": a, "b": b}).drop_duplicates()
 
+    dealt = rows.repartition(tasks(rows.sparkSession), "key", "bi", "bj").sortWithinPartitions("key", "bi", "bj", "id")
+    return dealt.mapInPandas(run, "a long, b long").distinct()
 
-def full_sets(docs: DataFrame, ids: DataFrame, size: int) -> DataFrame:
-    """id and whole shingle set (array of long) of the documents in ids(id), and of a few others.
 
-    Texts don't cross a shuffle: each task passes by most documents that are
-    not asked for with a bit map of fixed size (2 MB), in which a wanted id
-    always has its bit.  Beyond as many ids as fill an eighth of it, ids are
-    looked up by a join instead.  What else passes drops out when sets are
-    joined with pairs.
-    """
-    rows = documents(docs).select(F.col("doc_id").alias("id"), F.col("text").cast("binary").alias("text"))
-    bits = id_map(ids)
-    seen = None if bits is None else docs.sparkSession.sparkContext.broadcast(bits)
-    if seen is None:
-        rows = rows.join(ids, "id", "left_semi")
+def agreeing(pairs: DataFrame, reps: DataFrame, percent: int) -> DataFrame:
+    """The pairs whose minhashes agree often enough."""
+    least = least_agreeing(percent)
+
+    def run(batches):
+        import pyarrow as pa
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            if seen is not None:
-                b = b[b["id"].notna().to_numpy() & (seen.value[b["place"].to_numpy()] > 0)]
-            texts = b["text"].tolist()
-            for i, j in helpings(texts):
-                yield pd.DataFrame({"id": b["id"].iloc[i:j].array, "shingles": [s.view(np.int64) for s in shingle_sets(texts[i:j], size)]})
+            x, y = (np.frombuffer(b"".join(b.column(c).to_pylist()), np.uint8).reshape(b.num_rows, -1) for c in ("x", "y"))
+            keep = (x == y).sum(1) >= least if b.num_rows else np.zeros(0, bool)
+            yield b.select(["a", "b"]).filter(pa.array(keep))
 
-    return rows.select("id", "text", id_places(F.col("id")).alias("place")).mapInPandas(run, "id long, shingles array<long>")
+    both = pairs.join(reps.select(F.col("id").alias("a"), F.col("signature").alias("x")), "a").join(reps.select(F.col("id").alias("b"), F.col("signature").alias("y")), "b")
+    return both.select("a", "b", "x", "y").mapInArrow(run, "a long, b long")
 
 
 def confirm(docs: DataFrame, pairs: DataFrame, size: int, percent: int) -> DataFrame:
-    """The pairs (a, b) whose full sets have 100 * intersection >= percent * union."""
-    ids = materialize(pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct(), "asked")
-    sets = materialize(full_sets(docs, ids, size), "shingle_sets")
-    left = pairs.join(sets.select(F.col("id").alias("a"), F.col("shingles").alias("x")), "a")
-    both = left.join(sets.select(F.col("id").alias("b"), F.col("shingles").alias("y")), "b")
-    shared = F.size(F.array_intersect("x", "y"))
-    links = both.select("a", "b", shared.alias("i"), (F.size("x") + F.size("y") - shared).alias("u")).where(100 * F.col("i") >= percent * F.col("u")).select("a", "b")
-    links = materialize(links, "links")
-    discard(sets)
-    discard(ids)
-    return links
+    """The pairs (a, b) whose full sets have 100 * intersection >= percent * union.
+
+    Only texts that a bit map does not rule out are shuffled; the texts of a
+    pair meet, and their sets are made there.
+    """
+    asked = materialize(pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct(), "asked")
+    texts = mark_maybe(documents(docs).where("doc_id is not null"), asked, "doc_id", "asked").where("asked").select("doc_id", F.col("text").cast("binary").alias("text"))
+    rows = pairs.join(texts.select(F.col("doc_id").alias("b"), F.col("text").alias("y")).hint("merge"), "b").join(texts.select(F.col("doc_id").alias("a"), F.col("text").alias("x")).hint("merge"), "a")
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            a, b, x, y = (batch[c].tolist() for c in ("a", "b", "x", "y"))
+            keep = np.zeros(len(a), bool)
+            for i, j in helpings(y):
+                fresh = [k for k in range(i, j) if k == i or a[k] != a[k - 1] or x[k] != x[k - 1]]
+                sets = shingle_sets([*(x[k] for k in fresh), *y[i:j]], size)
+                new, now = set(fresh), -1
+                for k in range(i, j):
+                    now += k in new
+                    p, q = sets[now], sets[len(fresh) + k - i]
+                    shared = len(np.intersect1d(p, q, assume_unique=True))
+                    keep[k] = 100 * shared >= percent * (len(p) + len(q) - shared)
+            yield batch[["a", "b"]][keep]
+
+    return materialize(rows.select("a", "b", "x", "y").mapInPandas(run, "a long, b long"), "links")
 
 
 def near_groups(docs: DataFrame, percent: int = 85, size: int = 5) -> DataFrame:
@@ -213,26 +312,31 @@ def near_groups(docs: DataFrame, percent: int = 85, size: int = 5) -> DataFrame:
     sig = materialize(signatures(docs, size, percent), "signatures")
     reps = sig.where("n_shingles > 0 and doc_id is not null").groupBy("set_key").agg(F.min("doc_id").alias("id"), F.first("bands").alias("bands"), F.first("signature").alias("signature"))
     reps = materialize(reps, "representatives")
-    links, keys, part = None, None, None
-    for most in (2, 8, None):
-        rows = reps.select("id", "signature", F.explode("bands").alias("key"))
-        if keys is not None:
-            rows = rows.join(keys, "key", "left_semi")
-        if part is not None:
-            rows = rows.join(part, "id", "left").select("id", "signature", "key", F.coalesce("component_id", "id").alias("part"))
-        else:
-            rows = rows.withColumn("part", F.col("id"))
-        found = materialize(candidates(rows, most, percent), "candidates")
-        pairs = materialize(found.where("b is not null").distinct(), "pairs")
-        new = confirm(docs, pairs, size, percent)
-        discard(pairs)
-        links = new if links is None else links.union(new)
-        keys = found.where("b is null").select(F.col("a").alias("key")).distinct()
-        part = materialize(components(links), "components")
-        if most is None or keys.isEmpty():
-            break
+    edges = materialize(stars(reps, percent), "stars")
+    named = materialize(edges.select("a", "b").distinct(), "named")
+    pairs = materialize(agreeing(named, reps, percent), "pairs")
+    links = confirm(docs, pairs, size, percent)
+    part = materialize(components(links), "components")
+
+    def parted(rows: DataFrame, name: str) -> DataFrame:
+        known = part.select(F.col("id").alias(name), F.col("component_id").alias(f"part_{name}"))
+        return rows.join(known, name, "left").withColumn(f"part_{name}", F.coalesce(f"part_{name}", name))
+
+    failed = materialize(parted(parted(named, "a"), "b").where("part_a <> part_b").select("a", "b"), "failed")
+    if not failed.isEmpty():
+        keys = materialize(edges.join(failed, ["a", "b"], "left_semi").select("key").distinct(), "keys")
+        again = edges.join(keys, "key", "left_semi")
+        members = again.select("key", F.col("a").alias("id")).union(again.select("key", "b")).distinct()
+        members = materialize(members.join(reps.select("id", "signature"), "id"), "members")
+        for most in (4, None):
+            found = between_components(parted(members, "id").withColumnRenamed("part_id", "part"), most, percent)
+            new = materialize(found.join(pairs, ["a", "b"], "left_anti"), "pairs")
+            if new.isEmpty():
+                break
+            links, pairs = links.union(confirm(docs, new, size, percent)), pairs.union(new)
+            part = materialize(components(links), "components")
     member = sig.join(reps.select("set_key", "id"), "set_key", "left").join(part, "id", "left")
-    own = F.when(F.col("n_shingles") > 0, F.coalesce("component_id", "id")).otherwise(F.col("doc_id"))
+    own = F.when(F.col("doc_id").isNotNull() & (F.col("n_shingles") > 0), F.coalesce("component_id", "id"))
     out = member.select("doc_id", "n_shingles", F.coalesce(own, F.col("doc_id")).alias("component_id"))
     return out.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(False)))
 

@@ -1,9 +1,10 @@
 """The near-copy stage of the pipeline at its own limit."""
 
+import math
 import random
 
 import corpus_pipeline
-from near_brute import shingles
+from near_brute import near_components, shingles
 
 from sightline.llm import minhash
 
@@ -24,7 +25,40 @@ def test_pairs_between_80_and_85_go(spark):
 
 
 def test_parameters_follow_the_limit():
-    assert (minhash.bands(85), minhash.least_agreeing(85)) == (10, 86)
+    assert minhash.bands(85) == 10  # 40 minhashes for 100 tables
+    shares = []
     for percent in (70, 80, 85, 90):
-        assert 2 * (1 - (percent / 100) ** 2) ** minhash.bands(percent) <= 1e-5
-    assert minhash.least_agreeing(70) < minhash.least_agreeing(80) < 86
+        m, s, k = minhash.bands(percent), percent / 100, minhash.least_agreeing(percent)
+        assert 2 * (1 - s**2) ** m <= 1e-5
+        assert sum(math.comb(4 * m, i) * s**i * (1 - s) ** (4 * m - i) for i in range(k)) <= 2e-7
+        shares.append(k / (4 * m))
+    assert shares == sorted(shares)
+
+
+def test_keys_are_looked_at_again(spark, monkeypatch):
+    """Chains of documents that share most table keys with one they don't link with, small blocks, and stars made before the shuffle."""
+    monkeypatch.setattr(minhash, "MANY", 3)
+    monkeypatch.setattr(minhash, "BLOCK", 4)
+    monkeypatch.setattr(minhash, "FLUSH", 900)
+    rng, texts = random.Random(12), {}
+    for family in range(6):
+        base = [f"f{family}w{k}" for k in range(150)]
+        for i in range(25):
+            t = list(base)
+            for j in range(i % 9):
+                t[7 + 16 * j] = f"e{i}"
+            if i % 4 == 0:
+                rng.shuffle(t)
+            texts[100 * family + i] = " ".join(t)
+    docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string").repartition(3)
+    got = {r["doc_id"]: r["component_id"] for r in minhash.near_groups(docs).collect()}
+    want = near_components(texts)
+    assert got == want and len(set(want.values())) > 20
+
+
+def test_without_id(spark):
+    """Rows without an id link with nothing."""
+    t = " ".join(f"w{k}" for k in range(30))
+    docs = spark.createDataFrame([(5, t), (None, t), (7, t)], "doc_id long, text string")
+    got = {(r["doc_id"], r["component_id"], r["kept"]) for r in minhash.near_groups(docs).collect()}
+    assert got == {(5, 5, True), (7, 5, False), (None, None, False)}
