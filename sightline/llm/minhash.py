@@ -15,9 +15,11 @@ are pruned by their minhashes (a linked pair falls below with a probability of
 2e-7) and confirmed on full sets.
 
 A star edge that is not confirmed may hide a link between others of its key.  So
-keys whose documents are not in one component then are looked at again: between
-components, each document names its nearest four, and when these are confirmed
-all that are left.  No link between components is left out.
+the documents of keys with such an edge are looked at again, dealt by U_i: those
+with the most common minhashes give stars, then documents outside the largest
+component of their U_i name their nearest four in other components, and last all
+in other components.  What is found is confirmed between these steps.  No link
+between components is left out.
 
 Texts without words (null, empty, white space) have an empty set and link with
 nothing.  Rows with a null doc_id link with nothing and have no component.  Rows
@@ -31,7 +33,6 @@ from __future__ import annotations
 import hashlib
 import math
 from collections.abc import Iterator
-from itertools import groupby
 
 import numpy as np
 import pandas as pd
@@ -99,7 +100,7 @@ def table_keys(bands_: np.ndarray) -> np.ndarray:
 
 
 def signatures(docs: DataFrame, size: int = 5, percent: int = 85) -> DataFrame:
-    """doc_id, n_shingles, set_key (16 bytes), bands (U and V, packed longs) and signature (a byte of each minhash) of each whole text."""
+    """doc_id, n_shingles, set_key (16 bytes), bands (U and V, packed longs) and signature (two bytes of each minhash) of each whole text."""
     n = 2 * ROWS * bands(percent)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -112,7 +113,7 @@ def signatures(docs: DataFrame, size: int = 5, percent: int = 85) -> DataFrame:
                 if some:
                     low = minhashes([sets[k] for k in some], n)
                     u = band_hashes(low)
-                    s = ((low * np.uint64(0xD6E8FEB86659FD93)) >> np.uint64(56)).astype(np.uint8)
+                    s = ((low * np.uint64(0xD6E8FEB86659FD93)) >> np.uint64(48)).astype(np.uint16)
                     for r, k in enumerate(some):
                         keys[k], sig[k] = u[r].tobytes(), s[r].tobytes()
                 yield pd.DataFrame({"doc_id": b["doc_id"].iloc[i:j].array, "n_shingles": [len(s) for s in sets], "set_key": [hashlib.blake2b(s.tobytes(), digest_size=16).digest() for s in sets], "bands": keys, "signature": sig})
@@ -208,59 +209,134 @@ def stars(reps: DataFrame, percent: int) -> DataFrame:
     return dealt.repartition(tasks(spark), "bucket").sortWithinPartitions("edges", "bucket").mapInArrow(meet, "a long, b long, key long")
 
 
-def _between(x: tuple, y: tuple | None, most: int | None, least: int) -> tuple[np.ndarray, np.ndarray]:
-    """Ids of pairs of two blocks (ids, parts, signatures), or within one, that are in different components and agree in enough minhashes.
-
-    most: partners each document names, the nearest first, or None for all.
-    """
-    ids, part, sig = x
-    other, their, signs = y or x
-    a, b, e = [], [], []
-    step = max(1, (1 << 24) // (len(other) * sig.shape[1]))
-    for i in range(0, len(ids), step):
-        agree = (sig[i : i + step, None, :] == signs[None, :, :]).sum(2, dtype=np.int16)
-        row, col = np.nonzero((agree >= least) & (part[i : i + step, None] != their[None, :]))
-        a.append(i + row)
-        b.append(col)
-        e.append(agree[row, col])
-    a, b, e = np.concatenate(a), np.concatenate(b), np.concatenate(e)
+def grouped(batches, columns: list[str]) -> Iterator[tuple[tuple, dict]]:
+    """Runs of equal values of the first columns but the last three (id, part, signature), as arrays."""
+    keys, left = columns[:-3], None
+    for b in batches:
+        now = {c: b.column(c).to_numpy(zero_copy_only=False) for c in columns[:-1]} | {"signature": np.array(b.column("signature").to_pylist(), object)}
+        if left is not None:
+            now = {c: np.concatenate([left[c], now[c]]) for c in columns}
+        n = len(now["id"])
+        if not n:
+            continue
+        cut = np.flatnonzero(np.logical_or.reduce([now[c][1:] != now[c][:-1] for c in keys])) + 1
+        begun = [0, *cut.tolist()]
+        for i, j in zip(begun, cut.tolist(), strict=False):
+            yield tuple(now[c][i] for c in keys), {c: now[c][i:j] for c in columns}
+        left = {c: now[c][begun[-1] :] for c in columns}
+    if left is not None:
+        yield tuple(left[c][0] for c in keys), left
+
+
+def _shared(x: np.ndarray, y: np.ndarray, turn: int, least: int) -> np.ndarray:
+    """Whether signatures x and y (n rows each) agree often enough, share a table key, and have band `turn` of U as their first in common."""
+    same = x == y
+    bands_ = same[:, 0::ROWS] & same[:, 1::ROWS]
+    m = bands_.shape[1] // 2
+    return (same.sum(1) >= least) & bands_[:, m:].any(1) & bands_[:, turn] & ~bands_[:, :turn].any(1)
+
+
+def _pairs(x: dict, y: dict, turn: int, least: int, most: int | None) -> pd.DataFrame:
+    """Pairs (a, b) of rows of two blocks in different components that `_shared` holds for; of each row of x the `most` nearest."""
+    s, t = (np.frombuffer(b"".join(g["signature"]), np.uint16).reshape(len(g["id"]), -1) for g in (x, y))
+    row, col, near = [], [], []
+    step = max(1, (1 << 23) // t.size)
+    for i in range(0, len(s), step):
+        agree = (s[i : i + step, None, :] == t[None, :, :]).sum(2, dtype=np.int16)
+        r, c = np.nonzero((agree >= least) & (x["part"][i : i + step, None] != y["part"][None, :]))
+        near.append(agree[r, c])
+        row.append(i + r)
+        col.append(c)
+    row, col, near = map(np.concatenate, (row, col, near))
+    ok = np.zeros(len(row), bool)
+    for i in range(0, len(row), 100_000):
+        ok[i : i + 100_000] = _shared(s[row[i : i + 100_000]], t[col[i : i + 100_000]], turn, least)
+    row, col, near = row[ok], col[ok], near[ok]
     if most is not None:
-        order = np.lexsort((other[b], -e, a))
-        a, b = a[order], b[order]
-        few = np.arange(len(a)) - np.searchsorted(a, a, side="left") < most
-        a, b = a[few], b[few]
-    return np.minimum(ids[a], other[b]), np.maximum(ids[a], other[b])
+        order = np.lexsort((y["id"][col], -near, row))
+        row, col = row[order], col[order]
+        few = np.arange(len(row)) - np.searchsorted(row, row, side="left") < most
+        row, col = row[few], col[few]
+    a, b = x["id"][row], y["id"][col]
+    return pd.DataFrame({"a": np.minimum(a, b), "b": np.maximum(a, b)})
+
+
+def _middle(g: dict, turn: int, least: int) -> pd.DataFrame:
+    """Pairs of a block's rows with that which agrees most with the commonest minhashes."""
+    s = np.frombuffer(b"".join(g["signature"]), np.uint16).reshape(len(g["id"]), -1)
+    votes = np.zeros(len(s), np.int64)
+    for c in s.T:
+        values, place, count = np.unique(c, return_inverse=True, return_counts=True)
+        votes += place == count.argmax()
+    k = int(votes.argmax())
+    at = np.flatnonzero(g["part"] != g["part"][k])
+    at = at[_shared(s[at], np.broadcast_to(s[k], (len(at), s.shape[1])), turn, least)]
+    return pd.DataFrame({"a": np.minimum(g["id"][at], g["id"][k]), "b": np.maximum(g["id"][at], g["id"][k])})
+
+
+def between_components(members: DataFrame, how: str, percent: int) -> DataFrame:
+    """Pairs (a, b) of members(id, part, signature) that share a table key and are in different components.
+
+    Members are dealt by U_i, and a pair is looked at for the first U_i it shares.
+    how: "middle" gives all pairs of few documents, and of more those with the
+    one in the middle of each block; "nearest" for each document outside the
+    largest component of its U_i the nearest four in each block; "all" all.  Only
+    documents outside the largest component are dealt to all blocks.
+    """
+    spark = members.sparkSession
+    least, m = least_agreeing(percent), bands(percent)
 
+    def explode(batches):
+        import pyarrow as pa
 
-def between_components(members: DataFrame, most: int | None, percent: int) -> DataFrame:
-    """Pairs (a, b) of members(key, id, part, signature) of one key in different components.
+        for b in batches:
+            s = np.frombuffer(b"".join(b.column("signature").to_pylist()), np.uint32).reshape(b.num_rows, 2 * m)[:, :m] if b.num_rows else np.zeros((0, m), np.uint32)
+            key = (s.astype(np.int64) + (np.arange(m, dtype=np.int64) << 32)).ravel()
+            at = pa.array(np.repeat(np.arange(b.num_rows), m))
+            yield pa.RecordBatch.from_arrays([pa.array(key), *(b.column(c).take(at) for c in ("id", "part", "signature"))], ["key", "id", "part", "signature"])
+
+    rows = materialize(members.select("id", "part", "signature").mapInArrow(explode, "key long, id long, part long, signature binary"), "bands")
+    sizes = rows.groupBy("key", "part").agg(F.count("*").alias("n")).groupBy("key").agg(F.sum("n").alias("n"), F.max("n").alias("most"), F.max_by("part", F.struct("n", "part")).alias("main"))
+    sizes = sizes.where("most < n").select("key", "main", F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks"), F.ceil((F.col("n") - F.col("most")) / BLOCK).cast("int").alias("others"), "n")
+    rows = rows.join(materialize(sizes, "sizes"), "key").withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
+    if how == "middle":
+        rows = rows.select("key", "block", F.lit(0).alias("other"), F.lit(False).alias("side"), "id", "part", "signature")
+    else:
+        every = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("others") - 1))).withColumn("side", F.lit(False))
+        out = rows.where("part <> main").withColumn("other", F.pmod(F.xxhash64("part", "id"), F.col("others")).cast("int")).withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).withColumn("side", F.lit(True))
+        rows = every.unionByName(out).select("key", "block", "other", "side", "id", "part", "signature")
+    columns = ["key", "block", "other", "side", "id", "part", "signature"]
 
-    A key of two documents has been decided before.  Keys of many documents are dealt in pairs of blocks.
-    """
-    least, n = least_agreeing(percent), 2 * ROWS * bands(percent)
-    sizes = members.groupBy("key").agg(F.count("*").alias("n"), F.min("part").alias("low"), F.max("part").alias("high")).where("low < high and n > 2").select("key", F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks"))
-    rows = members.join(materialize(sizes, "keys"), "key").withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
-    rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    rows = rows.select("key", "id", "part", "signature", F.least("block", "other").alias("bi"), F.greatest("block", "other").alias("bj"), (F.col("block") > F.col("other")).alias("side"))
+    def run(batches):
+        import pyarrow as pa
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        def stream():
-            for b in batches:
-                yield from zip(b["key"].tolist(), b["bi"].tolist(), b["bj"].tolist(), b["side"].tolist(), b["id"].tolist(), b["part"].tolist(), b["signature"], strict=True)
-
-        for (_, bi, bj), group in groupby(stream(), lambda r: r[:3]):
-            sides: list = [[], []]
-            for r in group:
-                sides[r[3]].append(r)
-            x, y = ((np.array([r[4] for r in g]), np.array([r[5] for r in g]), np.frombuffer(b"".join(r[6] for r in g), np.uint8).reshape(-1, n)) if g else None for g in sides)
-            if x is None or (bi != bj and y is None):
+        held, size, all_ = None, 0, []
+
+        def found():
+            return pa.RecordBatch.from_pandas(pd.concat(all_).drop_duplicates(), preserve_index=False)
+
+        for (key, block, other, side), g in grouped(batches, columns):
+            turn = int(key) >> 32
+            if how == "middle":
+                got = _pairs(g, g, turn, least, None) if len(g["id"]) <= 8 else _middle(g, turn, least)
+            elif not side:
+                held = (key, block, other), g
+                continue
+            elif held is None or held[0] != (key, block, other):
                 continue
-            a, b = _between(x, y, most, least)
-            if len(a):
-                yield pd.DataFrame({"a": a, "b": b}).drop_duplicates()
+            else:
+                got = _pairs(g, held[1], turn, least, 4 if how == "nearest" else None)
+            if len(got):
+                all_.append(got)
+                size += len(got)
+            if size > 50_000:
+                yield found()
+                size, all_ = 0, []
+        if all_:
+            yield found()
 
-    dealt = rows.repartition(tasks(rows.sparkSession), "key", "bi", "bj").sortWithinPartitions("key", "bi", "bj", "id")
-    return dealt.mapInPandas(run, "a long, b long").distinct()
+    dealt = rows.repartition(tasks(spark), "key", "block", "other").sortWithinPartitions("key", "block", "other", "side", "id")
+    return dealt.mapInArrow(run, "a long, b long").distinct()
 
 
 def agreeing(pairs: DataFrame, reps: DataFrame, percent: int) -> DataFrame:
@@ -271,7 +347,7 @@ def agreeing(pairs: DataFrame, reps: DataFrame, percent: int) -> DataFrame:
         import pyarrow as pa
 
         for b in batches:
-            x, y = (np.frombuffer(b"".join(b.column(c).to_pylist()), np.uint8).reshape(b.num_rows, -1) for c in ("x", "y"))
+            x, y = (np.frombuffer(b"".join(b.column(c).to_pylist()), np.uint16).reshape(b.num_rows, -1) for c in ("x", "y"))
             keep = (x == y).sum(1) >= least if b.num_rows else np.zeros(0, bool)
             yield b.select(["a", "b"]).filter(pa.array(keep))
 
@@ -326,13 +402,13 @@ def near_groups(docs: DataFrame, percent: int = 85, size: int = 5) -> DataFrame:
     if not failed.isEmpty():
         keys = materialize(edges.join(failed, ["a", "b"], "left_semi").select("key").distinct(), "keys")
         again = edges.join(keys, "key", "left_semi")
-        members = again.select("key", F.col("a").alias("id")).union(again.select("key", "b")).distinct()
+        members = again.select(F.col("a").alias("id")).union(again.select("b")).distinct()
         members = materialize(members.join(reps.select("id", "signature"), "id"), "members")
-        for most in (4, None):
-            found = between_components(parted(members, "id").withColumnRenamed("part_id", "part"), most, percent)
+        for how in ("middle", "nearest", "all"):
+            found = between_components(parted(members, "id").withColumnRenamed("part_id", "part"), how, percent)
             new = materialize(found.join(pairs, ["a", "b"], "left_anti"), "pairs")
             if new.isEmpty():
-                break
+                continue
             links, pairs = links.union(confirm(docs, new, size, percent)), pairs.union(new)
             part = materialize(components(links), "components")
     member = sig.join(reps.select("set_key", "id"), "set_key", "left").join(part, "id", "left")
