@@ -18,8 +18,9 @@ A star edge that is not confirmed may hide a link between others of its key.  So
 the documents of keys with such an edge are looked at again, dealt by U_i: those
 with the most common minhashes give stars, then documents outside the largest
 component of their U_i name their nearest four in other components, and last all
-in other components.  What is found is confirmed between these steps.  No link
-between components is left out.
+in other components.  What is found is confirmed between these steps.  Pairs are
+left out whose shingles that no other of these documents has rule a link out.  No
+link between components is lost.
 
 Texts without words (null, empty, white space) have an empty set and link with
 nothing.  Rows with a null doc_id link with nothing and have no component.  Rows
@@ -209,9 +210,25 @@ def stars(reps: DataFrame, percent: int) -> DataFrame:
     return dealt.repartition(tasks(spark), "bucket").sortWithinPartitions("edges", "bucket").mapInArrow(meet, "a long, b long, key long")
 
 
+def shingles_alone(docs: DataFrame, ids: DataFrame, size: int) -> DataFrame:
+    """id and alone of the documents in ids(id): how many of its shingles no other of them has."""
+    texts = mark_maybe(documents(docs).where("doc_id is not null"), ids, "doc_id", "asked").where("asked")
+    texts = texts.join(ids, texts["doc_id"] == ids["id"], "left_semi").select("doc_id", F.col("text").cast("binary").alias("text"))
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            texts = b["text"].tolist()
+            for i, j in helpings(texts):
+                sets = shingle_sets(texts[i:j], size)
+                yield pd.DataFrame({"id": np.repeat(b["doc_id"].to_numpy(np.int64)[i:j], [len(x) for x in sets]), "shingle": np.concatenate(sets).view(np.int64)})
+
+    alone = texts.mapInPandas(run, "id long, shingle long").groupBy("shingle").agg(F.min("id").alias("id"), F.max("id").alias("last")).where("id = last")
+    return alone.groupBy("id").agg(F.count("*").alias("alone"))
+
+
 def grouped(batches, columns: list[str]) -> Iterator[tuple[tuple, dict]]:
-    """Runs of equal values of the first columns but the last three (id, part, signature), as arrays."""
-    keys, left = columns[:-3], None
+    """Runs of equal values of the first columns but the last five (those of a member), as arrays."""
+    keys, left = columns[:-5], None
     for b in batches:
         now = {c: b.column(c).to_numpy(zero_copy_only=False) for c in columns[:-1]} | {"signature": np.array(b.column("signature").to_pylist(), object)}
         if left is not None:
@@ -236,7 +253,13 @@ def _shared(x: np.ndarray, y: np.ndarray, turn: int, least: int) -> np.ndarray:
     return (same.sum(1) >= least) & bands_[:, m:].any(1) & bands_[:, turn] & ~bands_[:, :turn].any(1)
 
 
-def _pairs(x: dict, y: dict, turn: int, least: int, most: int | None) -> pd.DataFrame:
+def _may_link(n: np.ndarray, common: np.ndarray, other_n: np.ndarray, other_common: np.ndarray, percent: int) -> np.ndarray:
+    """Whether sets of n and other_n shingles, of which other documents have `common`, can reach the limit; n is negative where an id has several sets."""
+    both = np.minimum(common, other_common)
+    return (100 * both >= percent * (n + other_n - both)) | (n < 0) | (other_n < 0)
+
+
+def _pairs(x: dict, y: dict, turn: int, least: int, most: int | None, percent: int) -> pd.DataFrame:
     """Pairs (a, b) of rows of two blocks in different components that `_shared` holds for; of each row of x the `most` nearest."""
     s, t = (np.frombuffer(b"".join(g["signature"]), np.uint16).reshape(len(g["id"]), -1) for g in (x, y))
     row, col, near = [], [], []
@@ -248,6 +271,8 @@ def _pairs(x: dict, y: dict, turn: int, least: int, most: int | None) -> pd.Data
         row.append(i + r)
         col.append(c)
     row, col, near = map(np.concatenate, (row, col, near))
+    may = _may_link(x["n"][row], x["common"][row], y["n"][col], y["common"][col], percent)
+    row, col, near = row[may], col[may], near[may]
     ok = np.zeros(len(row), bool)
     for i in range(0, len(row), 100_000):
         ok[i : i + 100_000] = _shared(s[row[i : i + 100_000]], t[col[i : i + 100_000]], turn, least)
@@ -261,7 +286,7 @@ def _pairs(x: dict, y: dict, turn: int, least: int, most: int | None) -> pd.Data
     return pd.DataFrame({"a": np.minimum(a, b), "b": np.maximum(a, b)})
 
 
-def _middle(g: dict, turn: int, least: int) -> pd.DataFrame:
+def _middle(g: dict, turn: int, least: int, percent: int) -> pd.DataFrame:
     """Pairs of a block's rows with that which agrees most with the commonest minhashes."""
     s = np.frombuffer(b"".join(g["signature"]), np.uint16).reshape(len(g["id"]), -1)
     votes = np.zeros(len(s), np.int64)
@@ -269,13 +294,13 @@ def _middle(g: dict, turn: int, least: int) -> pd.DataFrame:
         values, place, count = np.unique(c, return_inverse=True, return_counts=True)
         votes += place == count.argmax()
     k = int(votes.argmax())
-    at = np.flatnonzero(g["part"] != g["part"][k])
+    at = np.flatnonzero((g["part"] != g["part"][k]) & _may_link(g["n"], g["common"], g["n"][k], g["common"][k], percent))
     at = at[_shared(s[at], np.broadcast_to(s[k], (len(at), s.shape[1])), turn, least)]
     return pd.DataFrame({"a": np.minimum(g["id"][at], g["id"][k]), "b": np.maximum(g["id"][at], g["id"][k])})
 
 
 def between_components(members: DataFrame, how: str, percent: int) -> DataFrame:
-    """Pairs (a, b) of members(id, part, signature) that share a table key and are in different components.
+    """Pairs (a, b) of members(id, part, n, common, signature) that share a table key and are in different components.
 
     Members are dealt by U_i, and a pair is looked at for the first U_i it shares.
     how: "middle" gives all pairs of few documents, and of more those with the
@@ -285,6 +310,7 @@ def between_components(members: DataFrame, how: str, percent: int) -> DataFrame:
     """
     spark = members.sparkSession
     least, m = least_agreeing(percent), bands(percent)
+    member = ["id", "part", "n", "common", "signature"]
 
     def explode(batches):
         import pyarrow as pa
@@ -293,19 +319,19 @@ def between_components(members: DataFrame, how: str, percent: int) -> DataFrame:
             s = np.frombuffer(b"".join(b.column("signature").to_pylist()), np.uint32).reshape(b.num_rows, 2 * m)[:, :m] if b.num_rows else np.zeros((0, m), np.uint32)
             key = (s.astype(np.int64) + (np.arange(m, dtype=np.int64) << 32)).ravel()
             at = pa.array(np.repeat(np.arange(b.num_rows), m))
-            yield pa.RecordBatch.from_arrays([pa.array(key), *(b.column(c).take(at) for c in ("id", "part", "signature"))], ["key", "id", "part", "signature"])
+            yield pa.RecordBatch.from_arrays([pa.array(key), *(b.column(c).take(at) for c in member)], ["key", *member])
 
-    rows = materialize(members.select("id", "part", "signature").mapInArrow(explode, "key long, id long, part long, signature binary"), "bands")
+    rows = materialize(members.select(*member).mapInArrow(explode, "key long, id long, part long, n long, common long, signature binary"), "bands")
     sizes = rows.groupBy("key", "part").agg(F.count("*").alias("n")).groupBy("key").agg(F.sum("n").alias("n"), F.max("n").alias("most"), F.max_by("part", F.struct("n", "part")).alias("main"))
-    sizes = sizes.where("most < n").select("key", "main", F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks"), F.ceil((F.col("n") - F.col("most")) / BLOCK).cast("int").alias("others"), "n")
+    sizes = sizes.where("most < n").select("key", "main", F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks"), F.ceil((F.col("n") - F.col("most")) / BLOCK).cast("int").alias("others"))
     rows = rows.join(materialize(sizes, "sizes"), "key").withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
     if how == "middle":
-        rows = rows.select("key", "block", F.lit(0).alias("other"), F.lit(False).alias("side"), "id", "part", "signature")
+        rows = rows.select("key", "block", F.lit(0).alias("other"), F.lit(False).alias("side"), *member)
     else:
         every = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("others") - 1))).withColumn("side", F.lit(False))
         out = rows.where("part <> main").withColumn("other", F.pmod(F.xxhash64("part", "id"), F.col("others")).cast("int")).withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).withColumn("side", F.lit(True))
-        rows = every.unionByName(out).select("key", "block", "other", "side", "id", "part", "signature")
-    columns = ["key", "block", "other", "side", "id", "part", "signature"]
+        rows = every.unionByName(out).select("key", "block", "other", "side", *member)
+    columns = ["key", "block", "other", "side", *member]
 
     def run(batches):
         import pyarrow as pa
@@ -318,14 +344,14 @@ def between_components(members: DataFrame, how: str, percent: int) -> DataFrame:
         for (key, block, other, side), g in grouped(batches, columns):
             turn = int(key) >> 32
             if how == "middle":
-                got = _pairs(g, g, turn, least, None) if len(g["id"]) <= 8 else _middle(g, turn, least)
+                got = _pairs(g, g, turn, least, None, percent) if len(g["id"]) <= 8 else _middle(g, turn, least, percent)
             elif not side:
                 held = (key, block, other), g
                 continue
             elif held is None or held[0] != (key, block, other):
                 continue
             else:
-                got = _pairs(g, held[1], turn, least, 4 if how == "nearest" else None)
+                got = _pairs(g, held[1], turn, least, 4 if how == "nearest" else None, percent)
             if len(got):
                 all_.append(got)
                 size += len(got)
@@ -403,7 +429,11 @@ def near_groups(docs: DataFrame, percent: int = 85, size: int = 5) -> DataFrame:
         keys = materialize(edges.join(failed, ["a", "b"], "left_semi").select("key").distinct(), "keys")
         again = edges.join(keys, "key", "left_semi")
         members = again.select(F.col("a").alias("id")).union(again.select("b")).distinct()
-        members = materialize(members.join(reps.select("id", "signature"), "id"), "members")
+        # A set at the limit with any other has as great a share of shingles that others have.
+        n = sig.where("doc_id is not null").groupBy(F.col("doc_id").alias("id")).agg(F.when(F.min("set_key") == F.max("set_key"), F.max("n_shingles")).otherwise(-1).alias("n"))
+        members = materialize(members, "open")
+        members = members.join(reps.select("id", "signature"), "id").join(n, "id").join(shingles_alone(docs, members, size), "id", "left").withColumn("common", F.when(F.col("n") >= 0, F.col("n") - F.coalesce("alone", F.lit(0))).otherwise(-1))
+        members = materialize(members.where((100 * F.col("common") >= percent * F.col("n")) | (F.col("n") < 0)).select("id", "n", "common", "signature"), "members")
         for how in ("middle", "nearest", "all"):
             found = between_components(parted(members, "id").withColumnRenamed("part_id", "part"), how, percent)
             new = materialize(found.join(pairs, ["a", "b"], "left_anti"), "pairs")

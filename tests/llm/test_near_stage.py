@@ -62,3 +62,13 @@ def test_without_id(spark):
     docs = spark.createDataFrame([(5, t), (None, t), (7, t)], "doc_id long, text string")
     got = {(r["doc_id"], r["component_id"], r["kept"]) for r in minhash.near_groups(docs).collect()}
     assert got == {(5, 5, True), (7, 5, False), (None, None, False)}
+
+
+def test_several_texts_of_one_id(spark):
+    """A doc_id with several texts is one document that links by any of them."""
+    base = [f"w{k}" for k in range(200)]
+    texts = {1: base, 2: base[:180], 3: [f"v{k}" for k in range(90)], 4: [f"v{k}" for k in range(85)]}
+    rows = [(i, " ".join(t)) for i, t in texts.items()] + [(2, " ".join([*texts[3], "end"]))] + [(k, " ".join([*base[:100], *(f"u{k}_{j}" for j in range(60))])) for k in range(10, 20)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    got = {r["doc_id"]: r["component_id"] for r in minhash.near_groups(docs).collect()}
+    assert {k: got[k] for k in texts} == {1: 1, 2: 1, 3: 1, 4: 1} and all(got[k] == k for k in range(10, 20))
