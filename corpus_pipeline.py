@@ -15,7 +15,7 @@ from sightline.llm.common import materialize
 
 
 def known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents in a language; those that are null or have no letter go."""
+    """Documents in one of the languages learned from the labelled ones; those without a letter, or like no landmark of any of them, go."""
     return language_id.accept(docs, language_id.fit(docs.where(~language_id.held_out(3, 1))))
 
 

@@ -1,32 +1,43 @@
 """Exact deduplication with Patricia tries as owners.
 
-Texts are dealt by length and content hash.  Within a bucket each text is
-inserted whole into a compressed radix trie; the terminal node of a text keeps
-the best identifier seen and how many rows had it, so equality is decided by
-bytes, never by the hash.  Each task first does the same over its own rows, so
-a text repeated a billion times crosses the shuffle once per task.  A bucket
-whose trie outgrows its memory spills by subtree: the texts go to one file per
-leading byte after the common stem, and each file is then a trie of its own.
+Texts are dealt by their length and a short hash of their content.  All texts of
+such a bucket are inserted whole into one compressed radix trie; the terminal
+node of a text keeps the best identifier seen, how many rows had it, and which
+groups of rows, so equality is decided by bytes alone.  Each task first does the
+same over its own rows, so a text repeated a billion times crosses the shuffle
+once for each helping of a task.  A bucket whose trie outgrows its memory spills
+by subtree: the texts go to one file per leading byte after the common stem, and
+each file is then a trie of its own.  These files are scratch of one task, in its
+own temporary folder; nothing else reads them, and a task that is run again makes
+them anew.
+
+A task's groups are numbered and written once; their rows get the result of their
+group by its number, never by a hash.
 
 Nulls count as empty and empty texts are equal to each other.  Rows repeated
-with one doc_id count as rows.  A null doc_id loses to any other.  An empty table
-gives an empty result; other columns are ignored.
+with one doc_id count as rows.  A null doc_id loses to any other.  Very long texts
+are one entry like any other.  An empty table gives an empty result; other
+columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
 
 import os
 import tempfile
+from array import array
 from collections.abc import Iterator
 from itertools import groupby
 
 import pandas as pd
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import documents, fresh, tasks, without_ids
+from .common import documents, fresh, materialize, tasks, without_ids
 
 SPILL_BYTES = 128 << 20
+#: Values of the short hash.
+SHORT = 1 << 16
 
 
 def common_prefix(a: bytes, b: bytes) -> int:
@@ -53,21 +64,27 @@ class Node:
 
 
 class Trie:
-    """Compressed radix trie from byte strings to (best id, rows)."""
+    """Compressed radix trie from byte strings to [best id, rows, references]."""
 
     def __init__(self, better):
         self.root, self.size, self.better = Node(b""), 0, better
 
-    def insert(self, text: bytes, best: int, rows: int) -> None:
+    def insert(self, text: bytes, best: int, rows: int, *refs) -> None:
         node, at = self.root, 0
+        self.size += 8 * len(refs)
         while True:
             if at == len(text):
-                node.value = (best, rows) if node.value is None else (self.better(node.value[0], best), node.value[1] + rows)
+                if node.value is None:
+                    node.value = [best, rows, list(refs)]
+                else:
+                    node.value[0] = self.better(node.value[0], best)
+                    node.value[1] += rows
+                    node.value[2] += refs
                 return
             child = node.below.get(text[at])
             if child is None:
-                node.below[text[at]] = Node(text[at:], (best, rows))
-                self.size += len(text) - at + 200
+                node.below[text[at]] = Node(text[at:], [best, rows, list(refs)])
+                self.size += len(text) - at + 300
                 return
             rest = text[at : at + len(child.label)]
             if rest == child.label:
@@ -81,19 +98,19 @@ class Trie:
             self.size += 200
             node, at = upper, at + k
 
-    def items(self) -> Iterator[tuple[bytes, int, int]]:
-        """All texts with their values."""
+    def items(self) -> Iterator[tuple]:
+        """All texts with their values: text, best, rows and the references."""
         stack = [(self.root, b"")]
         while stack:
             node, stem = stack.pop()
             text = stem + node.label
             if node.value is not None:
-                yield text, *node.value
+                yield text, *node.value[:2], *node.value[2]
             stack.extend((c, text) for c in node.below.values())
 
 
-def owners(rows: Iterator[tuple[bytes, int, int]], better, limit: int = SPILL_BYTES) -> Iterator[tuple[bytes, int, int]]:
-    """Distinct texts of one bucket with best id and row count; spills by subtree beyond `limit` bytes."""
+def owners(rows: Iterator[tuple], better, limit: int = SPILL_BYTES) -> Iterator[tuple]:
+    """Distinct texts of one bucket with best id, row count and references (all longs); spills by subtree beyond `limit` bytes."""
     trie = Trie(better)
     for row in rows:
         trie.insert(*row)
@@ -111,14 +128,14 @@ def owners(rows: Iterator[tuple[bytes, int, int]], better, limit: int = SPILL_BY
         files: dict[int, object] = {}
         short = Trie(better)
 
-        def spill(text: bytes, best: int, n: int):
+        def spill(text: bytes, *values: int):
             if not text.startswith(stem) or len(text) <= depth:
-                short.insert(text, best, n)
+                short.insert(text, *values)
                 return
             f = files.get(text[depth])
             if f is None:
                 f = files[text[depth]] = open(os.path.join(folder, str(text[depth])), "w+b")  # noqa: SIM115
-            f.write(len(text).to_bytes(8, "little") + best.to_bytes(8, "little", signed=True) + n.to_bytes(8, "little") + text)
+            f.write(len(text).to_bytes(8, "little") + len(values).to_bytes(8, "little") + array("q", values).tobytes() + text)
 
         for item in trie.items():
             spill(*item)
@@ -129,8 +146,9 @@ def owners(rows: Iterator[tuple[bytes, int, int]], better, limit: int = SPILL_BY
 
         def back(f):
             f.seek(0)
-            while head := f.read(24):
-                yield f.read(int.from_bytes(head[:8], "little")), int.from_bytes(head[8:16], "little", signed=True), int.from_bytes(head[16:], "little")
+            while head := f.read(16):
+                values = array("q", f.read(8 * int.from_bytes(head[8:], "little")))
+                yield f.read(int.from_bytes(head[:8], "little")), *values
 
         for f in files.values():
             yield from owners(back(f), better, limit)
@@ -145,24 +163,30 @@ def exact_groups(docs: DataFrame, keep: str = "largest") -> DataFrame:
     """doc_id, keep_id, group_size, kept, text_sha256 of every row; `keep` says which doc_id of equal texts stays."""
     better, none = (max, LOWEST) if keep == "largest" else (min, HIGHEST)
     spark = docs.sparkSession
-    rows = documents(docs).select("doc_id", F.sha2(F.col("text").cast("binary"), 256).alias("text_sha256"), F.col("text").cast("binary").alias("text"))
-    rows = rows.select("*", F.octet_length("text").alias("size"))
+    rows = documents(docs).select("doc_id", F.col("text").cast("binary").alias("text"))
+    rows = rows.select("*", F.octet_length("text").alias("size"), F.pmod(F.xxhash64("text"), F.lit(SHORT)).cast("int").alias("short"))
 
     def local(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         """Distinct texts of the rows a task has read, in bounded helpings."""
         tries: dict = {}
-        held = 0
+        held, group = 0, TaskContext.get().partitionId() << 33
 
         def out():
-            return pd.DataFrame([(size, sha, text, best, n) for (size, sha), trie in tries.items() for text, best, n in trie.items()], columns=["size", "text_sha256", "text", "best", "n"])
+            nonlocal group
+            full = []
+            for (size, short), trie in tries.items():
+                for text, best, n, *ids in trie.items():
+                    full.append((group, size, short, text, best, n, ids))
+                    group += 1
+            return pd.DataFrame(full, columns=["group", "size", "short", "text", "best", "n", "ids"])
 
         for b in batches:
-            for doc, sha, text, size in zip(b["doc_id"], b["text_sha256"], b["text"], b["size"].tolist(), strict=True):
-                trie = tries.get((size, sha))
+            for doc, text, size, short in zip(b["doc_id"], b["text"], b["size"].tolist(), b["short"].tolist(), strict=True):
+                trie = tries.get((size, short))
                 if trie is None:
-                    trie = tries[size, sha] = Trie(better)
-                before = trie.size
-                trie.insert(text, none if pd.isna(doc) else int(doc), 1)
+                    trie = tries[size, short] = Trie(better)
+                before, doc = trie.size, None if pd.isna(doc) else int(doc)
+                trie.insert(text, none if doc is None else doc, 1, doc)
                 held += trie.size - before
             if held > SPILL_BYTES // 4:
                 yield out()
@@ -171,29 +195,29 @@ def exact_groups(docs: DataFrame, keep: str = "largest") -> DataFrame:
             yield out()
 
     def merge(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        """Rows come in order of (size, hash): one bucket after another."""
+        """Rows come in order of (size, short): one bucket after another."""
 
         def stream():
             for b in batches:
-                yield from zip(b["size"].tolist(), b["text_sha256"], b["text"], b["best"].tolist(), b["n"].tolist(), strict=True)
+                yield from zip(b["size"].tolist(), b["short"].tolist(), b["text"], b["best"].tolist(), b["n"].tolist(), b["group"].tolist(), strict=True)
 
         held = []
-        for (_, sha), bucket in groupby(stream(), lambda r: r[:2]):
-            for k, (_, best, n) in enumerate(owners((r[2:] for r in bucket), better)):
-                held.append((sha, k, best, n))
-            if len(held) >= 10_000:
-                yield pd.DataFrame(held, columns=["text_sha256", "k", "best", "n"])
-                held = []
+        for _, bucket in groupby(stream(), lambda r: r[:2]):
+            for _, best, n, *groups in owners((r[2:] for r in bucket), better):
+                held += [(g, best, n) for g in groups]
+                if len(held) >= 10_000:
+                    yield pd.DataFrame(held, columns=["group", "best", "group_size"])
+                    held = []
         if held:
-            yield pd.DataFrame(held, columns=["text_sha256", "k", "best", "n"])
+            yield pd.DataFrame(held, columns=["group", "best", "group_size"])
 
-    once = rows.mapInPandas(local, "size int, text_sha256 string, text binary, best long, n long")
-    dealt = once.repartition(tasks(spark), "size", "text_sha256").sortWithinPartitions("size", "text_sha256")
-    owner = dealt.mapInPandas(merge, "text_sha256 string, k int, best long, n long")
-    # Two different texts of one SHA-256 are not known to exist; should a trie ever hold them, fail rather than mix them.
-    owner = owner.select("text_sha256", F.when(F.col("k") > 0, F.raise_error(F.lit("two texts share a SHA-256"))).otherwise(F.col("best")).cast("long").alias("best"), F.col("n").alias("group_size"))
+    groups = materialize(rows.mapInPandas(local, "group long, size int, short int, text binary, best long, n long, ids array<long>"), "texts")
+    dealt = groups.select("group", "size", "short", "text", "best", "n").repartition(tasks(spark), "size", "short").sortWithinPartitions("size", "short")
+    owner = dealt.mapInPandas(merge, "group long, best long, group_size long")
+    each = groups.select("group", "ids", F.sha2("text", 256).alias("text_sha256")).join(owner, "group")
     keep_id = F.when(F.col("best") != none, F.col("best"))
-    return rows.select("doc_id", "text_sha256").join(owner, "text_sha256").select("doc_id", keep_id.alias("keep_id"), "group_size", F.coalesce(F.col("doc_id") == keep_id, F.lit(False)).alias("kept"), "text_sha256")
+    out = each.select(F.explode("ids").alias("doc_id"), keep_id.alias("keep_id"), "group_size", "text_sha256")
+    return out.select("doc_id", "keep_id", "group_size", F.coalesce(F.col("doc_id") == F.col("keep_id"), F.lit(False)).alias("kept"), "text_sha256")
 
 
 def drop_copies(docs: DataFrame, keep: str = "largest") -> DataFrame:

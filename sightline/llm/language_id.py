@@ -11,8 +11,10 @@ Letters are folded to 63 symbols (a to z, and other letters by their code
 point modulo 36); what is no letter is a gap, and runs of gaps are one.
 
 A null text, or one with no letter, is `und` with score 0.  Rows with a null
-label are never learned from.  Ties go to the first language in order.  With no
-rows to learn from, every text is `und`.  Other columns are ignored; an empty table gives an empty result.
+label are never learned from.  Very long texts are read whole.  Repeated rows are
+learned from once and predicted alike; ties go to the first language in order.
+With no rows to learn from, every text is `und`.  Other columns are ignored,
+whatever their names; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -28,6 +30,8 @@ from .common import small_batches
 from .pieces import L, char_classes
 
 SYMBOLS = 64
+#: The greatest kernel value with any landmark below which a text is in none of the languages.
+LEAST = 0.1
 
 
 def symbol_table() -> np.ndarray:
@@ -93,9 +97,13 @@ class KernelModel:
             out[at : at + len(part)] = present @ self.marks
         return out
 
+    def values(self, texts: list[np.ndarray]) -> np.ndarray:
+        """Regression values: 1 where a text belongs to the language, -1 where it belongs to the rest."""
+        return self.kernel(texts) @ self.project + self.weights[-1]
+
     def scores(self, texts: list[np.ndarray]) -> np.ndarray:
         """Of each text and language; a sharpened softmax of the regression values."""
-        value = 6 * (self.kernel(texts) @ self.project + self.weights[-1])
+        value = 6 * self.values(texts)
         value = np.exp(value - value.max(1, keepdims=True))
         return value / value.sum(1, keepdims=True)
 
@@ -103,19 +111,29 @@ class KernelModel:
 def fit(docs: DataFrame, label: str = "lang", sample: int = 1500, landmarks: int = 240, ridge: float = 0.05) -> KernelModel | None:
     """Fit on at most `sample` labelled rows of a table, spread over the labels; the first `landmarks` are the landmarks.
 
-    Rows are chosen by a hash of doc_id and of the text, evenly by label, so
-    the choice is the same at any partitioning; `sample` bounds what comes to
-    the driver (n-gram codes, not texts).
+    Of each label those with the least hash of doc_id and text are taken, evenly
+    by label, so the choice is the same at any partitioning.  Rows below a limit
+    that lets through some more than `sample` of each label come to the driver
+    (two numbers each), then the n-gram codes of those taken, never texts.
     """
-    from pyspark.sql import Window
-
     rows = docs.where(F.col(label).isNotNull() & F.col("text").isNotNull()).select(F.col("doc_id").cast("string").alias("d"), F.col(label).cast("string").alias("label"), "text").where(F.col("text").rlike(r"\p{L}"))
     rows = rows.withColumn("h", F.xxhash64("d", "text"))
-    turn = rows.select("label", "h").withColumn("turn", F.row_number().over(Window.partitionBy("label").orderBy("h"))).where(F.col("turn") <= sample)
-    picked = turn.orderBy("turn", "label").limit(sample).collect()
-    if not picked:
+    count = {r["label"]: r["n"] for r in rows.groupBy("label").agg(F.count("*").alias("n")).collect()}  # a row per label
+    least: dict[str, list[int]] = {}
+    wanted = {name: 2 * sample + 100 for name in count}
+    while wanted:
+        below = F.lit(False)
+        for name, n in wanted.items():
+            below = below | ((F.col("label") == name) & (F.col("h") <= min(2**63 - 1, -(2**63) + 2**64 * n // count[name])))
+        few: dict[str, list[int]] = {name: [] for name in wanted}
+        for r in rows.where(below).select("label", "h").distinct().collect():  # about `wanted` rows per label
+            few[r["label"]].append(r["h"])
+        least |= {name: sorted(h)[:sample] for name, h in few.items()}
+        wanted = {name: 8 * n for name, n in wanted.items() if len(few[name]) < sample and n < count[name]}  # repeated rows
+    turns = sorted((turn, name, h) for name, hashes in least.items() for turn, h in enumerate(hashes))[:sample]
+    if not turns:
         return None
-    most = {r["label"]: r["h"] for r in picked}  # the last turn of each label
+    most = {name: h for _, name, h in turns}  # the last turn of each label
 
     def codes(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
@@ -163,31 +181,30 @@ def predict(docs: DataFrame, model: KernelModel | None, *extra: str) -> DataFram
     return rows.mapInPandas(run, schema)
 
 
-def accept(docs: DataFrame, model: KernelModel | None) -> DataFrame:
-    """The rows of a table whose text is not `und`, with all their columns.
+def accept(docs: DataFrame, model: KernelModel | None, least: float = LEAST) -> DataFrame:
+    """The rows of a table that are in one of the model's languages, with all their columns.
 
-    Letters alone decide: a text without any goes.  The model gives every other
-    text one of its languages, so its score turns none away; without a model
-    (no row has a label) they stay as well.
+    A text without a letter goes, and one that is in none of the languages: that
+    has a kernel value below `least` with every landmark of them, so that the
+    regression could only guess.  Without a model (no row has a label) lettered
+    rows stay.
     """
     small_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(model)  # landmarks x n-grams: bounded by `landmarks`
 
     def run(batches):
+        import pyarrow as pa
+
         m = shared.value
         for b in batches:
             texts = b.column("text").to_pylist()
-            keep = []
+            keep = np.zeros(len(texts), bool)
             for at in range(0, len(texts), 256):
                 codes = [grams(t) if t else np.zeros(0, np.int32) for t in texts[at : at + 256]]
-                known = np.array([len(g) > 0 for g in codes])
-                if m is not None and known.any():
-                    s = m.scores([g for g in codes if len(g)])
-                    known[known] = np.isfinite(s.max(1)) & (s.max(1) > 0)
-                keep.append(known)
-            import pyarrow as pa
-
-            yield b.filter(pa.array(np.concatenate([np.zeros(0, bool), *keep])))
+                some = np.flatnonzero([len(g) > 0 for g in codes])
+                if len(some):
+                    keep[at + some] = True if m is None else m.kernel([codes[i] for i in some]).max(1) >= least
+            yield b.filter(pa.array(keep))
 
     return docs.mapInArrow(run, docs.schema)
 

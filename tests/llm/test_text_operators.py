@@ -49,6 +49,21 @@ def test_exact(spark, docs, texts):
     assert sorted((r["doc_id"] or 0, r["text"]) for r in exact_dedup.drop_copies(nameless).collect()) == [(0, "q"), (3, "r")]
 
 
+@pytest.mark.parametrize("short", [1, 3])
+def test_buckets_of_many_texts(spark, monkeypatch, short):
+    """Texts that share length and short hash are told apart by their bytes; each row gets its own group's result."""
+    monkeypatch.setattr(exact_dedup, "SHORT", short)
+    monkeypatch.setattr(exact_dedup, "SPILL_BYTES", 4000)
+    rng = np.random.default_rng(2)
+    rows = [(int(i), "".join(rng.choice(list("abé"), rng.integers(0, 6)))) for i in rng.permutation(600)]
+    groups = defaultdict(list)
+    for i, t in rows:
+        groups[t].append(i)
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    got = {r["doc_id"]: (r["keep_id"], r["group_size"], r["text_sha256"]) for r in exact_dedup.exact_groups(df).collect()}
+    assert got == {i: (max(groups[t]), len(groups[t]), hashlib.sha256(t.encode()).hexdigest()) for i, t in rows}
+
+
 def test_trie_spills():
     rng = np.random.default_rng(1)
     rows = [(bytes(rng.integers(97, 100, rng.integers(0, 9))), int(i), 1) for i in range(3000)]
