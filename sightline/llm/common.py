@@ -17,14 +17,16 @@ from pyspark.sql import functions as F
 def shared_dir(spark: SparkSession) -> str:
     """The cluster's shared folder (spark.checkpoint.dir).
 
-    Only where the setting is absent (tests on one machine) is a folder of our
-    own made and set.
+    Only where the setting is absent on one machine (local mode) is a folder of
+    our own made and set.
     """
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
         ready = spark.sparkContext._jsc.sc().getCheckpointDir()
         if ready.isDefined():
             folder = ready.get()
+        elif not re.match(r"local(\[[^\]]*\])?$", spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that all machines share")
         else:
             folder = "file://" + os.path.join(tempfile.gettempdir(), f"sightline-{uuid.uuid4().hex}")
             spark.sparkContext.setCheckpointDir(folder)
@@ -65,11 +67,16 @@ def discard(df: DataFrame) -> None:
         _delete(df.sparkSession, path)
 
 
-def small_batches(spark: SparkSession, rows: int = 1000) -> None:
-    """Texts are long rows: at most `rows` of them at a time go to a Python worker of this session."""
-    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    if not 0 < int(spark.conf.get(key)) <= rows:
-        spark.conf.set(key, str(rows))
+def small_batches(spark: SparkSession, rows: int = 1000, size: int = 8 << 20) -> None:
+    """Texts are long rows: at most `rows` of them, or about `size` bytes, go to a Python worker of this session at a time.
+
+    Both settings of the session stay so, since results are read after the
+    operator has returned; smaller ones are left as they are.
+    """
+    for key, most in (("spark.sql.execution.arrow.maxRecordsPerBatch", rows), ("spark.sql.execution.arrow.maxBytesPerBatch", size)):
+        now = spark.conf.get(key, None) or "0"
+        if not (now.isdigit() and 0 < int(now) <= most):
+            spark.conf.set(key, str(most))
 
 
 def documents(df: DataFrame, *extra: str) -> DataFrame:
@@ -91,49 +98,30 @@ def tasks(spark: SparkSession, least: int = 1) -> int:
     return max(least, int(spark.conf.get("spark.sql.shuffle.partitions")))
 
 
-#: Words of the bit map of ids, 2 MB in all.
-MAP_WORDS = 1 << 18
-
-
-def id_places(ids: Column) -> Column:
-    """The bit of each id."""
-    return F.pmod(F.xxhash64(ids), F.lit(64 * MAP_WORDS))
-
-
-def id_words(ids: DataFrame) -> DataFrame | None:
-    """A bit map of fixed size in which every id of ids(id) has its bit, as (w, bits); None for more ids than an eighth of its bits."""
-    if ids.count() > 8 * MAP_WORDS:
-        return None
-    return ids.select(id_places(F.col("id")).alias("p")).groupBy(F.expr("shiftright(p, 6)").alias("w")).agg(F.expr("bit_or(shiftleft(1L, cast(p % 64 as int)))").alias("bits"))
-
-
-def id_map(ids: DataFrame) -> np.ndarray | None:
-    """The bit map as one byte per bit."""
-    words = id_words(ids)
-    if words is None:
-        return None
-    bits = np.zeros(MAP_WORDS, np.int64)
-    for r in words.collect():  # MAP_WORDS rows at most
-        bits[r["w"]] = r["bits"]
-    return np.unpackbits(bits.view(np.uint8), bitorder="little")
+#: Bits that the map of ids has for each of them, and its words at most (64 bits each: 8 MB in all).
+MAP_BITS, MAP_WORDS = 16, 1 << 20
 
 
 def mark_maybe(df: DataFrame, ids: DataFrame, column: str, flag: str) -> DataFrame:
     """df with a column `flag`: false for most values of a column that are not in ids(id), true for all that are.
 
     For rows that are costly to shuffle: only those that may match go on to an
-    exact join.  The map is MAP_WORDS rows at most, so it is broadcast.  With
-    too many ids for it the flag is true throughout.
+    exact join.  The map has MAP_BITS bits an id and MAP_WORDS words at most, so
+    it is broadcast.  The more ids there are beyond MAP_WORDS * 64 / MAP_BITS,
+    the more rows are marked without need; the results are the same.
     """
-    words = id_words(ids)
-    if words is None:
-        return df.withColumn(flag, F.lit(True))
-    place, w, bits = (fresh(df, n) for n in ("_place", "_w", "_bits"))
-    words = words.select(F.col("w").alias(w), F.col("bits").alias(bits))
-    df = df.withColumn(place, id_places(F.col(column).cast("long")))
-    near = df.join(F.broadcast(words), F.shiftright(df[place], 6) == words[w], "left")
-    hit = F.expr(f"coalesce((shiftright(`{bits}`, cast(`{place}` % 64 as int)) & 1L) = 1L, false)")
-    return near.withColumn(flag, hit).drop(place, w, bits)
+    words = 1 << max(10, (ids.count() * MAP_BITS // 64).bit_length())
+    words = min(words, MAP_WORDS)
+
+    def place(column: Column) -> Column:
+        return F.pmod(F.xxhash64(column), F.lit(64 * words))
+
+    at, w, bits = (fresh(df, n) for n in ("_place", "_w", "_bits"))
+    map_ = ids.select(place(F.col("id").cast("long")).alias("p")).groupBy(F.expr("shiftright(p, 6)").alias(w)).agg(F.expr("bit_or(shiftleft(1L, cast(p % 64 as int)))").alias(bits))
+    df = df.withColumn(at, place(F.col(column).cast("long")))
+    near = df.join(F.broadcast(map_), F.shiftright(df[at], 6) == map_[w], "left")
+    hit = F.expr(f"coalesce((shiftright(`{bits}`, cast(`{at}` % 64 as int)) & 1L) = 1L, false)")
+    return near.withColumn(flag, hit).drop(at, w, bits)
 
 
 def without_ids(docs: DataFrame, gone: DataFrame) -> DataFrame:

@@ -46,7 +46,7 @@ from .shingles import helpings, shingle_sets
 #: Minhashes of a band, and the most of a document.
 ROWS, MOST = 2, 256
 #: Documents of one key in a task beyond which their star is made before the shuffle; table entries held at a time; documents compared in a block.
-MANY, FLUSH, BLOCK = 16, 1_000_000, 512
+MANY, FLUSH, BLOCK = 16, 600_000, 512
 _factors = np.random.default_rng(41).integers(1 << 62, 1 << 63, MOST).astype(np.uint64) * np.uint64(2) + np.uint64(1)
 
 

@@ -150,6 +150,7 @@ class IntMap:
         self.n += len(keys)
 
 
+LONG_PIECE = 1024  #: bytes of a piece beyond which it is merged by itself
 NONE = 1 << 17  #: the rank of a pair that does not merge, above all ranks
 
 
@@ -167,7 +168,7 @@ class Merges:
         by = np.argsort(pairs[:, 2], kind="stable")
         self.new_of_rank = np.zeros(int(pairs[:, 2].max()) + 1, np.int32)
         self.new_of_rank[pairs[by, 2]] = pairs[by, 3]
-        self.first, self.last, self.pairs = first, last, pairs
+        self.first, self.last, self.pairs, self.by_pair = first, last, pairs, None
 
     @staticmethod
     def _key(a, b):
@@ -187,6 +188,13 @@ class Merges:
         width = 1 << np.maximum(1, np.ceil(np.log2(np.maximum(sizes, 2))).astype(np.int64))
         for w in np.unique(width):
             rows = np.flatnonzero(width == w)
+            if w > LONG_PIECE:  # few and long: one tree at a time, point by point
+                for i in rows.tolist():
+                    ids = self._merge_long(pieces[i])
+                    flat.append(ids)
+                    count[i], begin[i] = len(ids), used
+                    used += len(ids)
+                continue
             step = max(1, (1 << 17) // int(w))
             for k in range(0, len(rows), step):
                 part = rows[k : k + step]
@@ -239,6 +247,53 @@ class Merges:
         live = sym[:, :w] >= 0
         return sym[:, :w][live], live.sum(1)
 
+    def _merge_long(self, piece: bytes) -> np.ndarray:
+        """The same for one long piece, on lists."""
+        n = len(piece)
+        bits = (n - 1).bit_length()
+        w = 1 << bits
+        ids = self.first[np.frombuffer(piece, np.uint8)].astype(np.int64)
+        ids[-1] = self.last[piece[-1]]
+        leaves = np.full(w, NONE, np.int64)
+        leaves[: n - 1] = self.ranks(ids[:-1], ids[1:])
+        levels = [(leaves << bits) + np.arange(w)]
+        while len(levels[-1]) > 1:
+            levels.append(np.minimum(levels[-1][0::2], levels[-1][1::2]))
+        tree = [0, *np.concatenate(levels[::-1]).tolist()]
+        if self.by_pair is None:
+            self.by_pair = {int(a) << 20 | int(b): int(r) for a, b, r, _ in self.pairs}
+        by_pair, new_of, none = self.by_pair, self.new_of_rank.tolist(), NONE << bits
+        sym, after, before = ids.tolist(), list(range(1, n + 1)), list(range(-1, n))
+
+        def point(leaf: int, value: int) -> None:
+            k = leaf + w
+            tree[k] = value
+            k >>= 1
+            while k:
+                two = 2 * k
+                least = tree[two] if tree[two] < tree[two + 1] else tree[two + 1]
+                if tree[k] == least:
+                    return
+                tree[k] = least
+                k >>= 1
+
+        while tree[1] < none:
+            i = tree[1] & (w - 1)
+            j = after[i]
+            k = after[j]
+            sym[i] = new_of[tree[1] >> bits]
+            sym[j] = -1
+            after[i] = k
+            if k < n:
+                before[k] = i
+            point(j, none + j)
+            point(i, (by_pair.get(sym[i] << 20 | sym[k], NONE) << bits) + i if k < n else none + i)
+            h = before[i]
+            if h >= 0:
+                point(h, (by_pair.get(sym[h] << 20 | sym[i], NONE) << bits) + h)
+        out = np.array(sym, np.int32)
+        return out[out >= 0]
+
     @staticmethod
     def _point(tree, rows, leaf, rank, w):
         """Set a leaf in each row's tree and mend the minima above it."""

@@ -10,14 +10,20 @@ the change of the token count; reading a marked byte leads back to the start.
 States and transitions are made when first met and then looked up.
 
 A batch of texts is one stream of bytes, cut into chunks of equal length that
-run side by side.  A chunk's state map is constant if a word ends in it;
-otherwise it is the run of the chunk from its predecessor's state.  A prefix
-scan over the maps gives each chunk its entry state, and its head, up to the
-first end of a word, is run from there.
-
-Nulls and empty texts have no tokens.  Special strings inside a text count as
-one token each, as the library's default has it.  Repeated rows count alike;
-an empty table gives an empty result; other columns are ignored.
+run side by side.  A chunk in which a word ends has a constant state map.  The map
+of any other is made lazily, for the start state and for every state that the map
+of the chunk before it leads to, until no new ones come up; runs from different
+states soon fall together.  Then maps are composed by a parallel prefix scan: in
+each step what has been reached is carried twice as many chunks on.  A chunk that
+is entered from the scan's state gets its count, and the head of a chunk, up to the
+first end of a word, is run from there.  Streams are taken in blocks, and the
+automaton's memory is emptied between blocks when it is full, so that it is bounded
+for texts of any kind and length.
+
+Nulls and empty texts have no tokens.  Special strings of the vocabulary inside a
+text count as one token each, as the library's default has it.  Very long texts are
+counted whole, also as one word.  Repeated rows count alike, ties don't arise; an
+empty table gives an empty result; other columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -36,9 +42,11 @@ from .common import documents
 from .tokens import lower_nfc
 
 CHUNK = 96
-#: Characters of a batch, and states after which the memory of the automaton is emptied between batches.
-BATCH, MOST_STATES = 1_000_000, 600_000
+#: Characters of a batch, symbols of a block, and states beyond which the memory of the automaton is emptied between blocks.
+BATCH, BLOCK, MOST_STATES = 1_000_000, 96 << 12, 150_000
 MARK = 256  # added to the last byte of a word
+#: A part of a state is node << 40, token before + 1 << 20, and the difference of counts + ZERO.
+ZERO, LOW = 1 << 19, (1 << 40) - 1
 
 
 class Transducer:
@@ -77,7 +85,7 @@ class Transducer:
         self.states: dict[tuple, int] = {}
         self.content: list[tuple] = []
         self.map, self.next, self.change, self.n = P.IntMap(20), np.zeros(1 << 16, np.int32), np.zeros(1 << 16, np.int32), 0
-        self._state(((0, -1, 0),))
+        self._state((ZERO,))
 
     def _state(self, content: tuple) -> int:
         k = self.states.get(content)
@@ -116,22 +124,25 @@ class Transducer:
 
     def _make(self, state: int, symbol: int) -> tuple[int, int]:
         """Next state and change of the count."""
-        content = self.content[state]
-        grown, found = [], None
-        for node, before, fewer in content:
-            n = self.child.get(node << 10 | symbol)
+        grown, found, change = [], -1, 0
+        child, token = self.child, self.token
+        for part in self.content[state]:
+            n = child.get(part >> 40 << 10 | symbol)
             if n is None:
                 continue
-            grown.append((n, before, fewer))
-            t = self.token[n]
-            if t >= 0 and found is None and (before < 0 or self.stays_apart(before, t)):
-                found = (t, fewer + 1)
-        if found is None:
+            part &= LOW
+            grown.append(n << 40 | part)
+            if found < 0:
+                t = token[n]
+                if t >= 0:
+                    before = (part >> 20) - 1
+                    if before < 0 or self.stays_apart(before, t):
+                        found, change = t, (part & 0xFFFFF) - ZERO + 1
+        if found < 0:
             raise ValueError("a byte is not in the vocabulary")
-        t, change = found
         if symbol >= MARK:
             return 0, change
-        return self._state((*((n, before, fewer - change) for n, before, fewer in grown), (0, t, 0))), change
+        return self._state((*(part - change for part in grown), (found + 1) << 20 | ZERO)), change
 
     def step(self, state: np.ndarray, symbol: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Next states and changes of the count."""
@@ -153,8 +164,50 @@ class Transducer:
             rows = self.map.get(keys)
         return self.next[rows], self.change[rows]
 
-    def changes(self, symbols: np.ndarray) -> np.ndarray:
-        """Change of the count at each symbol of a stream that begins with a word."""
+    def through(self, state: np.ndarray, columns: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """States behind columns of symbols entered from `state`, and their changes of the count in all."""
+        total = np.zeros(len(state), np.int64)
+        for row in columns:
+            state, change = self.step(state, row)
+            total += change
+        return state, total
+
+    def scan(self, s: np.ndarray, free: np.ndarray, before: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Exit state and change of the count of each chunk in `free` (no word ends in them).
+
+        before: the exit state of each chunk's predecessor, if that is not in `free`.
+        """
+        follows = np.append(False, free[1:] == free[:-1] + 1)  # the predecessor is free as well
+        # Nodes of the maps: (place in free, entry state) with exit state and count.
+        where, entry = np.arange(len(free)), np.zeros(len(free), np.int64)
+        roots = np.flatnonzero(~follows)
+        where, entry = np.append(where, roots), np.append(entry, before[free[roots]])
+        new = np.unique(where << 32 | entry)
+        known = out = total = np.zeros(0, np.int64)
+        while len(new):
+            exit_, change = self.through((new & 0xFFFFFFFF).astype(np.int32), s[:, free[new >> 32]])
+            known, out, total = np.append(known, new), np.append(out, exit_.astype(np.int64)), np.append(total, change)
+            order = np.argsort(known)
+            known, out, total = known[order], out[order], total[order]
+            on = (known >> 32) + 1
+            on, state = on[on < len(free)], out[on < len(free)]
+            asked = np.unique((on << 32 | state)[follows[on]])
+            new = np.setdiff1d(asked, known, assume_unique=True)
+        # What each node leads to (itself where the run of free chunks ends), then twice as far in each step.
+        on = (known >> 32) + 1
+        leads = np.arange(len(known))
+        some = np.flatnonzero((on < len(free)) & follows[np.minimum(on, len(free) - 1)])
+        leads[some] = np.searchsorted(known, on[some] << 32 | out[some])
+        reached = np.zeros(len(known), bool)
+        reached[np.searchsorted(known, roots << 32 | before[free[roots]])] = True
+        for _ in range(len(free).bit_length()):
+            reached[leads[reached]] = True
+            leads = leads[leads]
+        at = np.flatnonzero(reached)  # one node for each chunk, in order
+        return out[at], total[at]
+
+    def changes(self, symbols: np.ndarray, entry: int = 0) -> tuple[np.ndarray, int]:
+        """Change of the count at the symbols of a stream entered in a state, right in sum at each end of a word; and the state behind it if it is of whole chunks."""
         n, lanes = len(symbols), -(-len(symbols) // CHUNK)
         s = np.full(lanes * CHUNK, MARK, np.int32)  # the filling is a run of one-byte words
         s[:n] = symbols
@@ -171,21 +224,30 @@ class Transducer:
             i = order[: begun[t]]  # head < t
             if len(i):
                 state[i], out[t, i] = self.step(state[i], s[t, i])
-        # The scan: a constant map hands its state on; the others run in turn, each from what it is handed.
-        entry = np.append(np.int32(0), state[:-1])
-        for k in np.flatnonzero(~constant):
-            q = entry[k : k + 1]
-            for t in range(CHUNK):
-                q, out[t, k : k + 1] = self.step(q, s[t, k : k + 1])
-            if k + 1 < lanes:
-                entry[k + 1] = q[0]
+        free = np.flatnonzero(~constant)
+        if len(free):
+            before = np.append(entry, state[:-1]).astype(np.int64)
+            state[free], out[0, free] = self.scan(s, free, before)
         # Heads, from the entry states.
-        i, q, t = np.flatnonzero(constant), entry[constant], 0
+        i = np.flatnonzero(constant)
+        q, t = np.append(np.int32(entry), state[:-1]).astype(np.int32)[i], 0
         while len(i):
             q, out[t, i] = self.step(q, s[t, i])
             on = head[i] > t
             i, q, t = i[on], q[on], t + 1
-        return out.T.reshape(-1)[:n]
+        return out.T.reshape(-1)[:n], int(state[-1])
+
+    def blocks(self, symbols: np.ndarray) -> np.ndarray:
+        """Changes of the count of a whole stream, block by block."""
+        out, state = [], 0
+        for at in range(0, len(symbols), BLOCK):
+            if len(self.content) > MOST_STATES:
+                content = self.content[state]
+                self.clear()
+                state = self._state(content)
+            part, state = self.changes(symbols[at : at + BLOCK], state)
+            out.append(part)
+        return np.concatenate(out)
 
 
 def stream(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
@@ -212,14 +274,15 @@ class Counter:
         self.transducer = Transducer(path)
         with open(path, encoding="utf-8") as f:
             special = [t["content"] for t in json.load(f)["added_tokens"]]
-        self.special = regex.compile("|".join(map(regex.escape, special))) if special else None
+        self.names = special
+        self.special = regex.compile("|".join(map(regex.escape, sorted(special, key=len, reverse=True)))) if special else None
 
     def count(self, texts: list[str]) -> np.ndarray:
         out = np.zeros(len(texts), np.int64)
         part: list[tuple[int, str]] = []
         held = 0
         for i, text in enumerate(texts):
-            if self.special and "<|" in text:
+            if any(name in text for name in self.names):
                 bits = self.special.split(text)
                 out[i] += len(bits) - 1
                 text = "\n".join(bits)
@@ -238,9 +301,7 @@ class Counter:
         symbols, ends = stream([t for _, t in part])
         if not len(symbols):
             return
-        if len(self.transducer.content) > MOST_STATES:
-            self.transducer.clear()
-        total = np.append(0, np.cumsum(self.transducer.changes(symbols), dtype=np.int64))[ends]
+        total = np.append(0, np.cumsum(self.transducer.blocks(symbols), dtype=np.int64))[ends]
         np.add.at(out, [i for i, _ in part], np.diff(total, prepend=0))
 
 
