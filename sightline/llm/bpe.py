@@ -19,7 +19,7 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import DataFrame
 
-from .common import documents
+from .common import documents, lean
 from .tokens import tokens
 
 
@@ -30,7 +30,7 @@ def encode(docs: DataFrame, ranks: str) -> DataFrame:
         for b in batches:
             yield pd.DataFrame({"doc_id": b["doc_id"], "ids": tokens(ranks, False, False).encode(b["text"].tolist())})
 
-    return documents(docs).mapInPandas(run, "doc_id long, ids array<int>")
+    return documents(docs).mapInPandas(lean(run), "doc_id long, ids array<int>")
 
 
 def decode(names: list[bytes], ids: list[int]) -> bytes:
@@ -51,4 +51,4 @@ def round_trip(docs: DataFrame, ranks: str) -> DataFrame:
                 rows.append((doc, len(ids), hashlib.sha256(" ".join(map(words.__getitem__, ids)).encode()).hexdigest(), hashlib.sha256(decode(t.names, ids)).hexdigest()))
             yield pd.DataFrame(rows, columns=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
 
-    return documents(docs).mapInPandas(run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
+    return documents(docs).mapInPandas(lean(run), "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")

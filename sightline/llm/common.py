@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import os
 import re
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -79,6 +81,28 @@ def small_batches(spark: SparkSession, rows: int = 1000, size: int = 8 << 20) ->
             spark.conf.set(key, str(most))
 
 
+def _trim() -> None:
+    """Give memory that is free back to the system; workers live on, and the next task may need it elsewhere."""
+    import pyarrow as pa
+
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (OSError, AttributeError):  # not every C library has it
+        pass
+
+
+def lean(run: Callable) -> Callable:
+    """A function over batches whose Python worker holds no more than it needs when a task ends."""
+
+    def wrapped(batches):
+        yield from run(batches)
+        _trim()
+
+    return wrapped
+
+
 def documents(df: DataFrame, *extra: str) -> DataFrame:
     """doc_id and text (null counts as empty), whatever other columns there are."""
     small_batches(df.sparkSession)
@@ -173,7 +197,7 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     """
     all_ = materialize(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u is not null and v is not null").distinct(), "edges")
     parts = -(-max(1, all_.count()) // TASK_EDGES)
-    e = materialize(all_.where("u <> v").repartition(parts).mapInPandas(_contract, "u long, v long"), "edges")
+    e = materialize(all_.where("u <> v").repartition(parts).mapInPandas(lean(_contract), "u long, v long"), "edges")
     before = None
     for _ in range(rounds if parts > 1 else 0):
         both = e.select("u", "v").union(e.select(F.col("v"), F.col("u")))

@@ -33,7 +33,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import components, forest, materialize, tasks
+from .common import components, forest, lean, materialize, tasks
 
 #: Bytes of vectors in a block, in double precision; pivots at most; deviations of the bound.
 BLOCK_BYTES, MOST_PIVOTS, SIGMAS = 8 << 20, 1024, 6.0
@@ -107,7 +107,7 @@ def prepared(table: DataFrame, id_column: str, vector: str) -> DataFrame:
             yield pd.DataFrame(rows, columns=["set_key", "size", "vector", "code", "factor"]).assign(id=b["id"].array)
 
     rows = table.select(F.col(id_column).cast("long").alias("id"), F.col(vector).alias("v"))
-    return rows.mapInPandas(run, "set_key binary, size int, vector binary, code binary, factor double, id long")
+    return rows.mapInPandas(lean(run), "set_key binary, size int, vector binary, code binary, factor double, id long")
 
 
 def _links(x: dict, y: dict | None, limit: float) -> tuple[np.ndarray, np.ndarray]:
@@ -163,7 +163,7 @@ def near_groups(table: DataFrame, limit: float = 0.95, id_column: str = "vec_id"
                 angle[at] = np.arccos(np.clip(c[np.arange(len(at)), best], -1, 1))
             yield b[["id", "n", "vector", "code", "factor"]].assign(cell=cell, angle=angle)
 
-    cells = materialize(reps.mapInPandas(assign, "id long, n long, vector binary, code binary, factor double, cell int, angle double"), "cells")
+    cells = materialize(reps.mapInPandas(lean(assign), "id long, n long, vector binary, code binary, factor double, cell int, angle double"), "cells")
     stats = {r["cell"]: r for r in cells.groupBy("cell").agg(F.count("*").alias("n"), F.max("angle").alias("radius")).collect()}  # a row per pivot
     blocks, count = {}, 0
     for c in sorted(stats):
@@ -217,9 +217,9 @@ def near_groups(table: DataFrame, limit: float = 0.95, id_column: str = "vec_id"
             some = links > 0
             yield pd.DataFrame({"id": ids[some], "links": links[some].astype(np.int64), "root": root[some]})
 
-    dealt = cells.mapInPandas(deal, "id long, n long, vector binary, code binary, factor double, bi long, bj long, side int")
+    dealt = cells.mapInPandas(lean(deal), "id long, n long, vector binary, code binary, factor double, bi long, bj long, side int")
     dealt = dealt.repartition(tasks(spark), "bi", "bj").sortWithinPartitions("bi", "bj", "side", "id")
-    found = materialize(dealt.mapInPandas(link, "id long, links long, root long"), "links")
+    found = materialize(dealt.mapInPandas(lean(link), "id long, links long, root long"), "links")
     groups = components(found.select(F.col("id").alias("a"), F.col("root").alias("b")))
     linked = found.groupBy("id").agg(F.sum("links").alias("links")).join(groups, "id", "left")
     each = reps.select("set_key", "id", "n").join(linked, "id", "left").select("set_key", (F.coalesce("links", F.lit(0)) + F.col("n") - 1).alias("n_links"), F.coalesce("component_id", "id").alias("component_id"))

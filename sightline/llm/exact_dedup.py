@@ -33,7 +33,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import documents, fresh, materialize, tasks, without_ids
+from .common import documents, fresh, lean, materialize, tasks, without_ids
 
 SPILL_BYTES = 128 << 20
 #: Values of the short hash.
@@ -211,9 +211,9 @@ def exact_groups(docs: DataFrame, keep: str = "largest") -> DataFrame:
         if held:
             yield pd.DataFrame(held, columns=["group", "best", "group_size"])
 
-    groups = materialize(rows.mapInPandas(local, "group long, size int, short int, text binary, best long, n long, ids array<long>"), "texts")
+    groups = materialize(rows.mapInPandas(lean(local), "group long, size int, short int, text binary, best long, n long, ids array<long>"), "texts")
     dealt = groups.select("group", "size", "short", "text", "best", "n").repartition(tasks(spark), "size", "short").sortWithinPartitions("size", "short")
-    owner = dealt.mapInPandas(merge, "group long, best long, group_size long")
+    owner = dealt.mapInPandas(lean(merge), "group long, best long, group_size long")
     each = groups.select("group", "ids", F.sha2("text", 256).alias("text_sha256")).join(owner, "group")
     keep_id = F.when(F.col("best") != none, F.col("best"))
     out = each.select(F.explode("ids").alias("doc_id"), keep_id.alias("keep_id"), "group_size", "text_sha256")

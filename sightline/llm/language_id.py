@@ -26,7 +26,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import small_batches
+from .common import lean, small_batches
 from .pieces import L, char_classes
 
 SYMBOLS = 64
@@ -142,7 +142,7 @@ def fit(docs: DataFrame, label: str = "lang", sample: int = 1500, landmarks: int
     bound = F.lit(False)
     for name, h in most.items():
         bound = bound | ((F.col("label") == name) & (F.col("h") <= h))
-    got = sorted(rows.where(bound).dropDuplicates(["label", "h"]).select("label", "h", "text").mapInPandas(codes, "label string, h long, g array<int>").collect(), key=lambda r: r["h"])
+    got = sorted(rows.where(bound).dropDuplicates(["label", "h"]).select("label", "h", "text").mapInPandas(lean(codes), "label string, h long, g array<int>").collect(), key=lambda r: r["h"])
     texts, labels = [np.array(r["g"], np.int32) for r in got], [r["label"] for r in got]
     if len(set(labels)) < 2:
         labels_order = list(range(min(landmarks, len(texts))))
@@ -178,7 +178,7 @@ def predict(docs: DataFrame, model: KernelModel | None, *extra: str) -> DataFram
                     score[[at + i for i in some]] = s[np.arange(len(some)), best]
             yield out.assign(lang_pred=lang, score=score)
 
-    return rows.mapInPandas(run, schema)
+    return rows.mapInPandas(lean(run), schema)
 
 
 def accept(docs: DataFrame, model: KernelModel | None, least: float = LEAST) -> DataFrame:
@@ -206,7 +206,7 @@ def accept(docs: DataFrame, model: KernelModel | None, least: float = LEAST) ->
                     keep[at + some] = True if m is None else m.kernel([codes[i] for i in some]).max(1) >= least
             yield b.filter(pa.array(keep))
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(lean(run), docs.schema)
 
 
 def held_out(modulus: int, rest: int):

@@ -40,7 +40,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import components, documents, mark_maybe, materialize, tasks, without_ids
+from .common import components, documents, lean, mark_maybe, materialize, tasks, without_ids
 from .shingles import helpings, shingle_sets
 
 #: Minhashes of a band, and the most of a document.
@@ -120,7 +120,7 @@ def signatures(docs: DataFrame, size: int = 5, percent: int = 85) -> DataFrame:
                 yield pd.DataFrame({"doc_id": b["doc_id"].iloc[i:j].array, "n_shingles": [len(s) for s in sets], "set_key": [hashlib.blake2b(s.tobytes(), digest_size=16).digest() for s in sets], "bands": keys, "signature": sig})
 
     rows = documents(docs).select("doc_id", F.col("text").cast("binary").alias("text"))
-    return rows.mapInPandas(run, "doc_id long, n_shingles long, set_key binary, bands binary, signature binary")
+    return rows.mapInPandas(lean(run), "doc_id long, n_shingles long, set_key binary, bands binary, signature binary")
 
 
 def star(key: np.ndarray, id_: np.ndarray, last: bool) -> tuple[np.ndarray, np.ndarray]:
@@ -206,8 +206,8 @@ def stars(reps: DataFrame, percent: int) -> DataFrame:
         if held:
             yield out(star(*map(np.concatenate, zip(*held, strict=True)), True)[0])
 
-    dealt = reps.select("id", "bands").mapInPandas(table, "bucket int, edges boolean, data binary, ids binary")
-    return dealt.repartition(tasks(spark), "bucket").sortWithinPartitions("edges", "bucket").mapInArrow(meet, "a long, b long, key long")
+    dealt = reps.select("id", "bands").mapInPandas(lean(table), "bucket int, edges boolean, data binary, ids binary")
+    return dealt.repartition(tasks(spark), "bucket").sortWithinPartitions("edges", "bucket").mapInArrow(lean(meet), "a long, b long, key long")
 
 
 def shingles_alone(docs: DataFrame, ids: DataFrame, size: int) -> DataFrame:
@@ -222,7 +222,7 @@ def shingles_alone(docs: DataFrame, ids: DataFrame, size: int) -> DataFrame:
                 sets = shingle_sets(texts[i:j], size)
                 yield pd.DataFrame({"id": np.repeat(b["doc_id"].to_numpy(np.int64)[i:j], [len(x) for x in sets]), "shingle": np.concatenate(sets).view(np.int64)})
 
-    alone = texts.mapInPandas(run, "id long, shingle long").groupBy("shingle").agg(F.min("id").alias("id"), F.max("id").alias("last")).where("id = last")
+    alone = texts.mapInPandas(lean(run), "id long, shingle long").groupBy("shingle").agg(F.min("id").alias("id"), F.max("id").alias("last")).where("id = last")
     return alone.groupBy("id").agg(F.count("*").alias("alone"))
 
 
@@ -321,7 +321,7 @@ def between_components(members: DataFrame, how: str, percent: int) -> DataFrame:
             at = pa.array(np.repeat(np.arange(b.num_rows), m))
             yield pa.RecordBatch.from_arrays([pa.array(key), *(b.column(c).take(at) for c in member)], ["key", *member])
 
-    rows = materialize(members.select(*member).mapInArrow(explode, "key long, id long, part long, n long, common long, signature binary"), "bands")
+    rows = materialize(members.select(*member).mapInArrow(lean(explode), "key long, id long, part long, n long, common long, signature binary"), "bands")
     sizes = rows.groupBy("key", "part").agg(F.count("*").alias("n")).groupBy("key").agg(F.sum("n").alias("n"), F.max("n").alias("most"), F.max_by("part", F.struct("n", "part")).alias("main"))
     sizes = sizes.where("most < n").select("key", "main", F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks"), F.ceil((F.col("n") - F.col("most")) / BLOCK).cast("int").alias("others"))
     rows = rows.join(materialize(sizes, "sizes"), "key").withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
@@ -362,7 +362,7 @@ def between_components(members: DataFrame, how: str, percent: int) -> DataFrame:
             yield found()
 
     dealt = rows.repartition(tasks(spark), "key", "block", "other").sortWithinPartitions("key", "block", "other", "side", "id")
-    return dealt.mapInArrow(run, "a long, b long").distinct()
+    return dealt.mapInArrow(lean(run), "a long, b long").distinct()
 
 
 def agreeing(pairs: DataFrame, reps: DataFrame, percent: int) -> DataFrame:
@@ -378,7 +378,7 @@ def agreeing(pairs: DataFrame, reps: DataFrame, percent: int) -> DataFrame:
             yield b.select(["a", "b"]).filter(pa.array(keep))
 
     both = pairs.join(reps.select(F.col("id").alias("a"), F.col("signature").alias("x")), "a").join(reps.select(F.col("id").alias("b"), F.col("signature").alias("y")), "b")
-    return both.select("a", "b", "x", "y").mapInArrow(run, "a long, b long")
+    return both.select("a", "b", "x", "y").mapInArrow(lean(run), "a long, b long")
 
 
 def confirm(docs: DataFrame, pairs: DataFrame, size: int, percent: int) -> DataFrame:
@@ -406,7 +406,7 @@ def confirm(docs: DataFrame, pairs: DataFrame, size: int, percent: int) -> DataF
                     keep[k] = 100 * shared >= percent * (len(p) + len(q) - shared)
             yield batch[["a", "b"]][keep]
 
-    return materialize(rows.select("a", "b", "x", "y").mapInPandas(run, "a long, b long"), "links")
+    return materialize(rows.select("a", "b", "x", "y").mapInPandas(lean(run), "a long, b long"), "links")
 
 
 def near_groups(docs: DataFrame, percent: int = 85, size: int = 5) -> DataFrame:

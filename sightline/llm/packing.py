@@ -27,7 +27,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import documents, materialize, tasks
+from .common import documents, lean, materialize, tasks
 from .tokens import tokens
 
 DIMENSIONS, BITS, HASHED = 4, 12, 512
@@ -156,7 +156,7 @@ def pack(docs: DataFrame, vocabulary: str, end_id: int, size: int = 4096, words:
         if rows:
             yield frame(rows)
 
-    coded = materialize(documents(docs).mapInPandas(encode, "key long, doc_id long, n long, ids binary"), "packing")
+    coded = materialize(documents(docs).mapInPandas(lean(encode), "key long, doc_id long, n long, ids binary"), "packing")
     first, parts = ranges(coded, tasks(spark))
 
     def place(keys: pd.Series, ids: pd.Series) -> pd.Series:
@@ -165,4 +165,4 @@ def pack(docs: DataFrame, vocabulary: str, end_id: int, size: int = 4096, words:
 
     spot = F.pandas_udf(place, "int")(F.col("key"), F.coalesce(F.xxhash64("doc_id"), F.lit(0)))
     dealt = coded.withColumn("range", spot).repartitionById(int((first + parts).max()), F.col("range"))
-    return dealt.drop("range").sortWithinPartitions("key", "doc_id", "n").mapInPandas(lay, PIECES)
+    return dealt.drop("range").sortWithinPartitions("key", "doc_id", "n").mapInPandas(lean(lay), PIECES)

@@ -25,7 +25,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import small_batches
+from .common import lean, small_batches
 from .pieces import L, N, O, S, char_classes, code_points
 
 NAMES = ["upper", "digits", "symbols", "marks", "word_length", "repeats", "length", "empty", "twice", "distinct"]
@@ -223,7 +223,7 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", sample: int
                 x, _, size = line_features([text])
                 yield pd.DataFrame({"doc_id": [doc], "y": [y], "x": [x.astype(np.float32).tobytes()], "size": [size.astype(np.float32).tobytes()]})
 
-    got = sorted(rows.mapInPandas(run, "doc_id long, y int, x binary, size binary").collect(), key=lambda r: (r["doc_id"], r["x"]))
+    got = sorted(rows.mapInPandas(lean(run), "doc_id long, y int, x binary, size binary").collect(), key=lambda r: (r["doc_id"], r["x"]))
     if not got:
         return LineModel()
     x = [np.frombuffer(r["x"], np.float32).reshape(-1, len(NAMES)).astype(np.float64) for r in got]
@@ -250,4 +250,4 @@ def score(docs: DataFrame, model: LineModel, *extra: str, threshold: float = 0.3
             s = np.concatenate([np.zeros(0), *out])
             yield b.drop(columns="text").assign(score=s, predicted=(s >= threshold).astype(np.int32))
 
-    return rows.mapInPandas(run, schema)
+    return rows.mapInPandas(lean(run), schema)

@@ -38,7 +38,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import pieces as P
-from .common import documents
+from .common import documents, lean
 from .tokens import lower_nfc
 
 CHUNK = 96
@@ -321,4 +321,4 @@ def count_tokens(docs: DataFrame, vocabulary: str, limit: int = 2048) -> DataFra
             n = counter(vocabulary).count(b["text"].tolist())
             yield pd.DataFrame({"doc_id": b["doc_id"], "n_bytes": b["n_bytes"], "n_tokens": n, "over_limit": n > limit})
 
-    return rows.mapInPandas(run, "doc_id long, n_bytes long, n_tokens long, over_limit boolean")
+    return rows.mapInPandas(lean(run), "doc_id long, n_bytes long, n_tokens long, over_limit boolean")

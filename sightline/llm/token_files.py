@@ -27,7 +27,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import documents, materialize, tasks
+from .common import documents, lean, materialize, tasks
 from .tokens import tokens
 
 BLOCK_IDS = 1 << 18
@@ -91,9 +91,9 @@ def blocks(docs: DataFrame, vocabulary: str, end_id: int, words: bool = False) -
         if held:
             yield out()
 
-    coded = rows.mapInPandas(encode, "shard int, doc_id long, ids binary")
+    coded = rows.mapInPandas(lean(encode), "shard int, doc_id long, ids binary")
     dealt = coded.repartitionById(len(cuts) + 1, F.col("shard")).sortWithinPartitions("shard", F.col("doc_id").asc_nulls_first())
-    return dealt.mapInPandas(write, LAYOUT)
+    return dealt.mapInPandas(lean(write), LAYOUT)
 
 
 def write(docs: DataFrame, path: str, vocabulary: str, end_id: int) -> None:
@@ -115,7 +115,7 @@ def read(table: DataFrame) -> DataFrame:
                 doc = pd.array(r.doc_ids if len(r.doc_ids) else [None] * (len(bounds) - 1), "Int64")
                 yield pd.DataFrame({"doc_id": doc, "start": ahead[r.shard] + int(r.first) + bounds[:-1], "n_tokens": np.diff(bounds), "ids_crc32": [zlib.crc32(ids[x:y].astype("<u4")) for x, y in zip(bounds, bounds[1:], strict=False)]})
 
-    return table.mapInPandas(run, "doc_id long, start long, n_tokens long, ids_crc32 long")
+    return table.mapInPandas(lean(run), "doc_id long, start long, n_tokens long, ids_crc32 long")
 
 
 def round_trip(docs: DataFrame, vocabulary: str, end_id: int) -> DataFrame:
