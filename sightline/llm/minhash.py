@@ -19,8 +19,8 @@ the documents of keys with such an edge are looked at again, dealt by U_i: those
 with the most common minhashes give stars, then documents outside the largest
 component of their U_i name their nearest four in other components, and last all
 in other components.  What is found is confirmed between these steps.  Pairs are
-left out whose shingles that no other of these documents has rule a link out.  No
-link between components is lost.
+left out whose shingles that no other of these documents has, or at last whose
+sets of half hashes, rule a link out.  No link between components is lost.
 
 Texts without words (null, empty, white space) have an empty set and link with
 nothing.  Rows with a null doc_id link with nothing and have no component.  Rows
@@ -210,8 +210,8 @@ def stars(reps: DataFrame, percent: int) -> DataFrame:
     return dealt.repartition(tasks(spark), "bucket").sortWithinPartitions("edges", "bucket").mapInArrow(lean(meet), "a long, b long, key long")
 
 
-def shingles_alone(docs: DataFrame, ids: DataFrame, size: int) -> DataFrame:
-    """id and alone of the documents in ids(id): how many of its shingles no other of them has."""
+def sets_of(docs: DataFrame, ids: DataFrame, size: int) -> DataFrame:
+    """id and whole shingle set (array of long) of the documents in ids(id)."""
     texts = mark_maybe(documents(docs).where("doc_id is not null"), ids, "doc_id", "asked").where("asked")
     texts = texts.join(ids, texts["doc_id"] == ids["id"], "left_semi").select("doc_id", F.col("text").cast("binary").alias("text"))
 
@@ -219,18 +219,38 @@ def shingles_alone(docs: DataFrame, ids: DataFrame, size: int) -> DataFrame:
         for b in batches:
             texts = b["text"].tolist()
             for i, j in helpings(texts):
-                sets = shingle_sets(texts[i:j], size)
-                yield pd.DataFrame({"id": np.repeat(b["doc_id"].to_numpy(np.int64)[i:j], [len(x) for x in sets]), "shingle": np.concatenate(sets).view(np.int64)})
+                yield pd.DataFrame({"id": b["doc_id"].to_numpy(np.int64)[i:j], "shingles": [x.view(np.int64) for x in shingle_sets(texts[i:j], size)]})
+
+    return materialize(texts.mapInPandas(lean(run), "id long, shingles array<long>"), "sets")
+
+
+def shingles_alone(sets: DataFrame) -> DataFrame:
+    """id and alone of sets(id, shingles): how many of a set's shingles no other of them has."""
+    each = sets.select("id", F.explode("shingles").alias("shingle"))
+    return each.groupBy("shingle").agg(F.min("id").alias("id"), F.max("id").alias("last")).where("id = last").groupBy("id").agg(F.count("*").alias("alone"))
 
-    alone = texts.mapInPandas(lean(run), "id long, shingle long").groupBy("shingle").agg(F.min("id").alias("id"), F.max("id").alias("last")).where("id = last")
-    return alone.groupBy("id").agg(F.count("*").alias("alone"))
+
+def images(sets: DataFrame) -> DataFrame:
+    """id and image: the distinct upper halves of a set's hashes, ascending."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            yield pd.DataFrame({"id": b["id"], "image": [np.unique((np.asarray(x, np.int64).view(np.uint64) >> np.uint64(32)).astype(np.uint32)).tobytes() for x in b["shingles"]]})
+
+    return sets.mapInPandas(lean(run), "id long, image binary")
+
+
+def _objects(values: list) -> np.ndarray:
+    out = np.empty(len(values), object)
+    out[:] = values
+    return out
 
 
 def grouped(batches, columns: list[str]) -> Iterator[tuple[tuple, dict]]:
-    """Runs of equal values of the first columns but the last five (those of a member), as arrays."""
-    keys, left = columns[:-5], None
+    """Runs of equal values of the first columns but the last six (those of a member), as arrays."""
+    keys, left = columns[:-6], None
     for b in batches:
-        now = {c: b.column(c).to_numpy(zero_copy_only=False) for c in columns[:-1]} | {"signature": np.array(b.column("signature").to_pylist(), object)}
+        now = {c: b.column(c).to_numpy(zero_copy_only=False) for c in columns[:-2]} | {c: _objects(b.column(c).to_pylist()) for c in columns[-2:]}
         if left is not None:
             now = {c: np.concatenate([left[c], now[c]]) for c in columns}
         n = len(now["id"])
@@ -259,6 +279,18 @@ def _may_link(n: np.ndarray, common: np.ndarray, other_n: np.ndarray, other_comm
     return (100 * both >= percent * (n + other_n - both)) | (n < 0) | (other_n < 0)
 
 
+def _image_may_link(x: dict, y: dict, row: np.ndarray, col: np.ndarray, percent: int) -> np.ndarray:
+    """Whether the images of sets let a pair reach the limit: they share as much as the sets do, but for hashes that fall together in both."""
+    mine, theirs = ([np.frombuffer(i, np.uint32) for i in g["image"]] for g in (x, y))
+    out = np.ones(len(row), bool)
+    for k, (i, j) in enumerate(zip(row.tolist(), col.tolist(), strict=True)):
+        n, m = int(x["n"][i]), int(y["n"][j])
+        if n >= 0 and m >= 0:
+            both = len(np.intersect1d(mine[i], theirs[j], assume_unique=True)) + min(n - len(mine[i]), m - len(theirs[j]))
+            out[k] = 100 * both >= percent * (n + m - both)
+    return out
+
+
 def _pairs(x: dict, y: dict, turn: int, least: int, most: int | None, percent: int) -> pd.DataFrame:
     """Pairs (a, b) of rows of two blocks in different components that `_shared` holds for; of each row of x the `most` nearest."""
     s, t = (np.frombuffer(b"".join(g["signature"]), np.uint16).reshape(len(g["id"]), -1) for g in (x, y))
@@ -277,6 +309,9 @@ def _pairs(x: dict, y: dict, turn: int, least: int, most: int | None, percent: i
     for i in range(0, len(row), 100_000):
         ok[i : i + 100_000] = _shared(s[row[i : i + 100_000]], t[col[i : i + 100_000]], turn, least)
     row, col, near = row[ok], col[ok], near[ok]
+    if len(row) and x["image"][0] is not None:
+        may = _image_may_link(x, y, row, col, percent)
+        row, col, near = row[may], col[may], near[may]
     if most is not None:
         order = np.lexsort((y["id"][col], -near, row))
         row, col = row[order], col[order]
@@ -299,14 +334,15 @@ def _middle(g: dict, turn: int, least: int, percent: int) -> pd.DataFrame:
     return pd.DataFrame({"a": np.minimum(g["id"][at], g["id"][k]), "b": np.maximum(g["id"][at], g["id"][k])})
 
 
-def between_components(members: DataFrame, how: str, percent: int) -> DataFrame:
+def between_components(members: DataFrame, how: str, percent: int, image: DataFrame) -> DataFrame:
     """Pairs (a, b) of members(id, part, n, common, signature) that share a table key and are in different components.
 
     Members are dealt by U_i, and a pair is looked at for the first U_i it shares.
     how: "middle" gives all pairs of few documents, and of more those with the
     one in the middle of each block; "nearest" for each document outside the
-    largest component of its U_i the nearest four in each block; "all" all.  Only
-    documents outside the largest component are dealt to all blocks.
+    largest component of its U_i the nearest four in each block; "all" all whose
+    images (id, image) let them link.  Only documents outside the largest
+    component are dealt to all blocks.
     """
     spark = members.sparkSession
     least, m = least_agreeing(percent), bands(percent)
@@ -331,7 +367,9 @@ def between_components(members: DataFrame, how: str, percent: int) -> DataFrame:
         every = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("others") - 1))).withColumn("side", F.lit(False))
         out = rows.where("part <> main").withColumn("other", F.pmod(F.xxhash64("part", "id"), F.col("others")).cast("int")).withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).withColumn("side", F.lit(True))
         rows = every.unionByName(out).select("key", "block", "other", "side", *member)
-    columns = ["key", "block", "other", "side", *member]
+    rows = rows.join(image, "id") if how == "all" else rows.withColumn("image", F.lit(None).cast("binary"))
+    columns = ["key", "block", "other", "side", *member, "image"]
+    rows = rows.select(columns)
 
     def run(batches):
         import pyarrow as pa
@@ -432,10 +470,12 @@ def near_groups(docs: DataFrame, percent: int = 85, size: int = 5) -> DataFrame:
         # A set at the limit with any other has as great a share of shingles that others have.
         n = sig.where("doc_id is not null").groupBy(F.col("doc_id").alias("id")).agg(F.when(F.min("set_key") == F.max("set_key"), F.max("n_shingles")).otherwise(-1).alias("n"))
         members = materialize(members, "open")
-        members = members.join(reps.select("id", "signature"), "id").join(n, "id").join(shingles_alone(docs, members, size), "id", "left").withColumn("common", F.when(F.col("n") >= 0, F.col("n") - F.coalesce("alone", F.lit(0))).otherwise(-1))
+        sets = sets_of(docs, members, size)
+        members = members.join(reps.select("id", "signature"), "id").join(n, "id").join(shingles_alone(sets), "id", "left").withColumn("common", F.when(F.col("n") >= 0, F.col("n") - F.coalesce("alone", F.lit(0))).otherwise(-1))
         members = materialize(members.where((100 * F.col("common") >= percent * F.col("n")) | (F.col("n") < 0)).select("id", "n", "common", "signature"), "members")
+        image = images(sets.join(members.select("id"), "id", "left_semi")).dropDuplicates(["id"])
         for how in ("middle", "nearest", "all"):
-            found = between_components(parted(members, "id").withColumnRenamed("part_id", "part"), how, percent)
+            found = between_components(parted(members, "id").withColumnRenamed("part_id", "part"), how, percent, image)
             new = materialize(found.join(pairs, ["a", "b"], "left_anti"), "pairs")
             if new.isEmpty():
                 continue
