@@ -131,7 +131,7 @@ def smart_score(a: str, b: str) -> float:
     a, b = (re.sub(r"(?<=[0-9])(?=[a-z])|(?<=[a-z])(?=[0-9])", " ", x.lower().strip()) for x in (a, b))
     if not a or not b:
         return 0.0
-    if " " in a and " " in b:
+    if len(_words(a)) > 1 and len(_words(b)) > 1:
         return wratio(a, b)
     if max(len(a), len(b)) <= 6:
         return 100 * jaro_winkler(a, b)

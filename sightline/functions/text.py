@@ -8,13 +8,13 @@ from pyspark.sql import functions as F
 #: The evidence signals in their order, and for each the words that model answers use for it.
 SIGNALS = ["tight_crop", "enlarged_crop", "full_frame", "temporal_context", "audio_brands", "faiss_matches", "ocr_text"]
 SIGNAL_WORDS = {
-    "tight_crop": "crop crop_visual crop_image signal_1 signal1 detected_region",
-    "enlarged_crop": "context_crop surrounding_context signal_2 signal2 zoomed_out_crop",
-    "full_frame": "frame video_frame scene signal_3 signal3 full_video_frame",
-    "temporal_context": "temporal temporal_frames nearby_frames signal_4 signal4 context_frames",
-    "audio_brands": "audio audio_track audio_mentions transcript signal_5 signal5",
-    "faiss_matches": "faiss database brand_database visual_matches db_matches signal_6 signal6",
-    "ocr_text": "ocr detected_text text crop_text signal_7 signal7",
+    "tight_crop": ["crop", "crop_visual", "crop_image", "signal_1", "signal1", "detected_region"],
+    "enlarged_crop": ["context_crop", "surrounding_context", "signal_2", "signal2", "zoomed_out_crop"],
+    "full_frame": ["frame", "video_frame", "scene", "signal_3", "signal3", "full_video_frame"],
+    "temporal_context": ["temporal", "temporal_frames", "nearby_frames", "signal_4", "signal4", "context_frames"],
+    "audio_brands": ["audio", "audio_track", "audio_mentions", "transcript", "signal_5", "signal5"],
+    "faiss_matches": ["faiss", "database", "brand_database", "visual_matches", "db_matches", "signal_6", "signal6"],
+    "ocr_text": ["ocr", "detected_text", "text", "crop_text", "signal_7", "signal7"],
 }
 
 
@@ -73,7 +73,7 @@ def canonical_signals(signals: Column, compat: bool = False) -> Column:
     signal that holds it or is held by it.  An empty key is dropped; `compat`
     maps it to the first signal.
     """
-    pairs = [(w, name) for name, also in SIGNAL_WORDS.items() for w in (name, *also.split())]
+    pairs = [(w, name) for name, also in SIGNAL_WORDS.items() for w in (name, *also)]
     words = F.create_map(*[F.lit(x) for pair in pairs for x in pair])
     names = F.array(*map(F.lit, SIGNALS))
 

@@ -47,7 +47,7 @@ def nms(boxes: DataFrame, key: list[str], order: list[str], limit: float = 0.3)
         for b in batches:
             b = b if held is None else pd.concat([held, b], ignore_index=True)
             last = b[key].iloc[-1] if len(b) else None
-            open_ = (b[key] == last).all(axis=1) if last is not None else pd.Series([], dtype=bool)
+            open_ = ((b[key] == last) | (b[key].isna() & last.isna())).all(axis=1) if last is not None else pd.Series([], dtype=bool)
             held = b[open_]
             if len(done := b[~open_]):
                 yield out(done)

@@ -69,7 +69,7 @@ def text_or_visual(ocr: Column, brand: Column, top: Column, full: Column, partia
 
 def robust(text: Column, full: Column, partial: Column, compat: bool = False) -> Column:
     """A match by two scores: 75 and 80, or 85 for texts of three characters. In `compat` form 85 alone suffices for those."""
-    n = F.length(text)
+    n = F.length(F.trim(text))
     if compat:
         return F.coalesce((n >= 3) & (((full >= 75) & (partial >= 80)) | ((n <= 3) & (full >= 85))), F.lit(False))
     return F.coalesce((n >= 3) & ~((n <= 3) & (full < 85)) & (full >= 75) & (partial >= 80), F.lit(False))

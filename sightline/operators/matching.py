@@ -59,7 +59,7 @@ def best_match(queries: DataFrame, query: str, brands: DataFrame, brand: str, sc
 
         each = pairs.select(query, "_names").mapInPandas(run_blocks, schema)
         found = each.withColumn("_t", F.row_number().over(Window.partitionBy(query).orderBy(F.desc("score"), brand))).where("_t = 1").drop("_t")
-    need = F.lit(least) + F.when(F.length(query) < 4, short_extra if least else 0.0).otherwise(0.0)
+    need = F.lit(least) + F.when(F.length(F.trim(query)) < 4, short_extra if least else 0.0).otherwise(0.0)
     taken = F.col("score") > need if strict else F.col("score") >= need
     return found.select(query, F.when(taken, F.col(brand)).alias(brand), "score")
 

@@ -68,17 +68,21 @@ def knn(queries: DataFrame, gallery: DataFrame, k: int, leave_out_self: bool = F
         found = q.mapInPandas(search, HITS)
     else:
         parts = max(1, int(bytes_ // (BLOCK * 512)))
+        asked = max(1, -(-q.count() // BLOCK))
         sides = g.select(F.lit(0).alias("side"), F.col("vec_id").alias("id"), "embedding").withColumn("gb", F.pmod(F.xxhash64("id"), F.lit(parts)).cast("int"))
-        blocks = F.sequence(F.lit(0), F.lit(parts - 1))
-        pairs = sides.withColumn("qb", F.explode(blocks)).unionByName(q.select(F.lit(1).alias("side"), F.col("query_id").alias("id"), "embedding").withColumn("qb", F.pmod(F.xxhash64("id"), F.lit(parts)).cast("int")).withColumn("gb", F.explode(blocks)))
+        pairs = sides.withColumn("qb", F.explode(F.sequence(F.lit(0), F.lit(asked - 1)))).unionByName(q.select(F.lit(1).alias("side"), F.col("query_id").alias("id"), "embedding").withColumn("qb", F.pmod(F.xxhash64("id"), F.lit(asked)).cast("int")).withColumn("gb", F.explode(F.sequence(F.lit(0), F.lit(parts - 1)))))
 
         def block(pdf: pd.DataFrame) -> pd.DataFrame:
             a, b = pdf[pdf["side"] == 1], pdf[pdf["side"] == 0]
             if not len(a) or not len(b):
                 return pd.DataFrame({"query_id": [], "vec_id": [], "d2": []})
-            own = a["id"].to_numpy() if leave_out_self else None
-            row, hit, dist = _nearest(_matrix(a["embedding"]), _matrix(b["embedding"]), b["id"].to_numpy(), own, k)
-            return pd.DataFrame({"query_id": a["id"].to_numpy()[row], "vec_id": hit, "d2": dist})
+            m, ids, out = _matrix(b["embedding"]), b["id"].to_numpy(), []
+            for at in range(0, len(a), 512):
+                part = a.iloc[at : at + 512]
+                own = part["id"].to_numpy() if leave_out_self else None
+                row, hit, dist = _nearest(_matrix(part["embedding"]), m, ids, own, k)
+                out.append(pd.DataFrame({"query_id": part["id"].to_numpy()[row], "vec_id": hit, "d2": dist}))
+            return pd.concat(out)
 
         found = pairs.groupBy("qb", "gb").applyInPandas(block, HITS)
     turn = F.row_number().over(Window.partitionBy("query_id").orderBy("d2", "vec_id"))
@@ -160,10 +164,15 @@ def number_from(gallery: DataFrame, new: DataFrame, order: list[str], copies: in
     Ids are dealt by partition counts, not by one global window.
     """
     highest = gallery.agg(F.coalesce(F.max("vec_id"), F.lit(-1)).alias("m"))
-    rows = new.withColumn("copy", F.explode(F.sequence(F.lit(0), F.lit(copies - 1)))).orderBy(*order, "copy")
-    indexed = rows.rdd.zipWithIndex().map(lambda p: (*p[0], p[1]))  # one small count for each partition
-    schema = rows.schema.add("_n", "long")
-    return new.sparkSession.createDataFrame(indexed, schema).crossJoin(F.broadcast(highest)).withColumn("vec_id", F.col("m") + 1 + F.col("_n")).drop("m", "_n")
+    parts = max(1, int(new.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    rows = new.withColumn("copy", F.explode(F.sequence(F.lit(0), F.lit(copies - 1))))
+    # The range bounds are drawn once: what is counted and what is numbered are the same partitions.
+    rows = rows.repartitionByRange(parts, *order, "copy").sortWithinPartitions(*order, "copy").withColumn("_i", F.monotonically_increasing_id()).persist()
+    part, place = F.shiftright("_i", 33), F.col("_i").bitwiseAND(F.lit((1 << 33) - 1))
+    counts = rows.groupBy(part.alias("_p")).agg(F.count("*").alias("_c"))
+    before = counts.select("_p", (F.coalesce(F.sum("_c").over(Window.orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).alias("_b"))  # a row per partition
+    numbered = rows.withColumn("_p", part).join(F.broadcast(before), "_p").crossJoin(F.broadcast(highest))
+    return numbered.withColumn("vec_id", F.col("m") + 1 + F.col("_b") + place).drop("m", "_i", "_p", "_b")
 
 
 def by_space(queries: dict[str, DataFrame], galleries: dict[str, DataFrame], k: int, leave_out_self: bool = False) -> DataFrame:

@@ -15,12 +15,13 @@ MANIFEST = f"video string, fps double, total_frames int, sampled_frames int, tot
 ANNOTATION = "box array<struct<labels: array<string>, sequence: array<struct<frame: int, time: double, x: double, y: double, width: double, height: double, enabled: boolean>>>>"
 
 
-def csv(spark: SparkSession, path: str | list[str], required: list[str] = (), optional: dict[str, str] = {}) -> DataFrame:  # noqa: B006
+def csv(spark: SparkSession, path: str | list[str], required: list[str] = (), optional: dict[str, str] = {}, multiline: bool = True) -> DataFrame:  # noqa: B006
     """A CSV with a header; all columns are text but the optional ones, which are added as null of their type if absent.
 
-    A missing required column is an error.
+    A missing required column is an error.  Fields may hold line breaks; large
+    files without such fields are split among tasks with multiline=False.
     """
-    df = spark.read.option("header", True).option("multiLine", True).option("escape", '"').csv(path)
+    df = spark.read.option("header", True).option("multiLine", multiline).option("escape", '"').csv(path)
     if missing := [c for c in required if c not in df.columns]:
         raise ValueError(f"missing columns: {', '.join(missing)}")
     for name, kind in optional.items():

@@ -353,3 +353,19 @@ def test_stream_equals_batch(spark, tmp_path):
     for _ in range(2):
         presence.grow_gallery(vectors.select("brand", "score"), f"{tmp_path}/gallery", f"{tmp_path}/cp2", ["brand"]).awaitTermination()
     assert spark.read.parquet(f"{tmp_path}/gallery").count() == 3
+
+
+def test_words_are_told_by_any_white_space():
+    assert S.smart_score("coca\tcola", "cola\ncoca") == S.smart_score("coca cola", "cola coca") == 95.0
+
+
+def test_suppression_without_a_frame(spark, monkeypatch):
+    """Rows without a frame are one group, also across batches."""
+    rows = [(None, i, 0.0, 0.0, 10.0, 10.0, 1.0 - i / 100) for i in range(40)]
+    df = spark.createDataFrame(rows, "frame long, id long, x1 double, y1 double, x2 double, y2 double, score double")
+    old = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "7")
+    try:
+        assert [r["id"] for r in B.nms(df, ["frame"], ["id"], 0.5).collect()] == [0]
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", old)
