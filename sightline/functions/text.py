@@ -102,6 +102,17 @@ def after_last(c: Column, mark: str) -> Column:
     return F.regexp_replace(F.element_at(F.split(c, mark), -1), r"^\s+|\s+$", "")
 
 
+def after_first(c: Column, mark: str) -> Column:
+    """What lies between the first and the second `mark`, trimmed; null without one."""
+    return F.regexp_replace(F.get(F.split(c, mark), F.lit(1)), r"^\s+|\s+$", "")
+
+
+def header_line(c: Column, header: str) -> Column:
+    """The rest of the line after a quoted header and a colon, trimmed; null without one."""
+    x = F.regexp_extract(c, rf'"{header}":\s*([^\n]*)', 1)
+    return F.when(c.rlike(rf'"{header}":'), F.trim(x))
+
+
 def detection_label(is_logo: Column, brand: Column, confidence: Column, truncated: Column) -> Column:
     """Caption of a detection."""
     none = F.lit("")
@@ -123,6 +134,11 @@ def first_existing(name: Column, known: Column, folders: list[str]) -> Column:
     return F.coalesce(*(F.when(F.array_contains(known, t), t) for t in tries))
 
 
+def remap(path: Column, old: str, new: str) -> Column:
+    """A path with one literal prefix or part put in place of another; unchanged where either is empty."""
+    return F.replace(path, F.lit(old), F.lit(new)) if old and new else path
+
+
 def file_numbers(name: Column) -> dict[str, Column]:
     """Sort key of names like frame12_logo3: those that don't match come last, by lower-case name."""
     hit = name.rlike(r"^frame\d+_logo\d+")

@@ -13,7 +13,15 @@ UNKNOWN = "UNKNOWN"
 #: Gates of the gallery technique.
 FALSE_LOGO, STRICT, CONSENSUS, VOTES, SHARE, TEXT_SCORE, LEAST_TEXT = 0.93, 0.97, 0.90, 4, 0.4, 80.0, 3
 
+#: Seams, each a function over DataFrames or columns.  A technique takes unknown items and returns (key, brand, score); a
+#: post-filter takes rows and returns (logo_id, raw) for those it looked at; a filter takes a row's columns by name and
+#: returns a boolean; an embedder takes (id, content) and returns (id, embedding); a detector takes (frame, content) and
+#: returns a row per box (frame, box_xyxy, label, score).
 Technique = Callable[[DataFrame], DataFrame]
+PostFilter = Callable[[DataFrame], DataFrame]
+Filter = Callable[[dict[str, Column]], Column]
+Embedder = Callable[[DataFrame], DataFrame]
+Detector = Callable[[DataFrame], DataFrame]
 
 
 def first_match(items: DataFrame, techniques: list[tuple[str, Technique]], key: str = "id") -> DataFrame:
@@ -81,13 +89,60 @@ def postfilter(rows: DataFrame, verdicts: DataFrame, sources: list[str], method:
     Adds postfilter_method, postfilter_applied, postfilter_verdict and kept,
     and sets the brand of rows that are not kept to UNKNOWN.
     """
-    asked = F.lower(F.trim("source")).isin(*sources)
-    j = rows.join(verdicts.select("logo_id", "raw"), "logo_id", "left")
-    applied = F.coalesce(asked & F.col("raw").isNotNull(), F.lit(False))
-    verdict = F.when(applied, T.verdict(F.col("raw"))).otherwise("Skipped")
-    j = j.withColumn("postfilter_method", F.lit(method)).withColumn("postfilter_applied", applied).withColumn("postfilter_verdict", verdict).drop("raw")
+    return postfilters(rows, [(method, sources, lambda _: verdicts)])
+
+
+def postfilters(rows: DataFrame, strategies: list[tuple[str, list[str], PostFilter]]) -> DataFrame:
+    """Strategies (name, sources, post-filter) in order.
+
+    A strategy is asked about the rows of its sources, without those whose
+    image can't be read if there is a column `readable`; the name of the first
+    strategy stays and the last verdict counts.  Of several answers for a logo
+    the least text counts.
+    """
+    out = rows.withColumn("_v", F.lit(None).cast("string"))
+    for _, sources, ask in strategies:
+        asked = F.lower(F.trim("source")).isin(*sources)
+        if "readable" in rows.columns:
+            asked = asked & F.col("readable")
+        asked = F.coalesce(asked, F.lit(False))
+        answers = ask(out.where(asked).drop("_v")).where("raw is not null").groupBy("logo_id").agg(F.min("raw").alias("_raw"))
+        out = out.join(answers, "logo_id", "left").withColumn("_v", F.when(asked & F.col("_raw").isNotNull(), T.verdict(F.col("_raw"))).otherwise(F.col("_v"))).drop("_raw")
+    out = out.withColumn("postfilter_method", F.lit(strategies[0][0] if strategies else None).cast("string"))
+    out = out.withColumn("postfilter_applied", F.col("_v").isNotNull()).withColumn("postfilter_verdict", F.coalesce("_v", F.lit("Skipped"))).drop("_v")
     kept = ~F.col("postfilter_applied") | (F.col("postfilter_verdict") == "Correct")
-    return j.withColumn("kept", kept).withColumn("brand", F.when(F.col("kept"), F.col("brand")).otherwise(UNKNOWN))
+    return out.withColumn("kept", kept).withColumn("brand", F.when(F.col("kept"), F.col("brand")).otherwise(UNKNOWN))
+
+
+def postfilter_outputs(rows: DataFrame, frames: DataFrame, strategies: list[tuple[str, list[str], PostFilter]]) -> dict[str, DataFrame]:
+    """The four outputs of post-filtering: rows (logo_id, frame, source, brand, ...), frames (frame, timestamp).
+
+    annotated: all rows; filtered: those that are kept; frames and
+    filtered_frames: a row per frame, with its results in order (all of them, or
+    the kept ones).  Frames without results stay, with an empty list.
+    """
+    annotated = postfilters(rows, strategies)
+    methods = " | ".join(name for name, _, _ in strategies)
+    result = F.struct("logo_id", "brand", F.struct(F.lit(methods).alias("method"), F.col("postfilter_verdict").alias("verdict"), F.col("postfilter_applied").alias("applied")).alias("postfilter"), "kept")
+    each = frames.join(annotated.groupBy("frame").agg(F.sort_array(F.collect_list(result)).alias("results")), "frame", "left")
+    each = each.withColumn("results", F.coalesce("results", F.array()))
+    kept = F.filter("results", lambda r: r["kept"])
+    return {"filtered": annotated.where("kept"), "annotated": annotated, "frames": each, "filtered_frames": each.withColumn("results", kept)}
+
+
+def text_then_prompt(items: DataFrame, key: str, text: str, brands: DataFrame, brand: str, zero_shot: DataFrame, least: float = 90.0) -> DataFrame:
+    """The brand that a text matches well, else the zero-shot prompt (key, prompt, probability): key, brand, technique, score.
+
+    Texts count from four characters on, in normal form.  A prompt is taken as
+    it stands.
+    """
+    from .matching import best_match
+
+    rows = items.select(key, T.normalize(F.col(text)).alias("_q"))
+    m = best_match(rows.where(F.length("_q") >= 4), "_q", brands, brand, "wratio", least)
+    j = rows.join(m.select("_q", F.col(brand).alias("_m"), F.col("score").alias("_s")), "_q", "left").join(zero_shot.select(key, "prompt", "probability"), key, "left")
+    pick = first_known([("text", F.col("_m"), F.col("_s")), ("zero_shot", F.col("prompt"), F.col("probability"))])
+    return j.select(key, *(c.alias(n) for n, c in pick.items()))
 
 
 def route(p_global: Column, name_similarity: Column, p_multiple: Column, p_logo: Column, poster: Column, stylized: Column, design: Column) -> Column:

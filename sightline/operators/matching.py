@@ -19,28 +19,31 @@ from ..functions import similarity as S
 MOST_NAMES, BLOCK = 200_000, 5_000
 
 
-def best_match(queries: DataFrame, query: str, brands: DataFrame, brand: str, scorer: str, least: float, short_extra: float = 15.0, strict: bool = False) -> DataFrame:
+def best_match(queries: DataFrame, query: str, brands: DataFrame, brand: str, scorer: str, least: float, short_extra: float = 15.0, strict: bool = False, place: str | None = None) -> DataFrame:
     """query, brand and score of the best brand for each distinct query; brand is null where the score stays below.
 
     Texts of fewer than four characters need `short_extra` more.  Ties go to
-    the brand that comes first by name.  strict: the limit itself is not enough.
+    the brand that comes first by name, or by the column `place` of the list.
+    strict: the limit itself is not enough.
     """
-    names = brands.select(F.col(brand).cast("string").alias(brand)).where(F.col(brand).isNotNull()).distinct()
+    order = F.col(place).cast("double") if place else F.lit(0.0)
+    names = brands.select(F.col(brand).cast("string").alias(brand), order.alias("_p")).where(F.col(brand).isNotNull()).groupBy(brand).agg(F.min("_p").alias("_p"))
     asked = queries.select(F.col(query).cast("string").alias(query)).where(F.col(query).isNotNull()).distinct()
     f = S.SCORERS[scorer]
-    schema = f"`{query}` string, `{brand}` string, score double"
+    schema = f"`{query}` string, `{brand}` string, score double, _p double"
 
-    def best(q: list[str], b: list[str]) -> pd.DataFrame:
+    def best(q: list[str], b: list[tuple[float, str]]) -> pd.DataFrame:
         rows = []
         for x in q:
-            top = max(((f(x, y), i) for i, y in enumerate(b)), key=lambda p: (p[0], -p[1]), default=None)
+            top = max(((f(x, y), -i) for i, (_, y) in enumerate(b)), default=None)
             if top is not None:
-                rows.append((x, b[top[1]], float(top[0])))
-        return pd.DataFrame(rows, columns=[query, brand, "score"])
+                p, y = b[-top[1]]
+                rows.append((x, y, float(top[0]), p))
+        return pd.DataFrame(rows, columns=[query, brand, "score", "_p"])
 
     n = names.count()
     if n <= MOST_NAMES:
-        shared = queries.sparkSession.sparkContext.broadcast(sorted(r[0] for r in names.collect()))  # checked above
+        shared = queries.sparkSession.sparkContext.broadcast(sorted((r["_p"], r[brand]) for r in names.collect()))  # checked above
 
         def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             for part in batches:
@@ -48,22 +51,54 @@ def best_match(queries: DataFrame, query: str, brands: DataFrame, brand: str, sc
 
         found = asked.mapInPandas(run, schema)
     else:
-        parts = -(-n // BLOCK)
-        blocks = names.withColumn("_b", F.pmod(F.xxhash64(brand), F.lit(parts))).groupBy("_b").agg(F.sort_array(F.collect_list(brand)).alias("_names"))
-        pairs = asked.withColumn("_b", F.explode(F.sequence(F.lit(0), F.lit(parts - 1)))).join(blocks, "_b")
+        # Blocks of texts meet blocks of names; both are of bounded size, whichever side is the larger.
+        across, down = -(-n // BLOCK), max(1, -(-asked.count() // BLOCK))
+        texts = asked.withColumn("_t", F.pmod(F.xxhash64(query), F.lit(down))).withColumn("_b", F.explode(F.sequence(F.lit(0), F.lit(across - 1))))
+        blocks = names.withColumn("_b", F.pmod(F.xxhash64(brand), F.lit(across))).withColumn("_t", F.explode(F.sequence(F.lit(0), F.lit(down - 1))))
 
-        def run_blocks(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            for part in batches:
-                for x, b in zip(part[query], part["_names"], strict=True):
-                    yield best([x], list(b))
+        def meet(q: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
+            return best(q[query].tolist(), sorted(zip(b["_p"], b[brand], strict=True)))
 
-        each = pairs.select(query, "_names").mapInPandas(run_blocks, schema)
-        found = each.withColumn("_t", F.row_number().over(Window.partitionBy(query).orderBy(F.desc("score"), brand))).where("_t = 1").drop("_t")
+        each = texts.groupBy("_t", "_b").cogroup(blocks.groupBy("_t", "_b")).applyInPandas(meet, schema)
+        found = each.withColumn("_r", F.row_number().over(Window.partitionBy(query).orderBy(F.desc("score"), "_p", brand))).where("_r = 1")
     need = F.lit(least) + F.when(F.length(F.trim(query)) < 4, short_extra if least else 0.0).otherwise(0.0)
     taken = F.col("score") > need if strict else F.col("score") >= need
     return found.select(query, F.when(taken, F.col(brand)).alias(brand), "score")
 
 
+def best_match_batch(queries: DataFrame, query: str, brands: DataFrame, brand: str, place: str, least: float = 70.0) -> DataFrame:
+    """best_match by wratio as the batch form has it, for each distinct query.
+
+    Queries are taken trimmed and in lower case; a score below `least` is 0;
+    the limit has to be passed; ties go to the first of the list; no match is
+    UNKNOWN.  An empty list is an error.
+    """
+    if brands.where(F.col(brand).isNotNull()).isEmpty():
+        raise ValueError("no brands to match with")
+    asked = queries.select(query).where(F.col(query).isNotNull()).distinct().withColumn("_q", F.regexp_replace(F.lower(query), r"^\s+|\s+$", ""))
+    m = best_match(asked, "_q", brands, brand, "wratio", least, strict=True, place=place)
+    score = F.when(F.col("score") >= least, F.col("score")).otherwise(0.0)
+    return asked.join(m, "_q").select(query, F.coalesce(brand, F.lit("UNKNOWN")).alias(brand), score.alias("score"))
+
+
+def audio_technique(items: DataFrame, key: str, ocr: str, brands: DataFrame, brand: str, place: str, batch: bool = False, least: float = 80.0) -> DataFrame:
+    """OCR texts matched with the brands that were heard: key, brand, score, ocr_text, source.
+
+    One by one a text needs three characters and 70 points; in batch form it
+    needs no length, and more than `least` points.  Brands are taken trimmed
+    and in lower case.
+    """
+    heard = brands.select(F.lower(F.trim(brand)).alias(brand), place)
+    text = F.coalesce(F.col(ocr), F.lit(""))
+    rows = items.select(key, (F.trim(text) if batch else text).alias("ocr_text"))
+    if batch:
+        m = best_match_batch(rows, "ocr_text", heard, brand, place, least)
+    else:
+        m = best_match(rows.where(F.length("ocr_text") >= 3), "ocr_text", heard, brand, "wratio", 70.0, place=place)
+    out = rows.join(m, "ocr_text", "left")
+    return out.select(key, F.coalesce(brand, F.lit("UNKNOWN")).alias("brand"), "score", "ocr_text", F.lit("audio").alias("source"))
+
+
 def robust_match(queries: DataFrame, query: str, brands: DataFrame, brand: str, compat: bool = False) -> DataFrame:
     """The best brand by the whole score, accepted if the partial score agrees (cascade.robust)."""
     from .cascade import robust

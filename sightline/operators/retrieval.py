@@ -18,6 +18,11 @@ def leave_one_out(vectors: DataFrame, k: int = 5) -> DataFrame:
     return with_brands(knn(asked.select("query_id", "embedding"), vectors, k, leave_out_self=True), asked, vectors)
 
 
+def against(asked: DataFrame, gallery: DataFrame, k: int = 5) -> DataFrame:
+    """Hits of every query vector (query_id, embedding, true_brand) in another table (vec_id, embedding, brand)."""
+    return with_brands(knn(asked.select("query_id", "embedding"), gallery, k), asked, gallery)
+
+
 def with_brands(hits: DataFrame, asked: DataFrame, gallery: DataFrame) -> DataFrame:
     """Hits with the brand found, the true one, and the similarity."""
     named = hits.join(gallery.select("vec_id", "brand"), "vec_id").join(asked.select("query_id", "true_brand"), "query_id")

@@ -71,7 +71,12 @@ def brand_intervals(detections: DataFrame, keys: list[str]) -> DataFrame:
     at = F.struct("frame", "tie")
     rows = detections.where(F.coalesce("brand", F.lit("UNKNOWN")) != "UNKNOWN").groupBy(*keys).agg(F.min_by("time", at).alias("start"), F.max_by("time", at).alias("stop"), F.count("*").alias("n"), F.sort_array(F.collect_list(F.struct("frame", "tie", "source"))).alias("s"))
     names = F.transform("s", lambda x: x["source"])
-    joined = F.aggregate(F.slice(names, 2, F.greatest(F.size(names) - 1, F.lit(0))), F.element_at(names, 1), lambda acc, x: F.when(acc == x, acc).otherwise(F.concat(acc, F.lit(", "), x)))
+    folded = F.aggregate(F.slice(names, 2, F.greatest(F.size(names) - 1, F.lit(0))), F.element_at(names, 1), lambda acc, x: F.when(acc == x, acc).otherwise(F.concat(acc, F.lit(", "), x)))
+    # Once a second name is there, the list equals no single name, so all the rest is joined as it stands.
+    first = F.element_at(names, 1)
+    other = F.array_position(F.transform(names, lambda x: x != first), True)
+    plain = F.when(other == 0, first).otherwise(F.concat(first, F.lit(", "), F.array_join(F.slice(names, F.greatest(other, F.lit(1)).cast("int"), F.size(names)), ", ")))
+    joined = F.when(F.exists(names, lambda x: x.isNull() | x.contains(", ")), folded).otherwise(plain)
     return rows.select(*keys, "start", "stop", "n", joined.alias("source"))
 
 

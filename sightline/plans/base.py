@@ -50,7 +50,8 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def sql(spark: SparkSession, sf_dir: str, text: str) -> DataFrame:
-    """SQL over standard tables."""
+    """SQL over standard tables; [name] stands for a binding, as in `duck`."""
+    text = re.sub(r"\[(\w+)\]", lambda m: f"({BINDINGS[m[1]]})" if m[1] in BINDINGS else m[0], text)
     used = {n: table(spark, sf_dir, n) for n in re.findall(r"(?<!\{)\{(\w+)\}", text)}
     return spark.sql(text, **used)
 

@@ -179,9 +179,19 @@ def first_per_frame(spark, sf):
     return L.first_per(_boxes(spark, sf), ["frame"], ["price", "part"]).select(*KEY, "label", "price")
 
 
-@query()
+# Box after box of a frame, best first: it is kept unless it overlaps a kept one too much.
+AREA = "greatest(0, {z}.x2 - {z}.x1) * greatest(0, {z}.y2 - {z}.y1)"
+OVERLAP = "greatest(0, least(z.x2, b.x2) - greatest(z.x1, b.x1)) * greatest(0, least(z.y2, b.y2) - greatest(z.y1, b.y1))"
+
+
+@query(f"""WITH RECURSIVE b AS (SELECT *, row_number() OVER (PARTITION BY frame ORDER BY score DESC, det, part, supp) AS k FROM [boxes]),
+    r AS (SELECT frame, k, [struct_pack(frame := frame, det := det, part := part, supp := supp, score := score, x1 := x1, y1 := y1, x2 := x2, y2 := y2)] AS kept FROM b WHERE k = 1
+        UNION ALL SELECT b.frame, b.k, CASE WHEN len(list_filter(kept, lambda z: {OVERLAP} > 0.3e0 * ({AREA.format(z="z")} + {AREA.format(z="b")} - {OVERLAP}))) > 0 THEN kept
+            ELSE list_append(kept, struct_pack(frame := b.frame, det := b.det, part := b.part, supp := b.supp, score := b.score, x1 := b.x1, y1 := b.y1, x2 := b.x2, y2 := b.y2)) END FROM r JOIN b ON b.frame = r.frame AND b.k = r.k + 1),
+    l AS (SELECT unnest(kept) AS s FROM (SELECT * FROM r QUALIFY row_number() OVER (PARTITION BY frame ORDER BY k DESC) = 1))
+    SELECT s.frame AS frame, s.det AS det, s.part AS part, s.supp AS supp, s.score AS score FROM l""")
 def nms(spark, sf):
-    """Greedy suppression has no short SQL; tests hold it against brute force."""
+    """Greedy suppression within the boxes of a frame."""
     b = _boxes(spark, sf)
     return B.nms(b, ["frame"], ["det", "part", "supp"]).select(*KEY, "score")
 
@@ -234,9 +244,9 @@ def keyframes(spark, sf):
     return L.keyframes(_peaks(spark, sf), ["video"]).select("video", "keyframe")
 
 
-@query()
+@query("""SELECT video, brand, arg_min(time, frame * 1000000e0 + tie) AS start, arg_max(time, frame * 1000000e0 + tie) AS stop, count(*) AS n,
+    list_reduce(list(source ORDER BY frame, tie, source), lambda acc, x: CASE WHEN acc = x THEN acc ELSE concat(acc, ', ', x) END) AS source FROM [detections] WHERE brand <> 'UNKNOWN' GROUP BY video, brand""")
 def brand_intervals(spark, sf):
-    """The source fold is tested against brute force; brand_interval_bounds has the rest in SQL."""
     return L.brand_intervals(table(spark, sf, "detections"), ["video", "brand"])
 
 

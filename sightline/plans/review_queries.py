@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..operators import cascade as C
+from ..operators import evidence as E
 from ..operators import review as R
 from .base import query, sql, table
 
@@ -155,6 +156,28 @@ def flat_predictions(spark, sf):
     return j.select("det_id", "label", "brand", "confidence", "lang", "source", tags.alias("tags"))
 
 
+PARSED = """SELECT det_id, is_logo, brand, CASE WHEN det_id % 3 = 0 THEN NULL ELSE concat('The ', brand) END AS brand_canonical, is_truncated, CASE WHEN det_id % 10 = 0 THEN 'high' ELSE CAST(det_id * 7 % 130 AS STRING) END AS logo_probability, CAST(confidence AS STRING) AS confidence, concat('why ', label) AS reasoning FROM [reviews] WHERE det_id % 8 <> 0"""
+
+
+@query(f"""WITH p AS ({PARSED}), h AS (SELECT doc_id AS det_id, lang, source FROM {{documents}} WHERE doc_id % 4 <> 0), d AS (SELECT det_id, CAST(det_id AS STRING) AS s, printf('%06d', CAST(det_id AS INT)) AS f FROM [reviews])
+    SELECT d.det_id AS det_id, d.det_id AS frame_idx, d.det_id / 25e0 AS timecode_s, round(d.det_id % 1000 / 1000e0, 4) AS det_score, concat('[', CAST(d.det_id % 640 AS STRING), ',', CAST(d.det_id % 360 AS STRING), ',', CAST(d.det_id % 640 + 9 AS STRING), ',', CAST(d.det_id % 360 + 9 AS STRING), ']') AS box_xyxy,
+        concat('run/crops/', s, '.png') AS crop_path, concat('run/large/', s, '.png') AS enlarged_crop_path, concat('run/detections/frame_', f, '/frame.jpg') AS frame_path, concat('run/annotated_frames__x/frame_', f, '.jpg') AS annotated_frame_path,
+        is_logo, brand, coalesce(brand_canonical, brand) AS brand_canonical, is_truncated, CASE WHEN TRY_CAST(logo_probability AS DOUBLE) IS NOT NULL THEN CAST(least(100, greatest(0, TRY_CAST(logo_probability AS DOUBLE))) AS INT) END AS logo_probability, CAST(confidence AS INT) AS confidence,
+        CASE WHEN p.det_id IS NULL THEN '[]' ELSE '["ocr_text","tight_crop"]' END AS signals_used, CASE WHEN p.det_id IS NULL THEN '[]' ELSE '["OCR","Crop Visual!","text"]' END AS signals_used_raw, reasoning,
+        lang AS faiss_top1, CASE WHEN h.det_id IS NOT NULL THEN 0.875e0 END AS faiss_top1_score, CASE WHEN h.det_id IS NULL THEN '[]' ELSE CAST(to_json([lang, source]) AS STRING) END AS faiss_top5_brands, CASE WHEN h.det_id IS NULL THEN '[]' ELSE '[0.875,0.5]' END AS faiss_top5_scores,
+        '["tv"]' AS audio_brands, CASE WHEN h.det_id IS NULL THEN '' ELSE concat(source, ' | ', lang) END AS ocr_text, CASE WHEN h.det_id IS NOT NULL THEN 'tight_crop' END AS ocr_source, 'x' AS experiment, 'closed' AS brand_mode, '["tight_crop","ocr_text"]' AS enabled_signals, CAST(NULL AS STRING) AS label
+    FROM d LEFT JOIN p ON d.det_id = p.det_id LEFT JOIN h ON d.det_id = h.det_id""")
+def prediction_table(spark, sf):
+    """The whole flat table of predictions."""
+    i = F.col("det_id")
+    d = table(spark, sf, "reviews").select("det_id", i.alias("frame_idx"), (i / 25.0).alias("timecode_seconds"), (i % 1000 / 1000.0).alias("score"), F.array(i % 640, i % 360, i % 640 + 9, i % 360 + 9).alias("box_xyxy"), F.concat(F.lit("crops/"), i.cast("string"), F.lit(".png")).alias("crop_path"), F.concat(F.lit("large/"), i.cast("string"), F.lit(".png")).alias("crop_enlarged_path"))
+    p = sql(spark, sf, PARSED).withColumn("signals_used", F.array(F.lit("OCR"), F.lit("Crop Visual!"), F.lit("text"))).withColumn("signals_used_raw", F.lit(None).cast("array<string>"))
+    hit = lambda c, x: F.struct(F.col(c).alias("brand_name"), F.lit(x).alias("similarity"))
+    line = lambda c: F.struct(F.col(c).alias("text"), F.lit(0.5).alias("confidence"))
+    h = table(spark, sf, "documents").where("doc_id % 4 <> 0").select(F.col("doc_id").alias("det_id"), F.array(hit("lang", 0.875), hit("source", 0.5)).alias("faiss_top_k"), F.struct(F.array(line("source"), line("lang")).alias("lines"), F.lit("tight_crop").alias("source")).alias("ocr"))
+    return E.flat_predictions(d, p, h, ["tv"], "x", "closed", ["ocr_text", "tight_crop"], "run")
+
+
 # Decision chains.
 ITEMS = """SELECT p_partkey AS id, p_name AS ocr, p_brand AS top_brand, CASE WHEN p_size % 9 = 0 THEN NULL ELSE 0.86e0 + p_size % 14 / 100e0 END AS top, p_size % 6 AS votes, (p_size % 6) / 5e0 AS share,
     CASE WHEN p_size % 4 = 0 THEN 'False_Logo' ELSE p_brand END AS hit, CASE WHEN p_size % 3 = 0 THEN 'other' ELSE upper(p_brand) END AS winner, CAST(p_partkey % 101 AS DOUBLE) AS fuzzy, CASE WHEN p_partkey % 8 = 0 THEN 'a' ELSE p_name END AS words FROM {part}"""
@@ -207,6 +230,19 @@ def postfilter(spark, sf):
     return C.postfilter(sql(spark, sf, ROWS), verdicts, ["database", "audio"], "llm").select("logo_id", "brand", "source", "postfilter_method", "postfilter_applied", "postfilter_verdict", "kept")
 
 
+@query(f"""WITH a AS (SELECT logo_id, {VERDICT} AS verdict FROM ({VERDICTS}) WHERE logo_id % 11 <> 0), v AS (SELECT r.logo_id // 1000 AS frame, r.logo_id AS logo_id, CASE WHEN r.logo_id % 5 = 0 THEN NULL WHEN lower(trim(source)) IN ('database', 'audio') AND r.logo_id % 2 = 0 THEN 'Correct' WHEN lower(trim(source)) = 'database' THEN verdict END AS verdict FROM ({ROWS}) r LEFT JOIN a ON r.logo_id = a.logo_id)
+    SELECT frame, count(*) AS results, count(*) FILTER (WHERE verdict IS NULL OR verdict = 'Correct') AS kept, count(verdict) AS applied, coalesce(string_agg(CAST(logo_id AS STRING), ',' ORDER BY logo_id) FILTER (WHERE verdict IS NULL OR verdict = 'Correct'), '') AS ids FROM v GROUP BY frame""")
+def postfilter_frames(spark, sf):
+    """Two strategies one after the other, rows without a readable image, and frames of which nothing is left."""
+    rows = sql(spark, sf, ROWS).withColumn("frame", F.floor(F.col("logo_id") / 1000)).withColumn("readable", F.col("logo_id") % 5 != 0)
+    first = ("llm", ["database"], lambda _: sql(spark, sf, VERDICTS).where("logo_id % 11 <> 0"))
+    second = ("again", ["database", "audio"], lambda asked: asked.where("logo_id % 2 = 0").select("logo_id", F.lit("correct").alias("raw")))
+    out = C.postfilter_outputs(rows, rows.select("frame", F.lit(0.0).alias("timestamp")).distinct(), [first, second])
+    kept = out["filtered_frames"].select("frame", F.size("results").cast("long").alias("kept"), F.array_join(F.transform("results", lambda r: r["logo_id"].cast("string")), ",").alias("ids"))
+    every = out["frames"].select("frame", F.size("results").cast("long").alias("results"), F.size(F.filter("results", lambda r: r["postfilter"]["applied"])).cast("long").alias("applied"))
+    return every.join(kept, "frame")
+
+
 ROUTES = "SELECT event_id AS id, value / 500e0 AS pg, user_id % 10 / 10e0 AS ns, user_id % 7 / 7e0 AS pm, event_id % 9 / 9e0 AS pl, event_type = 'click' AS poster, user_id % 3 = 0 AS stylized, user_id % 5 = 0 AS design FROM {events}"
 
 

@@ -6,7 +6,9 @@ from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..operators import cascade as C
+from ..operators import evidence as E
 from ..operators import matching as M
+from ..operators import vectors as V
 from .base import query, sql, table
 
 NORM = "trim(regexp_replace(regexp_replace(regexp_replace(lower({x}), '[\\r\\n\\t]', ' ', 'g'), '[^a-z0-9 ]', '', 'g'), ' +', ' ', 'g'))"
@@ -79,9 +81,8 @@ def signals_normalize(spark, sf):
 def brand_map(spark, sf):
     """Names by a mapping that a model returned as JSON; blank values count for nothing."""
     p = table(spark, sf, "part").select(F.col("p_partkey").alias("id"), F.when(F.col("p_size") % 5 == 0, "UNKNOWN").otherwise(F.col("p_brand")).alias("brand"))
-    m = F.from_json(F.lit('{"Brand#11": "Eleven", "Brand#12": " "}'), "map<string,string>")
-    mapped = F.try_element_at(m, F.col("brand"))
-    return p.select("id", F.when(F.col("brand") == "UNKNOWN", "UNKNOWN").otherwise(F.coalesce(F.when(F.trim(mapped) != "", mapped), F.col("brand"))).alias("canonical"))
+    m = E.canonical_map(F.lit('Here it is: {"Brand#11": " Eleven", "Brand#12": " "}'))
+    return p.select("id", E.canonical_brand(F.col("brand"), m).alias("canonical"))
 
 
 @query("SELECT doc_id, len(list_filter(string_split(text, chr(10)), lambda x: trim(x) <> '')) AS n, lower(trim(string_split(text, chr(10))[1])) AS first FROM {documents}")
@@ -196,7 +197,13 @@ def robust_match(spark, sf):
     return M.robust_match(sql(spark, sf, QUERIES_), "q", sql(spark, sf, BRANDS), "brand")
 
 
-@query()
+# The longest common subsequence of x and y by bits: those of x that are cleared after all letters of y.
+LCS = """length(x) - bit_count(list_reduce(list_prepend(ones, list_transform(string_split(y, ''), lambda c: list_sum(list_transform(range(length(x)), lambda i: CASE WHEN x[i + 1] = c THEN (1::HUGEINT << i::HUGEINT) ELSE 0::HUGEINT END))::HUGEINT)),
+    lambda v, m: ((v + (v & m)) | (v - (v & m))) & ones))"""
+
+
+@query(f"""WITH n AS (SELECT DISTINCT type, name FROM [names] WHERE name IS NOT NULL), p AS (SELECT a.type AS type, a.name AS x, b.name AS y, (1::HUGEINT << length(a.name)::HUGEINT) - 1 AS ones FROM n a JOIN n b ON a.type = b.type AND a.name < b.name)
+    SELECT type, round(avg(2e0 * ({LCS}) / (length(x) + length(y))), 6) AS similarity, count(*) AS pairs FROM p GROUP BY type""")
 def indel_pairs(spark, sf):
     """Mean pairwise similarity of the names of each type."""
     n = table(spark, sf, "names").select("type", "name").distinct()
@@ -209,11 +216,57 @@ def soft_boost(spark, sf):
     return m.select("q", "brand", M.boosted(F.col("score"), F.col("q"), F.array("brand")).alias("score"))
 
 
-@query()
+# Texts that are the name of a priority, that are like none, and that are too short to count.
+PRIORITY = "lower(replace(o_orderpriority, '-', ''))"
+CROPS = f"SELECT o_orderkey AS image, CASE o_orderkey % 3 WHEN 0 THEN concat(' ', o_orderpriority) WHEN 1 THEN 'QQQQ' ELSE 'low' END AS text, {PRIORITY} AS priority FROM {{orders}}"
+
+
+@query(f"""WITH c AS ({CROPS}), t AS (SELECT image, max(logit) AS top FROM [logits] GROUP BY image), b AS (SELECT image, prompt AS best FROM [logits] QUALIFY row_number() OVER (PARTITION BY image ORDER BY logit DESC, prompt DESC) = 1),
+    z AS (SELECT l.image AS image, 1e0 / sum(exp(logit - top)) AS p FROM [logits] l JOIN t USING (image) GROUP BY l.image)
+    SELECT image, CASE WHEN image % 3 = 0 THEN priority WHEN p >= 0.8 THEN best ELSE 'UNKNOWN' END AS brand, CASE WHEN image % 3 = 0 THEN 'text' WHEN p >= 0.8 THEN 'zero_shot' END AS technique, CASE WHEN image % 3 = 0 THEN 100e0 WHEN p >= 0.8 THEN round(p, 6) END AS score
+    FROM c LEFT JOIN z USING (image) LEFT JOIN b USING (image)""")
 def text_then_zero_shot(spark, sf):
-    m = M.best_match(sql(spark, sf, QUERIES_), "q", sql(spark, sf, BRANDS), "brand", "wratio", 0.0)
-    pick = C.first_known([("text", F.when((F.length(T.normalize(F.col("q"))) >= 4) & (F.col("score") >= 90), F.col("brand")), F.col("score")), ("clip", F.when(F.length("q") % 2 == 0, F.concat("brand", F.lit(" logo"))), F.lit(0.8))])
-    return m.select("q", *(c.alias(n) for n, c in pick.items()))
+    """The text of a crop, else the zero-shot prompt."""
+    brands = sql(spark, sf, f"SELECT DISTINCT {PRIORITY} AS brand FROM {{orders}}")
+    m = C.text_then_prompt(sql(spark, sf, CROPS), "image", "text", brands, "brand", V.zero_shot(table(spark, sf, "logits")))
+    return m.withColumn("score", F.round("score", 6))
+
+
+@query()
+def wratio_match_batch(spark, sf):
+    """Names of parts with the list of brands, in the order of the list."""
+    brands = table(spark, sf, "part").groupBy(F.lower("p_brand").alias("brand")).agg(F.min("p_partkey").alias("place"))
+    return M.best_match_batch(sql(spark, sf, QUERIES_), "q", brands, "brand", "place", 80.0)
+
+
+@query("SELECT s_suppkey AS id, CASE WHEN s_suppkey % 5 = 0 THEN 'UNKNOWN' ELSE lower(n_name) END AS brand, CASE WHEN s_suppkey % 5 <> 0 THEN 100e0 END AS score, CASE WHEN s_suppkey % 5 = 0 THEN 'ab' ELSE lower(n_name) END AS ocr_text, 'audio' AS source FROM {supplier} JOIN {nation} ON s_nationkey = n_nationkey")
+def audio_ocr(spark, sf):
+    """Texts that are names of the list, and texts that are too short."""
+    n = table(spark, sf, "nation")
+    items = table(spark, sf, "supplier").join(n, F.col("s_nationkey") == F.col("n_nationkey")).select(F.col("s_suppkey").alias("id"), F.when(F.col("s_suppkey") % 5 == 0, "ab").otherwise(F.lower("n_name")).alias("ocr"))
+    return M.audio_technique(items, "id", "ocr", n, "n_name", "n_nationkey").withColumnRenamed("n_name", "brand")
+
+
+@query("SELECT doc_id, trim(split_part(text, 'the', 2)) AS second, CAST(doc_id AS STRING) AS header FROM {documents} WHERE contains(text, 'the') UNION ALL SELECT doc_id, NULL, CAST(doc_id AS STRING) FROM {documents} WHERE text IS NULL OR NOT contains(text, 'the')")
+def answer_parts(spark, sf):
+    """What follows a mark in whole texts, and the line under a quoted header."""
+    d = table(spark, sf, "documents")
+    head = F.concat(F.coalesce("text", F.lit("")), F.lit('\n"Brand names and logos present": '), F.col("doc_id").cast("string"), F.lit(" \nmore"))
+    return d.select("doc_id", F.trim(T.after_first(F.col("text"), "the")).alias("second"), T.header_line(head, "Brand names and logos present").alias("header"))
+
+
+@query("""WITH h AS (SELECT conv_id, coalesce(string_agg(concat('"', role, '"'), ', ' ORDER BY turn) FILTER (WHERE turn % 2 = 0), '(none detected)') AS heard, coalesce(string_agg(concat(CAST(r AS STRING), '. ', role, ' (', printf('%.3f', turn / 8e0), ')'), chr(10) ORDER BY turn) FILTER (WHERE turn % 2 = 1), '(none detected)') AS near
+        FROM (SELECT *, (row_number() OVER (PARTITION BY conv_id, turn % 2 ORDER BY turn)) AS r FROM {conversations}) GROUP BY conv_id)
+    SELECT conv_id, concat('## Signal: tight_crop', chr(10), 'detector score ', printf('%.3f', (conv_id % 8) / 8e0), chr(10), '## Signal: audio_brands', chr(10), heard, chr(10), '## Signal: faiss_matches', chr(10), near, chr(10), 'The channel''s own mark is "tv".', chr(10),
+        CASE WHEN heard = '(none detected)' THEN 'There are no candidates: answer UNKNOWN.' ELSE concat('Name one of [', heard, '], or UNKNOWN.') END) AS prompt FROM h""")
+def evidence_prompt(spark, sf):
+    """A closed-set prompt of three signals, given in any order."""
+    c = table(spark, sf, "conversations").groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("turn", "role"))).alias("l"))
+    heard = F.transform(F.filter("l", lambda s: s["turn"] % 2 == 0), lambda s: s["role"])
+    near = F.transform(F.filter("l", lambda s: s["turn"] % 2 == 1), lambda s: F.struct(s["role"].alias("brand_name"), (s["turn"] / 8.0).alias("similarity")))
+    none = F.array().cast("array<struct<text:string,confidence:double>>")
+    parts = E.signal_text((F.col("conv_id") % 8) / 8.0, F.lit(0.0), F.array().cast("array<string>"), heard, near, none)
+    return c.select("conv_id", E.prompt(parts, ["faiss_matches", "audio_brands", "tight_crop"], E.brand_rule(heard, True), "tv").alias("prompt"))
 
 
 @query("SELECT DISTINCT lower(trim(p_brand)) AS brand FROM {part}")

@@ -12,6 +12,10 @@ IMAGES = ["jpg", "jpeg", "png", "webp"]
 DETECTION = """det_id int, sample_idx int, frame_idx int, timecode_seconds double, label string, score double, box_xyxy array<double>, box_xyxy_enlarged array<double>,
     frame_width int, frame_height int, crop_path string, crop_enlarged_path string, temporal_frames map<string,string>"""
 MANIFEST = f"video string, fps double, total_frames int, sampled_frames int, total_detections int, config string, detections array<struct<{', '.join(x.strip().replace(' ', ': ', 1) for x in DETECTION.split(', '))}>>"
+PREDICTION = """is_logo string, brand string, brand_canonical string, is_truncated boolean, logo_probability string, confidence string, signals_used array<string>, signals_used_raw array<string>, reasoning string"""
+HINTS = "det_id long, faiss_top_k array<struct<brand_name: string, similarity: double>>, ocr struct<lines: array<struct<text: string, confidence: double>>, source: string>"
+#: Columns of shot statistics, by the name they get here.
+SHOT_STATS = {"frame": "Frame Number", "timecode": "Timecode", "ratio": "adaptive_ratio (w=2)"}
 ANNOTATION = "box array<struct<labels: array<string>, sequence: array<struct<frame: int, time: double, x: double, y: double, width: double, height: double, enabled: boolean>>>>"
 
 
@@ -47,6 +51,34 @@ def manifest(spark: SparkSession, path: str, lines: bool = False) -> DataFrame:
     return m.select("video", "fps", "total_frames", F.explode("detections").alias("d")).select("video", "fps", "total_frames", "d.*")
 
 
+def hints(spark: SparkSession, path: str | list[str], lines: bool = False) -> DataFrame:
+    """Hints of detections: det_id, faiss_top_k, ocr; a file is one object, or one per line."""
+    return spark.read.schema(HINTS).option("multiLine", not lines).json(path)
+
+
+def predictions(spark: SparkSession, path: str | list[str], lines: bool = False) -> DataFrame:
+    """Predictions by det_id, with the fields of PREDICTION; null fields where the answer was not parsed.
+
+    A file without a det_id gets it from the last number in the name of its folder.
+    """
+    kind = "struct<" + ", ".join(x.strip().replace(" ", ": ", 1) for x in PREDICTION.split(", ")) + ">"
+    p = spark.read.schema(f"det_id long, raw string, parsed {kind}").option("multiLine", not lines).json(path)
+    own = F.regexp_extract(F.input_file_name(), r"(\d+)[^/\d]*/[^/]+$", 1).try_cast("long")
+    return p.select(F.coalesce("det_id", own).alias("det_id"), "parsed.*")
+
+
+def gallery_metadata(spark: SparkSession, path: str) -> DataFrame:
+    """The entries of a gallery's metadata list, in the columns that the file has."""
+    return spark.read.option("multiLine", True).json(path)
+
+
+def shot_stats(spark: SparkSession, path: str) -> DataFrame:
+    """Shot statistics: frame, timecode and ratio by frame; the ratio is null in the first and last frames of a file."""
+    s = csv(spark, path, list(SHOT_STATS.values()), multiline=False)
+    kinds = {"frame": "long", "timecode": "string", "ratio": "double"}
+    return s.select(*(F.col(f"`{c}`").try_cast(kinds[n]).alias(n) for n, c in SHOT_STATS.items()))
+
+
 def annotations(spark: SparkSession, path: str) -> DataFrame:
     """A row per annotated box and time: label, frame, time, x, y, width, height (percent)."""
     a = spark.read.schema(ANNOTATION).option("multiLine", True).json(path)
@@ -54,14 +86,19 @@ def annotations(spark: SparkSession, path: str) -> DataFrame:
     return b.select("path", "label", "s.frame", "s.time", "s.x", "s.y", "s.width", "s.height")
 
 
-def image_files(spark: SparkSession, folder: str, labelled: bool = False) -> DataFrame:
-    """Image files below a folder: path, name, content; the folder's name as brand if labelled."""
+def image_files(spark: SparkSession, folder: str, labelled: bool = False, below: bool = True) -> DataFrame:
+    """Image files in a folder, and below it unless told not to: path, name, content; the folder's name as brand if labelled."""
     pattern = "*.{" + ",".join([*IMAGES, *(x.upper() for x in IMAGES)]) + "}"
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", pattern).load(folder)
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", below).option("pathGlobFilter", pattern).load(folder)
     out = files.select("path", F.regexp_extract("path", r"([^/]+)$", 1).alias("name"), "content")
     return out.withColumn("brand", F.regexp_extract("path", r"([^/]+)/[^/]+$", 1)) if labelled else out
 
 
+def flat_folder(spark: SparkSession, folder: str) -> DataFrame:
+    """Image files in a folder itself, sorted by name."""
+    return image_files(spark, folder, below=False).orderBy("name")
+
+
 def images(spark: SparkSession, folder: str) -> DataFrame:
     """Decoded images: path, height, width, channels, data (blue, green, red by row); unreadable ones are left out."""
     return spark.read.format("image").option("dropInvalid", True).load(folder).select("image.origin", "image.height", "image.width", F.col("image.nChannels").alias("channels"), "image.data").withColumnRenamed("origin", "path")

@@ -37,6 +37,26 @@ def split_known(df: DataFrame, path: str, mode: str = "error") -> None:
     df.withColumn("is_known", F.coalesce("brand", F.lit("UNKNOWN")) != "UNKNOWN").write.mode(mode).partitionBy("is_known").parquet(path)
 
 
+def verdicts_csv(annotated: DataFrame, path: str, mode: str = "error") -> None:
+    """All rows with their verdicts, and beside them those that are kept."""
+    to_csv(annotated, f"{path}/with_verdicts", mode)
+    to_csv(annotated.where("kept"), f"{path}/filtered", mode)
+
+
+def brand_object(brands: DataFrame, source: str, model: str) -> DataFrame:
+    """One row: source, model, count, and the distinct brands in order (a list for a person, thus small)."""
+    names = F.array_sort(F.collect_set("brand"))
+    return brands.where("brand is not null").agg(names.alias("brands")).select(F.lit(source).alias("source"), F.lit(model).alias("model"), F.size("brands").alias("count"), "brands")
+
+
+def comparison_table(df: DataFrame, order: str = "recall_at_1", rows: int = 50) -> str:
+    """The best rows of a summary as text for a terminal, numbers with four places, columns aligned."""
+    four = [F.format_string("%.4f", c).alias(c) if t in ("double", "float") else F.col(c).cast("string").alias(c) for c, t in df.dtypes]
+    top = [[c or "" for c in r] for r in df.orderBy(F.desc(order), *(c for c in df.columns if c != order)).select(*four).limit(rows).collect()]
+    width = [max(map(len, column)) for column in zip(df.columns, *top, strict=True)]
+    return "\n".join("  ".join(c.ljust(w) for c, w in zip(r, width, strict=True)).rstrip() for r in [df.columns, ["-" * w for w in width], *top])
+
+
 def read_or_none(spark: SparkSession, path: str) -> DataFrame | None:
     """A Parquet table, or None where there is none yet."""
     try:
