@@ -60,7 +60,27 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {f.__name__: f for f in (op1_embedding_dedup, op2_byte_bpe, op3_quality, op4_exact_dedup, op5_packing, op6_substring_dedup, op7_token_files, op8_language_id, op9_minhash, op10_token_counts)}
 
+#: Vectors that link, and all that can be reached by links; documents likewise.  Both compare all pairs, which DuckDB does
+#: within seconds on the small tables.
+REACH = "reach AS (SELECT id AS a, id AS b FROM ids UNION SELECT reach.a, links.b FROM reach JOIN links ON reach.b = links.a)"
+
 SQL = {
+    "op1_embedding_dedup": f"""
+        WITH RECURSIVE ids AS (SELECT DISTINCT vec_id AS id FROM embeddings),
+        v AS (SELECT vec_id AS id, CAST(embedding AS DOUBLE[]) AS e FROM embeddings WHERE len(embedding) > 0 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+        u AS (SELECT id, list_transform(e, lambda x: x / sqrt(list_inner_product(e, e))) AS e FROM v WHERE list_inner_product(e, e) > 0),
+        links AS (SELECT x.id AS a, y.id AS b FROM u x JOIN u y ON x.id <> y.id AND len(x.e) = len(y.e) AND list_inner_product(x.e, y.e) >= 0.95),
+        {REACH}
+        SELECT id AS vec_id, (SELECT count(*) FROM links WHERE a = id) AS n_links, (SELECT min(b) FROM reach WHERE a = id) AS component_id,
+               id = (SELECT min(b) FROM reach WHERE a = id) AS kept FROM ids""",
+    "op9_minhash": f"""
+        WITH RECURSIVE ids AS (SELECT DISTINCT doc_id AS id FROM documents),
+        w AS (SELECT doc_id AS id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x20\\x09-\\x0D]+') AS w FROM documents),
+        s AS (SELECT id, list_distinct(CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 5 THEN [array_to_string(w, ' ')] ELSE list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' ')) END) AS s FROM w),
+        e AS (SELECT id, len(s) AS n, unnest(s) AS shingle FROM s),
+        links AS (SELECT x.id AS a, y.id AS b FROM e x JOIN e y ON x.shingle = y.shingle AND x.id <> y.id GROUP BY x.id, y.id HAVING 100 * count(*) >= 85 * (any_value(x.n) + any_value(y.n) - count(*))),
+        {REACH}, least AS (SELECT a, min(b) AS b FROM reach GROUP BY a)
+        SELECT s.id AS doc_id, len(s.s) AS n_shingles, least.b AS component_id, s.id = least.b AS kept FROM s JOIN least ON s.id = least.a""",
     "op4_exact_dedup": """
         SELECT doc_id, max(doc_id) OVER w AS keep_id, count(*) OVER w AS group_size,
                doc_id = max(doc_id) OVER w AS kept, sha256(coalesce(text, '')) AS text_sha256
