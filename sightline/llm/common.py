@@ -69,7 +69,7 @@ def discard(df: DataFrame) -> None:
         _delete(df.sparkSession, path)
 
 
-def small_batches(spark: SparkSession, rows: int = 1000, size: int = 8 << 20) -> None:
+def small_batches(spark: SparkSession, rows: int = 1000, size: int = 4 << 20) -> None:
     """Texts are long rows: at most `rows` of them, or about `size` bytes, go to a Python worker of this session at a time.
 
     Both settings of the session stay so, since results are read after the
@@ -93,10 +93,19 @@ def _trim() -> None:
         pass
 
 
+def _map_large() -> None:
+    """Arrays of 1 MB or more get pages of their own, which go back to the system as soon as they are freed."""
+    try:
+        ctypes.CDLL(None).mallopt(-3, 1 << 20)  # M_MMAP_THRESHOLD, which else grows with what is freed
+    except (OSError, AttributeError):  # not every C library has it
+        pass
+
+
 def lean(run: Callable) -> Callable:
     """A function over batches whose Python worker holds no more than it needs when a task ends."""
 
     def wrapped(batches):
+        _map_large()
         yield from run(batches)
         _trim()
 

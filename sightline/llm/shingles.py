@@ -17,7 +17,7 @@ _powers = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
 
 def _up_down(n: int) -> tuple[np.ndarray, np.ndarray]:
     if len(_powers[0]) < n:
-        n = max(n, 1 << 20)
+        n = max(n, 1 << 19)
         one = np.ones(1, np.uint64)
         _powers[0] = np.append(one, np.cumprod(np.full(n, _odd, np.uint64)))
         _powers[1] = np.append(one, np.cumprod(np.full(n, pow(_odd, -1, 1 << 64), np.uint64)))
@@ -72,7 +72,7 @@ def shingle_sets(texts: list[bytes], size: int = 5) -> list[np.ndarray]:
     return out
 
 
-def helpings(texts: list, size: int = 600_000):
+def helpings(texts: list, size: int = 300_000):
     """Index ranges of a batch, each of about `size` bytes."""
     at, held = 0, 0
     for i, t in enumerate(texts):
