@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, divergence, embedding_dedup, exact_dedup, language_id, minhash, packing, quality, substring_dedup, token_counts, token_files
+from . import bpe, divergence, embedding_dedup, exact_dedup, language_id, minhash, packing, periods, quality, substring_dedup, token_counts, token_files, toxicity
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -58,11 +58,22 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.count_tokens(_table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
 
+def op11_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents").withColumn("held_out", language_id.held_out(5, 0))
+    labels = _table(spark, sf_dir, "labels").where(~language_id.held_out(5, 0))
+    model = toxicity.fit(docs.where(~F.col("held_out")), labels)
+    return toxicity.score(docs, model, "held_out").select("doc_id", "held_out", "score", "predicted")
+
+
+def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return periods.summarise(periods.find_runs(periods.with_planted(_table(spark, sf_dir, "documents"))))
+
+
 def op13_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
     return divergence.audit(_table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_embedding_dedup, op2_byte_bpe, op3_quality, op4_exact_dedup, op5_packing, op6_substring_dedup, op7_token_files, op8_language_id, op9_minhash, op10_token_counts, op13_source_divergence)}
+QUERIES = {f.__name__: f for f in (op1_embedding_dedup, op2_byte_bpe, op3_quality, op4_exact_dedup, op5_packing, op6_substring_dedup, op7_token_files, op8_language_id, op9_minhash, op10_token_counts, op11_toxicity, op12_periodic_runs, op13_source_divergence)}
 
 #: Vectors that link, and all that can be reached by links; documents likewise.  Both compare all pairs, which DuckDB does
 #: within seconds on the small tables.
