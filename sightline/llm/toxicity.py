@@ -121,7 +121,7 @@ class Ftrl:
         self.n[at] = n + g * g
 
 
-def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", sample: int = 8000, most: int = 4096, rounds: int = 8, alpha: float = 0.3, beta: float = 1.0, l1: float = 1.0, l2: float = 0.1) -> ToxicModel:
+def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", sample: int = 8000, most: int = 4096, rounds: int = 4, alpha: float = 0.5, beta: float = 1.0, l1: float = 12.0, l2: float = 0.1) -> ToxicModel:
     """Fit on at most `sample` labelled documents, those with the least hash of doc_id.
 
     Only numbers of places come to the driver, at most `most` of a text (those
