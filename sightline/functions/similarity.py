@@ -5,6 +5,7 @@
 
 from __future__ import annotations
 
+import re
 from functools import lru_cache
 
 import pandas as pd
@@ -124,11 +125,14 @@ def jaro_winkler(a: str, b: str) -> float:
     return jaro + 0.1 * prefix * (1 - jaro)
 
 
+def smart_form(text: str) -> str:
+    """Trimmed, in lower case, digits and letters apart."""
+    return re.sub(r"(?<=[0-9])(?=[a-z])|(?<=[a-z])(?=[0-9])", " ", text.lower().strip())
+
+
 def smart_score(a: str, b: str) -> float:
     """Both of several words: wratio; both short (6 at most): Jaro-Winkler; else the partial ratio."""
-    import re
-
-    a, b = (re.sub(r"(?<=[0-9])(?=[a-z])|(?<=[a-z])(?=[0-9])", " ", x.lower().strip()) for x in (a, b))
+    a, b = smart_form(a), smart_form(b)
     if not a or not b:
         return 0.0
     if len(_words(a)) > 1 and len(_words(b)) > 1:

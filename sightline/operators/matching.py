@@ -1,8 +1,9 @@
 """Fuzzy joins, prompts, and boxes in answers.
 
-Names are scored once for each distinct text.  The list of brands is a
-dictionary: its size is checked, and a longer list is dealt by blocks instead
-of being sent to every task.
+Names are scored once for each distinct text, and only those names that an
+inverted index does not rule out (name_index).  The list of brands is a
+dictionary: its size is checked, and a longer list is dealt by blocks, each with
+an index of its own, instead of being sent to every task.
 """
 
 from __future__ import annotations
@@ -10,13 +11,14 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import similarity as S
+from .name_index import NameIndex
 
-#: Longest list of brands that goes to every task, in names, and names of a block otherwise.
-MOST_NAMES, BLOCK = 200_000, 5_000
+#: Longest list of brands that goes to every task, in bytes of text, and names of a block otherwise.
+MOST_BYTES, BLOCK = 16 << 20, 20_000
 
 
 def best_match(queries: DataFrame, query: str, brands: DataFrame, brand: str, scorer: str, least: float, short_extra: float = 15.0, strict: bool = False, place: str | None = None) -> DataFrame:
@@ -29,25 +31,21 @@ def best_match(queries: DataFrame, query: str, brands: DataFrame, brand: str, sc
     order = F.col(place).cast("double") if place else F.lit(0.0)
     names = brands.select(F.col(brand).cast("string").alias(brand), order.alias("_p")).where(F.col(brand).isNotNull()).groupBy(brand).agg(F.min("_p").alias("_p"))
     asked = queries.select(F.col(query).cast("string").alias(query)).where(F.col(query).isNotNull()).distinct()
-    f = S.SCORERS[scorer]
     schema = f"`{query}` string, `{brand}` string, score double, _p double"
 
-    def best(q: list[str], b: list[tuple[float, str]]) -> pd.DataFrame:
-        rows = []
-        for x in q:
-            top = max(((f(x, y), -i) for i, (_, y) in enumerate(b)), default=None)
-            if top is not None:
-                p, y = b[-top[1]]
-                rows.append((x, y, float(top[0]), p))
+    def best(q: list[str], b: list[tuple[float, str]], index: NameIndex) -> pd.DataFrame:
+        found = [(x, index.best(x)) for x in q]
+        rows = [(x, b[top[1]][1], float(top[0]), b[top[1]][0]) for x, top in found if top]
         return pd.DataFrame(rows, columns=[query, brand, "score", "_p"])
 
-    n = names.count()
-    if n <= MOST_NAMES:
+    n, bytes_ = names.agg(F.count("*"), F.coalesce(F.sum(F.octet_length(brand)), F.lit(0))).first()
+    if bytes_ <= MOST_BYTES:
         shared = queries.sparkSession.sparkContext.broadcast(sorted((r["_p"], r[brand]) for r in names.collect()))  # checked above
 
         def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            index = NameIndex([y for _, y in shared.value], scorer)
             for part in batches:
-                yield best(part[query].tolist(), shared.value)
+                yield best(part[query].tolist(), shared.value, index)
 
         found = asked.mapInPandas(run, schema)
     else:
@@ -57,10 +55,13 @@ def best_match(queries: DataFrame, query: str, brands: DataFrame, brand: str, sc
         blocks = names.withColumn("_b", F.pmod(F.xxhash64(brand), F.lit(across))).withColumn("_t", F.explode(F.sequence(F.lit(0), F.lit(down - 1))))
 
         def meet(q: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
-            return best(q[query].tolist(), sorted(zip(b["_p"], b[brand], strict=True)))
+            listed = sorted(zip(b["_p"], b[brand], strict=True))
+            return best(q[query].tolist(), listed, NameIndex([y for _, y in listed], scorer))
 
         each = texts.groupBy("_t", "_b").cogroup(blocks.groupBy("_t", "_b")).applyInPandas(meet, schema)
-        found = each.withColumn("_r", F.row_number().over(Window.partitionBy(query).orderBy(F.desc("score"), "_p", brand))).where("_r = 1")
+        # Less than the best score by more, then the place, then the name; merged before the shuffle.
+        top = F.min_by(F.struct(brand, "score", "_p"), F.struct(-F.col("score"), "_p", brand))
+        found = each.groupBy(query).agg(top.alias("_s")).select(query, f"_s.`{brand}`", "_s.score", "_s._p")
     need = F.lit(least) + F.when(F.length(F.trim(query)) < 4, short_extra if least else 0.0).otherwise(0.0)
     taken = F.col("score") > need if strict else F.col("score") >= need
     return found.select(query, F.when(taken, F.col(brand)).alias(brand), "score")

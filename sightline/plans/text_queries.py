@@ -170,8 +170,9 @@ def norm1000_boxes(spark, sf):
     return b.select("event_id", M.box_1000(answer, F.lit(640), F.lit(360)).alias("s")).select("event_id", "s.*")
 
 
-BRANDS = "SELECT DISTINCT lower(p_brand) AS brand FROM {part}"
-QUERIES_ = "SELECT DISTINCT lower(concat(substr(p_brand, 1, 4), substr(p_brand, 6, 2), CASE WHEN p_size % 3 = 0 THEN 'x' ELSE '' END)) AS q FROM {part}"
+# Whole names of parts, and a list in which the same words stand in another order beside other ones.
+BRANDS = "SELECT DISTINCT lower(concat(split_part(p_name, ' ', 2), ' ', p_type)) AS brand FROM {part}"
+QUERIES_ = "SELECT DISTINCT lower(p_name) AS q FROM {part}"
 
 
 @query(f"""WITH s AS (SELECT q, brand, jaro_winkler_similarity(q, brand) AS s FROM ({QUERIES_}), ({BRANDS}))
@@ -202,6 +203,18 @@ LCS = """length(x) - bit_count(list_reduce(list_prepend(ones, list_transform(str
     lambda v, m: ((v + (v & m)) | (v - (v & m))) & ones))"""
 
 
+CUSTOMERS, SUPPLIERS = "SELECT DISTINCT lower(concat(c_name, ' ', c_mktsegment)) AS x FROM {customer}", "SELECT DISTINCT lower(concat(s_name, ' ', n_name)) AS y FROM {supplier} JOIN {nation} ON s_nationkey = n_nationkey"
+
+
+@query(f"""WITH p AS (SELECT x, y, (1::HUGEINT << length(x)::HUGEINT) - 1 AS ones FROM ({CUSTOMERS}), ({SUPPLIERS})),
+    s AS (SELECT x, y, 200e0 * ({LCS}) / (length(x) + length(y)) AS s FROM p)
+    SELECT x AS q, CASE WHEN s >= 62e0 THEN y END AS brand, round(s, 6) AS score FROM s QUALIFY row_number() OVER (PARTITION BY x ORDER BY s DESC, y) = 1""")
+def ratio_match(spark, sf):
+    """Every customer's name and segment with the supplier's name and nation that is most alike."""
+    m = M.best_match(sql(spark, sf, CUSTOMERS), "x", sql(spark, sf, SUPPLIERS), "y", "ratio", 62.0)
+    return m.select(F.col("x").alias("q"), F.col("y").alias("brand"), F.round("score", 6).alias("score"))
+
+
 @query(f"""WITH n AS (SELECT DISTINCT type, name FROM [names] WHERE name IS NOT NULL), p AS (SELECT a.type AS type, a.name AS x, b.name AS y, (1::HUGEINT << length(a.name)::HUGEINT) - 1 AS ones FROM n a JOIN n b ON a.type = b.type AND a.name < b.name)
     SELECT type, round(avg(2e0 * ({LCS}) / (length(x) + length(y))), 6) AS similarity, count(*) AS pairs FROM p GROUP BY type""")
 def indel_pairs(spark, sf):
@@ -234,8 +247,8 @@ def text_then_zero_shot(spark, sf):
 
 @query()
 def wratio_match_batch(spark, sf):
-    """Names of parts with the list of brands, in the order of the list."""
-    brands = table(spark, sf, "part").groupBy(F.lower("p_brand").alias("brand")).agg(F.min("p_partkey").alias("place"))
+    """Names of parts with the list, in the order of its parts."""
+    brands = sql(spark, sf, BRANDS.replace("DISTINCT", "p_partkey, ")).groupBy("brand").agg(F.min("p_partkey").alias("place"))
     return M.best_match_batch(sql(spark, sf, QUERIES_), "q", brands, "brand", "place", 80.0)
 
 
