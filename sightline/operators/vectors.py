@@ -1,8 +1,8 @@
 """Exact nearest neighbours and what is built on them.
 
 A gallery whose size has been checked is broadcast as one matrix; a larger one
-is searched block against block, each pair of blocks giving its own nearest
-rows, of which the best are merged.  Ties go to the smaller id.
+is laid out in blocks around pivots, and each query visits the blocks that can
+hold one of its nearest rows (metric_index).  Ties go to the smaller id.
 """
 
 from __future__ import annotations
@@ -15,6 +15,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from . import metric_index as M
+
 #: Largest gallery, in bytes of double precision, that is sent to every task; and rows of a block otherwise.
 BROADCAST_BYTES, BLOCK = 64 << 20, 8192
 HITS = "query_id long, vec_id long, d2 double"
@@ -22,7 +24,7 @@ HITS = "query_id long, vec_id long, d2 double"
 
 def _nearest(q: np.ndarray, g: np.ndarray, gid: np.ndarray, own: np.ndarray | None, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Row in q, id and squared distance of the k nearest rows of g, by (distance, id); own: ids to leave out."""
-    d2 = np.maximum((q * q).sum(1)[:, None] + (g * g).sum(1)[None, :] - 2 * q @ g.T, 0)
+    d2 = M.squared(q, g)
     if own is not None:
         d2[own[:, None] == gid[None, :]] = np.inf
     if k < len(gid):  # keep everything as near as the k-th, so that ties are broken by id
@@ -37,10 +39,6 @@ def _nearest(q: np.ndarray, g: np.ndarray, gid: np.ndarray, own: np.ndarray | No
     return row[keep], gid[col[keep]], dist[keep]
 
 
-def _matrix(values) -> np.ndarray:
-    return np.array([np.asarray(v, np.float64) for v in values], np.float64)
-
-
 def knn(queries: DataFrame, gallery: DataFrame, k: int, leave_out_self: bool = False) -> DataFrame:
     """query_id, vec_id, d2 and rank of the k nearest gallery rows of each query.
 
@@ -54,7 +52,7 @@ def knn(queries: DataFrame, gallery: DataFrame, k: int, leave_out_self: bool = F
         rows = g.collect()  # checked above
         if not rows:
             return spark.createDataFrame([], HITS + ", rank int")
-        shared = spark.sparkContext.broadcast((_matrix(r["embedding"] for r in rows), np.array([r["vec_id"] for r in rows])))
+        shared = spark.sparkContext.broadcast((M.matrix(r["embedding"] for r in rows), np.array([r["vec_id"] for r in rows])))
 
         def search(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             m, ids = shared.value
@@ -62,29 +60,12 @@ def knn(queries: DataFrame, gallery: DataFrame, k: int, leave_out_self: bool = F
                 for at in range(0, len(b), 512):
                     part = b.iloc[at : at + 512]
                     own = part["query_id"].to_numpy() if leave_out_self else None
-                    row, hit, dist = _nearest(_matrix(part["embedding"]), m, ids, own, k)
+                    row, hit, dist = _nearest(M.matrix(part["embedding"]), m, ids, own, k)
                     yield pd.DataFrame({"query_id": part["query_id"].to_numpy()[row], "vec_id": hit, "d2": dist})
 
         found = q.mapInPandas(search, HITS)
     else:
-        parts = max(1, int(bytes_ // (BLOCK * 512)))
-        asked = max(1, -(-q.count() // BLOCK))
-        sides = g.select(F.lit(0).alias("side"), F.col("vec_id").alias("id"), "embedding").withColumn("gb", F.pmod(F.xxhash64("id"), F.lit(parts)).cast("int"))
-        pairs = sides.withColumn("qb", F.explode(F.sequence(F.lit(0), F.lit(asked - 1)))).unionByName(q.select(F.lit(1).alias("side"), F.col("query_id").alias("id"), "embedding").withColumn("qb", F.pmod(F.xxhash64("id"), F.lit(asked)).cast("int")).withColumn("gb", F.explode(F.sequence(F.lit(0), F.lit(parts - 1)))))
-
-        def block(pdf: pd.DataFrame) -> pd.DataFrame:
-            a, b = pdf[pdf["side"] == 1], pdf[pdf["side"] == 0]
-            if not len(a) or not len(b):
-                return pd.DataFrame({"query_id": [], "vec_id": [], "d2": []})
-            m, ids, out = _matrix(b["embedding"]), b["id"].to_numpy(), []
-            for at in range(0, len(a), 512):
-                part = a.iloc[at : at + 512]
-                own = part["id"].to_numpy() if leave_out_self else None
-                row, hit, dist = _nearest(_matrix(part["embedding"]), m, ids, own, k)
-                out.append(pd.DataFrame({"query_id": part["id"].to_numpy()[row], "vec_id": hit, "d2": dist}))
-            return pd.concat(out)
-
-        found = pairs.groupBy("qb", "gb").applyInPandas(block, HITS)
+        found, _ = M.search(q, g, g.count(), k, BLOCK, _nearest, leave_out_self)
     turn = F.row_number().over(Window.partitionBy("query_id").orderBy("d2", "vec_id"))
     return found.withColumn("rank", turn).where(F.col("rank") <= k)
 

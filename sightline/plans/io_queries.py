@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import re
 import tempfile
 import uuid
 
@@ -15,8 +16,11 @@ from .base import query, table
 
 
 def _folder(spark) -> str:
-    """A new folder in the cluster's shared folder, or in a temporary one where none is set."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.gettempdir()
+    """A new folder in the cluster's shared folder, or on one machine in a temporary one where none is set."""
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base and not re.match(r"local(\[[^\]]*\])?$", spark.sparkContext.master):
+        raise ValueError("set spark.checkpoint.dir to a folder that all machines share")
+    base = base or "file://" + tempfile.gettempdir()
     return os.path.join(base, f"sightline-io-{uuid.uuid4().hex}")
 
 

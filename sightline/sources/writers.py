@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .store import Store
+
 
 def flat(df: DataFrame) -> DataFrame:
     """Nested columns as JSON text, so that every column fits in CSV."""
@@ -57,29 +58,14 @@ def comparison_table(df: DataFrame, order: str = "recall_at_1", rows: int = 50)
     return "\n".join("  ".join(c.ljust(w) for c, w in zip(r, width, strict=True)).rstrip() for r in [df.columns, ["-" * w for w in width], *top])
 
 
-def read_or_none(spark: SparkSession, path: str) -> DataFrame | None:
-    """A Parquet table, or None where there is none yet."""
-    try:
-        return spark.read.parquet(path)
-    except AnalysisException as e:
-        if e.getCondition() in ("PATH_NOT_FOUND", "UNABLE_TO_INFER_SCHEMA"):
-            return None
-        raise
-
-
-def append_new(df: DataFrame, path: str, key: list[str]) -> DataFrame:
-    """Append the rows whose key is not stored yet, and return the stored table.
+def append_new(df: DataFrame, path: str, key: list[str], batch: str | None = None) -> DataFrame:
+    """Append the rows whose key is not stored yet to a table of snapshots, and return that (store.Store).
 
     Running it again with the same rows adds nothing, so a job that broke off
-    can be started over.
+    can be started over; neither does a batch whose name is stored already.
     """
-    spark = df.sparkSession
-    stored = read_or_none(spark, path)
-    new = df.dropDuplicates(key)
-    if stored is not None:
-        new = new.join(stored.select(*key), key, "left_anti")
-    new.write.mode("append").parquet(path)
-    return spark.read.parquet(path)
+    store = Store(df.sparkSession, path)
+    return store.read(store.append(df, key, batch).version)
 
 
 def summary_csv(df: DataFrame, path: str, order: str = "recall_at_1", mode: str = "error") -> None:

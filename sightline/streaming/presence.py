@@ -33,4 +33,4 @@ def counts(events: DataFrame, window: str = "1 hour", late: str = "30 minutes")
 
 def grow_gallery(vectors: DataFrame, path: str, checkpoint: str, key: list[str]) -> StreamingQuery:
     """Append a stream of vectors to a gallery, each key once even if a batch is run again."""
-    return vectors.writeStream.foreachBatch(lambda batch, _: append_new(batch, path, key)).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    return vectors.writeStream.foreachBatch(lambda batch, turn: append_new(batch, path, key, f"{checkpoint}#{turn}")).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()

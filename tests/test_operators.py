@@ -19,6 +19,7 @@ from sightline.operators import review as V
 from sightline.operators import timeline as L
 from sightline.operators import vectors as X
 from sightline.sources import readers, writers
+from sightline.sources.store import Store
 from sightline.streaming import presence
 
 
@@ -352,7 +353,7 @@ def test_stream_equals_batch(spark, tmp_path):
     vectors = spark.readStream.schema(df.schema).parquet(f"{tmp_path}/in")
     for _ in range(2):
         presence.grow_gallery(vectors.select("brand", "score"), f"{tmp_path}/gallery", f"{tmp_path}/cp2", ["brand"]).awaitTermination()
-    assert spark.read.parquet(f"{tmp_path}/gallery").count() == 3
+    assert Store(spark, f"{tmp_path}/gallery").read().count() == 3
 
 
 def test_words_are_told_by_any_white_space():
