@@ -2,9 +2,18 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from itertools import groupby, islice
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .slices import with_slices
+
+#: Fixed value: what stands between the sources of an interval.
+SEPARATOR = ", "
+
 
 def every_interval(total: Column, fps: Column, seconds: float = 2.0) -> Column:
     """Frames 0, step, 2 step, ... below total; step = fps * seconds rounded half to even, 1 at least."""
@@ -63,21 +72,59 @@ def keyframes(peak: DataFrame, key: list[str]) -> DataFrame:
     return peak.select(*key, "pos", F.floor((F.col("pos") + F.lag("pos", 1, 0).over(w)) / 2).cast("int").alias("keyframe"))
 
 
-def brand_intervals(detections: DataFrame, keys: list[str]) -> DataFrame:
+def brand_intervals(detections: DataFrame, keys: list[str], limit: int | None = None) -> DataFrame:
     """One row per key of named detections (brand, frame, time, source, tie): first and last by frame, and the sources in order of appearance.
 
-    A source is written again whenever it differs from the whole list so far.
+    A source is written again whenever it differs from the whole list so far; a
+    missing one is `unknown`.  Slices of a key are summed up by themselves (the
+    runs they begin with, and all their sources as text) and then put together, so
+    that no task holds more of a key than a slice and the text that results.
     """
+    rows = detections.where(F.coalesce("brand", F.lit("UNKNOWN")) != "UNKNOWN").withColumn("source", F.coalesce("source", F.lit("unknown")))
+    # Once the list is longer than any source it equals none, and what follows is only written down.  Two runs
+    # lengthen it by a letter at least, so no more runs than this have to be looked at one by one.
+    longest = rows.agg(F.coalesce(F.max(F.length("source")), F.lit(0))).first()[0]
     at = F.struct("frame", "tie")
-    rows = detections.where(F.coalesce("brand", F.lit("UNKNOWN")) != "UNKNOWN").groupBy(*keys).agg(F.min_by("time", at).alias("start"), F.max_by("time", at).alias("stop"), F.count("*").alias("n"), F.sort_array(F.collect_list(F.struct("frame", "tie", "source"))).alias("s"))
-    names = F.transform("s", lambda x: x["source"])
-    folded = F.aggregate(F.slice(names, 2, F.greatest(F.size(names) - 1, F.lit(0))), F.element_at(names, 1), lambda acc, x: F.when(acc == x, acc).otherwise(F.concat(acc, F.lit(", "), x)))
-    # Once a second name is there, the list equals no single name, so all the rest is joined as it stands.
-    first = F.element_at(names, 1)
-    other = F.array_position(F.transform(names, lambda x: x != first), True)
-    plain = F.when(other == 0, first).otherwise(F.concat(first, F.lit(", "), F.array_join(F.slice(names, F.greatest(other, F.lit(1)).cast("int"), F.size(names)), ", ")))
-    joined = F.when(F.exists(names, lambda x: x.isNull() | x.contains(", ")), folded).otherwise(plain)
-    return rows.select(*keys, "start", "stop", "n", joined.alias("source"))
+    rows, _ = with_slices(rows, keys, F.col("frame"), limit=limit)
+    first_runs, put_together = F.pandas_udf(_first_runs, "array<struct<name: string, n: bigint>>"), F.pandas_udf(_put_together, "string")
+    part = rows.groupBy(*keys, "_slice").agg(F.min(F.struct(at, "time")).alias("a"), F.max(F.struct(at, "time")).alias("b"), F.count("*").alias("n"), F.sort_array(F.collect_list(F.struct("frame", "tie", "source"))).alias("s"))
+    names = part.select(*keys, "_slice", "a", "b", "n", F.transform("s", lambda x: x["source"]).alias("s"))
+    heads = names.select(*keys, "_slice", "a", "b", "n", first_runs(F.col("s"), F.lit(longest + 2)).alias("runs"), F.array_join("s", SEPARATOR).alias("all"))
+    out = heads.groupBy(*keys).agg(F.min("a").alias("a"), F.max("b").alias("b"), F.sum("n").alias("n"), F.sort_array(F.collect_list(F.struct("_slice", "runs", "all"))).alias("p"))
+    runs = F.flatten(F.transform("p", lambda x: x["runs"]))
+    joined = put_together(F.transform(runs, lambda x: x["name"]), F.transform(runs, lambda x: x["n"]), F.transform("p", lambda x: F.size(x["runs"])), F.transform("p", lambda x: x["all"]), F.lit(longest))
+    return out.select(*keys, F.col("a.time").alias("start"), F.col("b.time").alias("stop"), "n", joined.alias("source"))
+
+
+def _first_runs(names: pd.Series, most: pd.Series) -> pd.Series:
+    """The runs of equal names that a list begins with, `most` of them at most."""
+    return pd.Series([[{"name": x, "n": sum(1 for _ in g)} for x, g in islice(groupby(s), k)] for s, k in zip(names, most, strict=True)])
+
+
+def _put_together(names: pd.Series, counts: pd.Series, amounts: pd.Series, texts: pd.Series, longest: pd.Series) -> pd.Series:
+    """The list that the slices of a key give in order; names and counts: their first runs, end to end, amounts: how many of each slice."""
+
+    def whole(runs: Iterator[tuple[str, int]], parts: Iterator[tuple[int, str]], most: int) -> str:
+        out: list[str] = []
+        size = 0
+        for amount, text in parts:
+            done = 0  # letters of the slice's text that its runs so far stand for
+            for name, n in list(islice(runs, amount)):
+                if size > most:
+                    break
+                done += n * (len(name) + len(SEPARATOR))
+                if not out:
+                    out, size, n = [name], len(name), n - 1
+                if n and not (size == len(name) and SEPARATOR.join(out) == name):
+                    out += [name] * n
+                    size += n * (len(name) + len(SEPARATOR))
+            if size > most and done <= len(text):
+                out.append(text[done:])
+                size += max(1, len(text) - done)
+        return SEPARATOR.join(out)
+
+    rows = zip(names, counts, amounts, texts, longest, strict=True)
+    return pd.Series([whole(zip(a, b.tolist(), strict=True), zip(c.tolist(), d, strict=True), k) for a, b, c, d, k in rows])
 
 
 def first_per(rows: DataFrame, key: list[str], order: list[str]) -> DataFrame:

@@ -6,9 +6,10 @@ from pyspark.sql import functions as F
 
 from ..functions import geometry as G
 from ..functions import text as T
+from ..operators import asof as A
 from ..operators import boxes as B
 from ..operators import timeline as L
-from .base import query, table
+from .base import query, sql, table
 
 KEY = ["frame", "det", "part", "supp"]
 K = "frame, det, part, supp"
@@ -253,3 +254,17 @@ def brand_intervals(spark, sf):
 @query("SELECT video, brand, arg_min(time, frame * 1000000e0 + tie) AS start, arg_max(time, frame * 1000000e0 + tie) AS stop, count(*) AS n FROM [detections] WHERE brand <> 'UNKNOWN' GROUP BY ALL")
 def brand_interval_bounds(spark, sf):
     return L.brand_intervals(table(spark, sf, "detections"), ["video", "brand"]).drop("source")
+
+
+ASKED, SHOWN = "SELECT event_id, user_id, ts FROM {events} WHERE event_type = 'purchase'", "SELECT user_id, ts, max(event_id) AS seen, max(value) AS score FROM {events} WHERE event_type = 'view' GROUP BY user_id, ts"
+
+
+@query(f"""WITH a AS ({ASKED}), s AS ({SHOWN}), b AS (SELECT a.event_id AS event_id, s.ts AS ts, s.seen AS seen FROM a ASOF LEFT JOIN s ON a.user_id = s.user_id AND a.ts >= s.ts),
+    f AS (SELECT a.event_id AS event_id, s.ts AS ts, s.seen AS seen FROM a ASOF LEFT JOIN s ON a.user_id = s.user_id AND a.ts <= s.ts)
+    SELECT a.event_id AS event_id, coalesce(b.seen, -1) AS before, coalesce(f.seen, -1) AS behind, coalesce(CASE WHEN b.ts IS NULL OR f.ts - a.ts < a.ts - b.ts THEN coalesce(f.seen, b.seen) ELSE b.seen END, -1) AS nearest
+    FROM a JOIN b USING (event_id) JOIN f USING (event_id)""")
+def nearest_in_time(spark, sf):
+    """For every event of one type the user's event of another type before it, after it, and nearest to it (-1: none)."""
+    left, right = sql(spark, sf, ASKED), sql(spark, sf, SHOWN)
+    one = lambda way, name: A.as_of(left, right, "ts", ["user_id"], ["seen"], way).select("event_id", F.coalesce("seen", F.lit(-1)).cast("long").alias(name))
+    return one("backward", "before").join(one("forward", "behind"), "event_id").join(one("nearest", "nearest"), "event_id")
