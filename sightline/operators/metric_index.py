@@ -201,3 +201,35 @@ def search(queries: DataFrame, gallery: DataFrame, rows: int, k: int, block: int
 
     both = _ask(asked, plan, k, False, parts).groupBy("block", "part").cogroup(_place(gallery, plan, parts).groupBy("block", "part"))
     return both.applyInPandas(meet, HITS), {"visited": sum(counts.values()), "blocks": len(made.cell)}
+
+
+def earliest_within(queries: DataFrame, gallery: DataFrame, rows: int, near, block: int) -> DataFrame:
+    """query_id and vec_id: of each query the smallest smaller id among the gallery rows that `near` accepts, if there is one.
+
+    near: a radius and a test of squared distances, which holds for none beyond the
+    radius.  Blocks give one row a query at most, however many rows are near.
+    """
+    radius, test = near
+    plan = gallery.sparkSession.sparkContext.broadcast(layout(gallery, rows, block))
+    asked = queries.select("query_id", "embedding", F.lit(float(radius * radius)).alias("radius2"))
+    counts = {r["block"]: r["n"] for r in _ask(asked, plan, rows, False).groupBy("block").agg(F.count("*").alias("n")).collect()}  # a row a block
+    parts = gallery.sparkSession.sparkContext.broadcast(np.array([-(-counts.get(b, 0) // (4 * block)) for b in range(len(plan.value.cell))]))
+
+    def meet(q: pd.DataFrame, g: pd.DataFrame) -> pd.DataFrame:
+        if not len(q) or not len(g):
+            return pd.DataFrame({"query_id": np.zeros(0, np.int64), "vec_id": np.zeros(0, np.int64)})
+        return earliest(q["query_id"].to_numpy(), matrix(q["embedding"]), g["vec_id"].to_numpy(), matrix(g["embedding"]), test)
+
+    both = _ask(asked, plan, rows, False, parts).groupBy("block", "part").cogroup(_place(gallery, plan, parts).groupBy("block", "part"))
+    return both.applyInPandas(meet, "query_id long, vec_id long").groupBy("query_id").agg(F.min("vec_id").alias("vec_id"))
+
+
+def earliest(asked: np.ndarray, vectors: np.ndarray, ids: np.ndarray, gallery: np.ndarray, test) -> pd.DataFrame:
+    """For queries held against rows in one task: the smallest smaller id that is near."""
+    out = []
+    for at in range(0, len(asked), 512):
+        own = asked[at : at + 512]
+        near = test(squared(vectors[at : at + 512], gallery)) & (ids[None, :] < own[:, None])
+        first = np.where(near, ids[None, :], np.iinfo(np.int64).max).min(1)
+        out.append(pd.DataFrame({"query_id": own, "vec_id": first})[first < np.iinfo(np.int64).max])
+    return pd.concat(out)

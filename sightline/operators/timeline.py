@@ -9,6 +9,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .ordinals import rows_at
 from .slices import with_slices
 
 #: Fixed value: what stands between the sources of an interval.
@@ -142,7 +143,7 @@ def page(rows: DataFrame, order: list[str], number: int, size: int = 24) -> Data
     """One page; a number outside is moved to the first or last page."""
     n = rows.count()
     last = max(0, -(-n // size) - 1)
-    return rows.orderBy(*order).offset(min(max(number, 0), last) * size).limit(size)
+    return rows_at(rows, order, min(max(number, 0), last) * size, size, n=n)
 
 
 def split_by_hash(key: Column, train_percent: int = 70) -> Column:

@@ -16,6 +16,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import metric_index as M
+from .ordinals import numbered
 
 #: Largest gallery, in bytes of double precision, that is sent to every task; and rows of a block otherwise.
 BROADCAST_BYTES, BLOCK = 64 << 20, 8192
@@ -131,29 +132,75 @@ def zero_shot(logits: DataFrame, least: float = 0.8) -> DataFrame:
     return p.select("image", F.when(F.col("probability") >= least, F.col("best")).alias("prompt"), "probability")
 
 
-def skip_near(new: DataFrame, gallery: DataFrame, limit: float | None = None) -> DataFrame:
-    """Rows of new(vec_id, embedding, ...) to be added: all of them, or with a limit those whose nearest gallery row is less similar."""
+def skip_near(new: DataFrame, gallery: DataFrame, limit: float | None = None, within: bool = False) -> DataFrame:
+    """Rows of new(vec_id, embedding, ...) to be added: all of them, or with a limit those whose nearest gallery row is less similar.
+
+    within: rows are added one after the other by vec_id, so one that is as similar
+    to a row added before it is left out as well (insert_in_order).
+    """
     if limit is None:
         return new
     near = knn(new.withColumnRenamed("vec_id", "query_id"), gallery, 1).where(similarity(F.col("d2")) >= limit)
-    return new.join(near.select(F.col("query_id").alias("vec_id")), "vec_id", "left_anti")
+    out = new.join(near.select(F.col("query_id").alias("vec_id")), "vec_id", "left_anti")
+    return insert_in_order(out, limit) if within else out
 
 
-def number_from(gallery: DataFrame, new: DataFrame, order: list[str], copies: int = 1) -> DataFrame:
-    """New rows with the ids that follow the gallery's, each `copies` times; `order` fixes who comes first.
+def _kept(df: DataFrame) -> DataFrame:
+    """df with its lineage cut, in the shared folder where there is one."""
+    return df.checkpoint() if df.sparkSession.sparkContext._jsc.sc().getCheckpointDir().isDefined() else df
+
 
-    Ids are dealt by partition counts, not by one global window.
+def insert_in_order(new: DataFrame, limit: float) -> DataFrame:
+    """Rows of new(vec_id, embedding, ...) that are added if each is left out when one added before it is at least as similar as `limit`.
+
+    In rounds: a row that no undecided row before it is near is added; undecided
+    rows near an added one are left out.  What a round needs of a row is the first
+    near row before it, so no pairs are made, however many copies there are.  The
+    number of rounds is the length of the longest chain of rows, each left out or
+    added because of the one before.  Rows with a null id or embedding are left out.
     """
+    rows = _kept(new.where("vec_id is not null and embedding is not null").select("vec_id", F.col("embedding").cast("array<double>").alias("embedding")))
+    radius = 2.0 * np.sqrt(max(0.0, 1.0 - limit)) + 1e-6
+    test = lambda d2: 1.0 - d2 / 4.0 >= limit
+    added, left = [], rows
+    while n := left.count():
+        first = _kept(left.join(_earliest_near(left, left, n, radius, test), "vec_id", "left"))
+        in_ = first.where("before is null").select("vec_id", "embedding")
+        added.append(in_.select("vec_id"))
+        rest = first.where("before is not null").select("vec_id", "embedding")
+        out = _earliest_near(rest, in_, in_.count(), radius, test).where("before is not null")
+        left = _kept(rest.join(out, "vec_id", "left_anti"))
+    ids = reduce(DataFrame.unionByName, added) if added else rows.select("vec_id")
+    return new.join(ids, "vec_id", "left_semi")
+
+
+def _earliest_near(queries: DataFrame, rows: DataFrame, n: int, radius: float, test) -> DataFrame:
+    """vec_id of queries that have a near row before them, and the first such row as `before`."""
+    q = queries.withColumnRenamed("vec_id", "query_id")
+    bytes_ = rows.agg(F.coalesce(F.sum(F.size("embedding") * 8), F.lit(0))).first()[0]
+    if bytes_ <= BROADCAST_BYTES:
+        held = rows.collect()  # checked above
+        if not held:
+            return queries.select("vec_id", F.lit(None).cast("long").alias("before")).limit(0)
+        shared = rows.sparkSession.sparkContext.broadcast((np.array([r["vec_id"] for r in held]), M.matrix(r["embedding"] for r in held)))
+
+        def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            for b in batches:
+                if len(b):
+                    yield M.earliest(b["query_id"].to_numpy(), M.matrix(b["embedding"]), *shared.value, test)
+
+        found = q.mapInPandas(run, "query_id long, vec_id long")
+    else:
+        found = M.earliest_within(q, rows, n, (radius, test), BLOCK)
+    return found.select(F.col("query_id").alias("vec_id"), F.col("vec_id").alias("before"))
+
+
+def number_from(gallery: DataFrame, new: DataFrame, order: list[str], copies: int = 1) -> DataFrame:
+    """New rows with the ids that follow the gallery's, each `copies` times; `order` fixes who comes first."""
     highest = gallery.agg(F.coalesce(F.max("vec_id"), F.lit(-1)).alias("m"))
-    parts = max(1, int(new.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     rows = new.withColumn("copy", F.explode(F.sequence(F.lit(0), F.lit(copies - 1))))
-    # The range bounds are drawn once: what is counted and what is numbered are the same partitions.
-    rows = rows.repartitionByRange(parts, *order, "copy").sortWithinPartitions(*order, "copy").withColumn("_i", F.monotonically_increasing_id()).persist()
-    part, place = F.shiftright("_i", 33), F.col("_i").bitwiseAND(F.lit((1 << 33) - 1))
-    counts = rows.groupBy(part.alias("_p")).agg(F.count("*").alias("_c"))
-    before = counts.select("_p", (F.coalesce(F.sum("_c").over(Window.orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).alias("_b"))  # a row per partition
-    numbered = rows.withColumn("_p", part).join(F.broadcast(before), "_p").crossJoin(F.broadcast(highest))
-    return numbered.withColumn("vec_id", F.col("m") + 1 + F.col("_b") + place).drop("m", "_i", "_p", "_b")
+    rows = numbered(rows, [*order, "copy"], "_n").crossJoin(F.broadcast(highest))  # one row
+    return rows.withColumn("vec_id", F.col("m") + 1 + F.col("_n")).drop("m", "_n")
 
 
 def by_space(queries: dict[str, DataFrame], galleries: dict[str, DataFrame], k: int, leave_out_self: bool = False) -> DataFrame:

@@ -141,6 +141,15 @@ def skip_near_duplicates(spark, sf):
     return V.skip_near(v.where("brand = 'b0'"), v.where("brand <> 'b0'"), 0.7).select("vec_id", "brand")
 
 
+@query("""WITH RECURSIVE v AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS e, row_number() OVER (ORDER BY vec_id) AS i FROM {embeddings}),
+    n AS (SELECT a.i AS i, any_value(a.vec_id) AS vec_id, list(b.i) FILTER (WHERE b.i IS NOT NULL) AS near FROM v a LEFT JOIN v b ON b.i < a.i AND 1 - pow(list_distance(a.e, b.e), 2) / 4 >= 0.7 GROUP BY a.i),
+    r AS (SELECT 0::BIGINT AS i, []::BIGINT[] AS kept UNION ALL SELECT n.i, CASE WHEN list_has_any(r.kept, coalesce(n.near, []::BIGINT[])) THEN r.kept ELSE list_append(r.kept, n.i) END FROM r JOIN n ON n.i = r.i + 1)
+    SELECT vec_id FROM n JOIN (SELECT unnest(kept) AS i FROM (SELECT kept FROM r ORDER BY i DESC LIMIT 1)) USING (i)""")
+def insert_in_order(spark, sf):
+    """The gallery built up row by row, each left out if one that is in it is near."""
+    return V.insert_in_order(table(spark, sf, "embeddings"), 0.7).select("vec_id")
+
+
 @query("""WITH g AS (SELECT max(vec_id) AS m FROM {embeddings}), n AS (SELECT vec_id AS source_id, brand, c.i AS copy FROM [vectors], (SELECT unnest([0, 1, 2]) AS i) c WHERE brand = 'b3')
     SELECT source_id, brand, copy, m + row_number() OVER (ORDER BY source_id, copy) AS vec_id FROM n, g""")
 def gallery_append(spark, sf):

@@ -68,3 +68,22 @@ def test_queries_with_the_index(spark, monkeypatch, name):
     monkeypatch.setattr(V, "BROADCAST_BYTES", 10)
     monkeypatch.setattr(V, "BLOCK", 16)
     assert sorted(map(tuple, QUERIES[name](spark, SF).collect())) == one
+
+
+@pytest.mark.parametrize("size", [64 << 20, 10])
+def test_insertion_in_order(spark, monkeypatch, size):
+    """Both against the stored rows and among the new ones, as a loop over the rows does it; with and without blocks."""
+    monkeypatch.setattr(V, "BROADCAST_BYTES", size)
+    monkeypatch.setattr(V, "BLOCK", 32)
+    x = data("clustered", 260, 6).astype(np.float64)
+    x[200:] = x[199]  # copies
+    limit, kept = 0.9985, []
+    stored = list(range(0, 40))
+    near = 1 - M.squared(x, x) / 4 >= limit
+    for i in range(40, len(x)):
+        if not near[i][stored + kept].any():
+            kept.append(i)
+    rows = spark.createDataFrame([(i, v.tolist(), "x") for i, v in enumerate(x)] + [(None, x[0].tolist(), "n"), (999, None, "n")], "vec_id long, embedding array<double>, brand string").repartition(3)
+    got = V.skip_near(rows.where("vec_id >= 40 or vec_id is null"), rows.where("vec_id < 40"), limit, within=True)
+    assert sorted(r["vec_id"] for r in got.where("embedding is not null").collect()) == kept and 3 < len(kept) < 220
+    assert V.insert_in_order(rows.limit(0), limit).count() == 0
