@@ -35,6 +35,14 @@ def crop(x1: Column, y1: Column, x2: Column, y2: Column, least: int = LEAST_CROP
     return out | {"usable": (out["x2"] - out["x1"] >= least) & (out["y2"] - out["y1"] >= least)}
 
 
+def crop_pair(x1: Column, y1: Column, x2: Column, y2: Column, factor: float, width: Column, height: Column, least: int = LEAST_CROP) -> dict[str, Column]:
+    """The tight crop, and the enlarged one, which is the tight one where it is too small: two structs, and whether the tight one is usable."""
+    tight = crop(x1, y1, x2, y2, least)
+    large = crop(*enlarge(x1, y1, x2, y2, factor, width, height).values(), least)
+    box = lambda c: F.struct(*(c[n].alias(n) for n in ("x1", "y1", "x2", "y2")))
+    return {"tight": box(tight), "enlarged": F.when(large["usable"], box(large)).otherwise(box(tight)), "usable": tight["usable"]}
+
+
 def clamp(x1: Column, y1: Column, x2: Column, y2: Column, width: Column, height: Column) -> dict[str, Column]:
     """The box within the image: the first corner on a pixel, the second up to the edge."""
     zero = F.lit(0)

@@ -8,20 +8,16 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
+from .seams import BrokenSeam
 
 UNKNOWN = "UNKNOWN"
 #: Gates of the gallery technique.
 FALSE_LOGO, STRICT, CONSENSUS, VOTES, SHARE, TEXT_SCORE, LEAST_TEXT = 0.93, 0.97, 0.90, 4, 0.4, 80.0, 3
 
-#: Seams, each a function over DataFrames or columns.  A technique takes unknown items and returns (key, brand, score); a
-#: post-filter takes rows and returns (logo_id, raw) for those it looked at; a filter takes a row's columns by name and
-#: returns a boolean; an embedder takes (id, content) and returns (id, embedding); a detector takes (frame, content) and
-#: returns a row per box (frame, box_xyxy, label, score).
+#: A technique takes unknown items and returns (key, brand, score); a post-filter takes rows and returns (logo_id, raw) for
+#: those it looked at.  seams has the contracts of these and of embedders and detectors, and checks them.
 Technique = Callable[[DataFrame], DataFrame]
 PostFilter = Callable[[DataFrame], DataFrame]
-Filter = Callable[[dict[str, Column]], Column]
-Embedder = Callable[[DataFrame], DataFrame]
-Detector = Callable[[DataFrame], DataFrame]
 
 
 def first_match(items: DataFrame, techniques: list[tuple[str, Technique]], key: str = "id") -> DataFrame:
@@ -31,7 +27,10 @@ def first_match(items: DataFrame, techniques: list[tuple[str, Technique]], key:
     """
     left, done = items, None
     for name, run in techniques:
-        got = run(left).where(F.coalesce("brand", F.lit(UNKNOWN)) != UNKNOWN).select(key, "brand", F.col("score").cast("double").alias("score"), F.lit(name).alias("technique"))
+        got = run(left)
+        if missing := [c for c in (key, "brand", "score") if c not in got.columns]:
+            raise BrokenSeam(f"technique {name} gives no {', '.join(missing)}")
+        got = got.where(F.coalesce("brand", F.lit(UNKNOWN)) != UNKNOWN).select(key, "brand", F.col("score").cast("double").alias("score"), F.lit(name).alias("technique"))
         done = got if done is None else done.unionByName(got)
         left = left.join(got.select(key), key, "left_anti")
     rest = left.select(key, F.lit(UNKNOWN).alias("brand"), F.lit(None).cast("double").alias("score"), F.lit(None).cast("string").alias("technique"))

@@ -131,3 +131,39 @@ def overlay(base: DataFrame, changes: DataFrame, key: str, columns: list[str]) -
 def assigned_brands(rows: DataFrame) -> DataFrame:
     """Distinct brands but UNKNOWN and blanks."""
     return rows.where("trim(coalesce(brand, '')) not in ('', 'UNKNOWN')").select("brand").distinct()
+
+
+def known_tab(known: DataFrame, brand: str | None = None, verdict: str | None = None, status: str | None = None, reviews: DataFrame | None = None, key: str = "filepath") -> DataFrame:
+    """Known rows by brand, verdict and review status; None asks for nothing.
+
+    reviews(key, status): rows without a review have the status ''.
+    """
+    out = known
+    if brand is not None:
+        out = out.where(F.col("brand") == brand)
+    if verdict is not None:
+        out = out.where(F.col("verdict") == verdict)
+    if status is not None:
+        if reviews is None:
+            raise ValueError("a status is asked for without reviews")
+        last = reviews.groupBy(key).agg(F.max("status").alias("_status"))
+        out = out.join(last, key, "left").where(F.coalesce("_status", F.lit("")) == status).drop("_status")
+    return out
+
+
+def without_false_positives(known: DataFrame, column: str = "correction") -> DataFrame:
+    """Known rows whose correction does not say that they are no logo."""
+    return known.where(correction(F.col(column)) != "false_positive")
+
+
+def pair_by_stem(images: DataFrame, labels: DataFrame, path: str = "path") -> tuple[DataFrame, DataFrame]:
+    """Images with the label file of the same stem (image, label, stem), and one row that counts images, pairs and missing labels.
+
+    Stems are names without folder and last suffix; of several label files of a
+    stem the first by path is taken.
+    """
+    stem = lambda c: F.regexp_replace(F.regexp_extract(c, r"([^/]+)$", 1), r"(?<=.)\.[^.]*$", "")
+    have = labels.select(stem(F.col(path)).alias("stem"), F.col(path).alias("label")).groupBy("stem").agg(F.min("label").alias("label"))
+    rows = images.select(F.col(path).alias("image"), stem(F.col(path)).alias("stem")).join(have, "stem", "left")
+    counts = rows.agg(F.count("*").alias("images"), F.count("label").alias("pairs"), F.count_if(F.col("label").isNull()).alias("missing"))
+    return rows.where("label is not null").select("image", "label", "stem"), counts

@@ -5,7 +5,10 @@ A binding is SQL that Spark and DuckDB both read; {name} stands for a table.
 
 from __future__ import annotations
 
+import os
 import re
+import tempfile
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -72,3 +75,12 @@ def query(text: str | None = None):
         return f
 
     return add
+
+
+def shared_folder(spark) -> str:
+    """A new folder in the cluster's shared folder, or on one machine in a temporary one where none is set."""
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base and not re.match(r"local(\[[^\]]*\])?$", spark.sparkContext.master):
+        raise ValueError("set spark.checkpoint.dir to a folder that all machines share")
+    base = base or "file://" + tempfile.gettempdir()
+    return os.path.join(base, f"sightline-io-{uuid.uuid4().hex}")

@@ -118,24 +118,43 @@ def temporal_offsets(spark, sf):
     return c.select("frame", F.col("s.offset").alias("offset"), F.col("s.frame").alias("near"))
 
 
+ROUND = "CAST(round_even({v}, 0) AS INT)"
+LARGE = {"lx1": "greatest(0e0, x1 - (x2 - x1) / 4)", "ly1": "greatest(0e0, y1 - (y2 - y1) / 4)", "lx2": "least(CAST(w AS DOUBLE), x2 + (x2 - x1) / 4)", "ly2": "least(CAST(h AS DOUBLE), y2 + (y2 - y1) / 4)"}
+
+
+@query(f"""WITH b AS (SELECT frame, det, part, supp, x1 / 8 AS x1, y1 / 8 AS y1, x2 / 8 AS x2, y2 / 8 AS y2, 60 AS w, 30 AS h FROM [boxes]),
+    r AS (SELECT *, {', '.join(f"{ROUND.format(v=c)} AS t{c}" for c in ('x1', 'y1', 'x2', 'y2'))}, {', '.join(f"{ROUND.format(v=v)} AS {n}" for n, v in LARGE.items())} FROM b),
+    o AS (SELECT *, abs(lx2 - lx1) >= 4 AND abs(ly2 - ly1) >= 4 AS fits FROM r WHERE abs(tx2 - tx1) >= 4 AND abs(ty2 - ty1) >= 4)
+    SELECT {K}, CASE WHEN fits THEN least(lx1, lx2) ELSE least(tx1, tx2) END AS x1, CASE WHEN fits THEN least(ly1, ly2) ELSE least(ty1, ty2) END AS y1,
+        CASE WHEN fits THEN greatest(lx1, lx2) ELSE greatest(tx1, tx2) END AS x2, CASE WHEN fits THEN greatest(ly1, ly2) ELSE greatest(ty1, ty2) END AS y2 FROM o""")
+def enlarged_crop(spark, sf):
+    """Enlarged crops in small frames, and the tight one where the enlarged one has hardly a part in the frame."""
+    b = _boxes(spark, sf)
+    c = b.select(*KEY, *_named(G.crop_pair(*(F.col(x) / 8 for x in ("x1", "y1", "x2", "y2")), 1.5, F.lit(60), F.lit(30), least=4)))
+    return c.where("usable").select(*KEY, "enlarged.*")
+
+
 @query("SELECT DISTINCT frame, unnest(generate_series(greatest(0, frame % 100 - 3), least(99, frame % 100 + 3))) AS shown FROM [boxes]")
 def range_expand(spark, sf):
     f = _boxes(spark, sf).select("frame").distinct()
     return f.select("frame", F.explode(L.expand(F.col("frame") % 100, F.lit(100), 3).cast("array<long>")).alias("shown"))
 
 
-@query("WITH d AS (SELECT DISTINCT video, frame, brand FROM [detections] WHERE brand = 'signup'), f AS (SELECT DISTINCT video, frame FROM [detections]) SELECT f.video AS video, f.frame AS frame, d.frame AS detected_at, d.brand AS brand FROM f JOIN d ON f.video = d.video AND abs(f.frame - d.frame) <= 2")
+# Detections are expanded to the frames around them, so the join is by equal keys in SQL too.
+AROUND = "WITH d AS (SELECT DISTINCT video, frame, brand FROM [detections]), n AS (SELECT video, brand, frame AS detected_at, unnest(generate_series(frame - 2, frame + 2)) AS frame FROM d), f AS (SELECT DISTINCT video, frame FROM d) SELECT f.video AS video, f.frame AS frame, detected_at, brand FROM f JOIN n ON f.video = n.video AND f.frame = n.frame"
+
+
+@query(AROUND)
 def window_join(spark, sf):
+    """Detections of all brands within two frames of every frame."""
     e = table(spark, sf, "detections")
-    d = e.where("brand = 'signup'").select("video", "frame", "brand").distinct()
-    return L.within_window(d, e.select("video", "frame").distinct(), 2).select("video", "frame", "detected_at", "brand")
+    return L.within_window(e.select("video", "frame", "brand").distinct(), e.select("video", "frame").distinct(), 2).select("video", "frame", "detected_at", "brand")
 
 
-@query()
+@query(AROUND)
 def window_join_all(spark, sf):
-    """All brands; without SQL, whose join by range is slow over all rows. A test holds it against brute force."""
-    e = table(spark, sf, "detections")
-    return L.within_window(e.select("video", "frame", "brand").distinct(), e.select("video", "frame").distinct(), 2).select("video", "frame", "detected_at", "brand")
+    """The same join under its earlier name."""
+    return window_join(spark, sf)
 
 
 @query("""WITH g AS (SELECT frame, array_agg(DISTINCT CAST(supp % 9 - 4 AS INT)) AS a FROM [boxes] GROUP BY frame), e AS (SELECT frame, a, list_filter([-2, 1], lambda o: list_contains(a, o)) AS x FROM g),
@@ -162,17 +181,20 @@ def frame_groups(spark, sf):
     return g.select("frame", "n", F.array_join(F.transform("d", lambda s: F.concat(s["det"].cast("string"), F.lit(":"), s["part"].cast("string"))), "|").alias("dets"))
 
 
-@query("SELECT a.frame AS frame, a.part AS part, b.part AS other FROM [boxes] a JOIN [boxes] b ON a.frame = b.frame AND a.part < b.part WHERE a.score >= 0.9 AND b.score >= 0.9")
+SAME_FRAME = "SELECT a.frame AS frame, a.part AS part, b.part AS other FROM [boxes] a JOIN [boxes] b ON a.frame = b.frame AND a.part < b.part"
+
+
+@query(SAME_FRAME)
 def same_frame_pairs(spark, sf):
-    b = _boxes(spark, sf).where("score >= 0.9").select("frame", "part")
+    """Pairs of all boxes of a frame; a frame has a few."""
+    b = _boxes(spark, sf).select("frame", "part")
     return b.join(b.select("frame", F.col("part").alias("other")), "frame").where("part < other")
 
 
-@query()
+@query(SAME_FRAME)
 def same_frame_pairs_all(spark, sf):
-    """Pairs of all boxes of a frame, whatever their score. A test holds it against brute force."""
-    b = _boxes(spark, sf).select("frame", "part")
-    return b.join(b.select("frame", F.col("part").alias("other")), "frame").where("part < other")
+    """The same pairs under their earlier name."""
+    return same_frame_pairs(spark, sf)
 
 
 @query(f"SELECT {K}, label, price FROM [boxes] QUALIFY row_number() OVER (PARTITION BY frame ORDER BY price, part) = 1")

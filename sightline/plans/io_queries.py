@@ -2,38 +2,24 @@
 
 from __future__ import annotations
 
-import os
-import re
-import tempfile
-import uuid
-
 from pyspark.sql import functions as F
 
 from ..functions import images as I
 from ..sources import readers, writers
 from ..streaming import presence
-from .base import query, table
-
-
-def _folder(spark) -> str:
-    """A new folder in the cluster's shared folder, or on one machine in a temporary one where none is set."""
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base and not re.match(r"local(\[[^\]]*\])?$", spark.sparkContext.master):
-        raise ValueError("set spark.checkpoint.dir to a folder that all machines share")
-    base = base or "file://" + tempfile.gettempdir()
-    return os.path.join(base, f"sightline-io-{uuid.uuid4().hex}")
+from .base import query, shared_folder, table
 
 
 @query("SELECT filepath, brand, correction, source FROM [known]")
 def csv_round_trip(spark, sf):
-    path = _folder(spark)
+    path = shared_folder(spark)
     writers.to_csv(table(spark, sf, "known").select("filepath", "brand", "correction", "source"), path)
     return readers.csv(spark, path, ["filepath", "brand"], {"correction": "string", "source": "string"})
 
 
 @query("SELECT frame AS frame_idx, det AS det_id, label, round(score, 4) AS score, round(x1, 2) AS x1, round(y2, 2) AS y2 FROM [boxes]")
 def manifest_round_trip(spark, sf):
-    path = _folder(spark)
+    path = shared_folder(spark)
     b = table(spark, sf, "boxes")
     d = F.struct(F.col("det").alias("det_id"), F.lit(0).alias("sample_idx"), F.col("frame").cast("int").alias("frame_idx"), F.lit(0.0).alias("timecode_seconds"), "label", F.round("score", 4).alias("score"), F.array(*(F.round(c, 2) for c in ("x1", "y1", "x2", "y2"))).alias("box_xyxy"))
     m = b.groupBy((F.col("frame") % 64).alias("v")).agg(F.collect_list(d).alias("detections")).select(F.concat(F.lit("v"), F.col("v").cast("string")).alias("video"), F.lit(25.0).alias("fps"), F.lit(100).alias("total_frames"), "detections")
@@ -45,7 +31,7 @@ def manifest_round_trip(spark, sf):
 @query("SELECT vec_id, label FROM {embeddings}")
 def resumable_append(spark, sf):
     """Half the gallery, then all of it twice: nothing is stored twice."""
-    path = _folder(spark)
+    path = shared_folder(spark)
     e = table(spark, sf, "embeddings").select("vec_id", "label")
     for part in (e.where("vec_id % 2 = 0"), e, e):
         out = writers.append_new(part, path, ["vec_id"])

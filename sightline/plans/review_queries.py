@@ -8,7 +8,8 @@ from ..functions import text as T
 from ..operators import cascade as C
 from ..operators import evidence as E
 from ..operators import review as R
-from .base import query, sql, table
+from ..sources import writers
+from .base import query, shared_folder, sql, table
 
 PRF = """round(coalesce(tp / nullif(tp + fp, 0), 0), 6) AS precision, round(coalesce(tp / nullif(tp + fn, 0), 0), 6) AS recall, round(coalesce(2e0 * tp / nullif(2 * tp + fp + fn, 0), 0), 6) AS f1"""
 
@@ -119,8 +120,7 @@ def known_filter(spark, sf):
 
 @query("SELECT filepath FROM [known] WHERE coalesce(lower(trim(correction)), '') <> 'fp'")
 def drop_false_positives(spark, sf):
-    k = table(spark, sf, "known")
-    return k.where(R.correction(F.col("correction")) != "false_positive").select("filepath")
+    return R.without_false_positives(table(spark, sf, "known")).select("filepath")
 
 
 @query("SELECT k.filepath AS filepath, coalesce(o.brand, k.brand) AS brand, k.family AS family FROM [known] k LEFT JOIN (SELECT filepath, concat('new ', family) AS brand FROM [known] WHERE verdict = 'Incorrect') o ON k.filepath = o.filepath")
@@ -270,5 +270,23 @@ def closed_set_candidates(spark, sf):
 
 @query("SELECT 'known' AS part, filepath FROM [known] WHERE brand <> 'brand 0' UNION ALL SELECT 'unknown', filepath FROM [known] WHERE brand = 'brand 0'")
 def known_unknown_split(spark, sf):
-    k = table(spark, sf, "known")
-    return k.select(F.when(F.col("brand") != "brand 0", "known").otherwise("unknown").alias("part"), "filepath")
+    """Written in folders by whether the brand is known, and read again."""
+    path = shared_folder(spark)
+    k = table(spark, sf, "known").select("filepath", F.when(F.col("brand") != "brand 0", F.col("brand")).otherwise("UNKNOWN").alias("brand"))
+    writers.split_known(k, path)
+    return spark.read.parquet(path).select(F.when(F.col("is_known").cast("boolean"), "known").otherwise("unknown").alias("part"), "filepath")
+
+
+@query("""SELECT filepath FROM [known] k LEFT JOIN (SELECT concat('crops/', CAST(s_suppkey AS STRING), '.png') AS f, 'done' AS status FROM {supplier}) r ON k.filepath = r.f
+    WHERE k.brand = 'brand 3' AND k.verdict = 'Correct' AND coalesce(r.status, '') = ''""")
+def known_tab_filters(spark, sf):
+    """By brand, verdict and review status, rows without a review having none."""
+    reviews = table(spark, sf, "supplier").select(F.concat(F.lit("crops/"), F.col("s_suppkey").cast("string"), F.lit(".png")).alias("filepath"), F.lit("done").alias("status"))
+    return R.known_tab(table(spark, sf, "known"), "brand 3", "Correct", "", reviews).select("filepath")
+
+
+@query("SELECT count(*) AS images, count(s_suppkey) AS pairs, count(*) - count(s_suppkey) AS missing FROM [known] LEFT JOIN {supplier} ON filepath = concat('crops/', CAST(s_suppkey AS STRING), '.png')")
+def stem_counts(spark, sf):
+    """Images with a label file of the same stem, and how many have none."""
+    labels = table(spark, sf, "supplier").select(F.concat(F.lit("labels/"), F.col("s_suppkey").cast("string"), F.lit(".txt")).alias("path"))
+    return R.pair_by_stem(table(spark, sf, "known").select(F.col("filepath").alias("path")), labels)[1]

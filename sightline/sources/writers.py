@@ -50,6 +50,18 @@ def brand_object(brands: DataFrame, source: str, model: str) -> DataFrame:
     return brands.where("brand is not null").agg(names.alias("brands")).select(F.lit(source).alias("source"), F.lit(model).alias("model"), F.size("brands").alias("count"), "brands")
 
 
+def canonical_map_json(mapping: DataFrame, path: str, name: str = "brand", canonical: str = "brand_canonical", mode: str = "error") -> DataFrame:
+    """One JSON object from names to their canonical spelling, in the order of names; also returned.
+
+    A list for a person, thus small.  Of several spellings of a name the first by
+    letters is taken; blank names and spellings are left out.
+    """
+    rows = mapping.select(F.trim(name).alias("k"), F.trim(canonical).alias("v")).where("k <> '' and v <> ''").groupBy("k").agg(F.min("v").alias("v"))
+    out = rows.agg(F.to_json(F.map_from_entries(F.array_sort(F.collect_list(F.struct("k", "v"))))).alias("value"))
+    out.coalesce(1).write.mode(mode).text(path)
+    return out
+
+
 def comparison_table(df: DataFrame, order: str = "recall_at_1", rows: int = 50) -> str:
     """The best rows of a summary as text for a terminal, numbers with four places, columns aligned."""
     four = [F.format_string("%.4f", c).alias(c) if t in ("double", "float") else F.col(c).cast("string").alias(c) for c, t in df.dtypes]
