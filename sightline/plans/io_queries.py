@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import images as I
-from ..sources import readers, writers
+from ..sources import readers, vector_file, writers
 from ..streaming import presence
 from .base import query, shared_folder, table
 
@@ -65,3 +65,30 @@ def image_filters(spark, sf):
     size = (F.lit(8), F.lit(8), F.lit(1))
     s = e.select("vec_id", *(F.round(f("data", *size), 4).alias(n) for n, f in (("texture", I.texture), ("edges", I.edge_share), ("colour", I.colour_spread))))
     return s.withColumn("kept", (F.col("texture") >= I.LEAST_TEXTURE) & (F.col("edges") >= I.LEAST_EDGES) & (F.col("colour") >= I.LEAST_COLOUR))
+
+
+@query("""WITH p AS (SELECT vec_id // 64 AS picture, unnest(embedding) AS x FROM {embeddings})
+    SELECT concat('p', CAST(picture AS STRING), '.png') AS name, 64 AS width, CAST(count(*) // 64 AS INT) AS height, round(stddev_pop(CAST(least(255, greatest(0, trunc(x * 255e0 + 128))) AS DOUBLE)), 6) AS texture FROM p GROUP BY picture""")
+def picture_files(spark, sf):
+    """Every 64 vectors as the rows of a grey picture, written as PNG files beside files that are none, read by the image source and measured."""
+    path = shared_folder(spark)
+    e = table(spark, sf, "embeddings")
+    row = F.unhex(F.array_join(F.transform("embedding", lambda x: F.lpad(F.hex(F.least(F.lit(255), F.greatest(F.lit(0), (x.cast("double") * 255 + 128).cast("int")))), 2, "0")), ""))
+    rows = e.select(F.expr("vec_id div 64").alias("picture"), "vec_id", row.alias("row"))
+    pictures = rows.groupBy("picture").agg(F.sort_array(F.collect_list(F.struct("vec_id", "row"))).alias("r"))  # 64 rows at most
+    data = F.aggregate("r", F.lit(b""), lambda a, r: F.concat(a, r["row"]))
+    files = pictures.select(F.concat(F.lit("p"), F.col("picture").cast("string"), F.lit(".png")).alias("name"), I.png(data, F.size("r"), F.lit(64), F.lit(1)).alias("content"))
+    broken = files.select(F.concat(F.lit("broken-"), "name").alias("name"), F.expr("substring(content, 1, 20)").alias("content"))
+    writers.write_files(files.unionByName(broken), path).agg(F.sum("size")).collect()  # one number; the files are written now
+    read = readers.images(spark, path)
+    size = ("height", "width", "channels")
+    return read.select(F.regexp_extract("path", r"([^/]+)$", 1).alias("name"), "width", "height", F.round(I.texture("data", *size), 6).alias("texture"))
+
+
+@query("SELECT row_number() OVER (ORDER BY vec_id) - 1 AS row, concat('b', CAST(label AS STRING)) AS brand, round(CAST(embedding[1] AS DOUBLE), 6) AS first, round(CAST(embedding[64] AS DOUBLE), 6) AS last FROM {embeddings}")
+def index_file_round_trip(spark, sf):
+    """The gallery as flat index files with a list of labels, read again by row offsets."""
+    path = shared_folder(spark)
+    vector_file.write_index(table(spark, sf, "vectors"), f"{path}/index", labels=f"{path}/labels.json")
+    back = vector_file.read_index(spark, f"{path}/index", f"{path}/labels.json", dim=64)
+    return back.select(F.col("vec_id").alias("row"), "brand", F.round(F.col("embedding")[0].cast("double"), 6).alias("first"), F.round(F.col("embedding")[63].cast("double"), 6).alias("last"))

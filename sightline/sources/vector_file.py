@@ -35,7 +35,8 @@ HEADER = struct.Struct("<4siqqq?iQ")
 SUFFIX = ".index"
 
 
-def _open(path: str) -> tuple[fs.FileSystem, str]:
+def open_folder(path: str) -> tuple[fs.FileSystem, str]:
+    """Arrow's file system for a path, and the path in it."""
     return fs.FileSystem.from_uri(path) if "://" in path else fs.FileSystem.from_uri(f"file://{path.removeprefix('file:')}")
 
 
@@ -82,7 +83,7 @@ class Reader(DataSourceReader):
         self.most = int(options.get("rows_per_partition", 1 << 20))
 
     def partitions(self) -> list[Rows]:
-        files, at = _open(self.path)
+        files, at = open_folder(self.path)
         info = files.get_file_info(at)
         if info.type == fs.FileType.NotFound:
             raise FileNotFoundError(self.path)
@@ -97,7 +98,7 @@ class Reader(DataSourceReader):
     def read(self, partition: Rows | None) -> Iterator[pa.RecordBatch]:
         if partition is None:  # no rows at all
             return
-        files, _ = _open(self.path)
+        files, _ = open_folder(self.path)
         step = max(1, (4 << 20) // (4 * partition.dim))
         with files.open_input_file(partition.file) as f:
             f.seek(HEADER.size + 4 * partition.dim * partition.skip)
@@ -122,7 +123,7 @@ class Writer(DataSourceArrowWriter):
             raise ValueError("an index is not overwritten; write to another folder")
 
     def write(self, iterator: Iterator[pa.RecordBatch]) -> Written:
-        files, at = _open(self.path)
+        files, at = open_folder(self.path)
         files.create_dir(at, recursive=True)
         made = f"{at}/.{uuid.uuid4().hex}"
         mark, metric = (b"IxF2", 1) if self.kind == "l2" else (b"IxFI", 0)
@@ -148,13 +149,13 @@ class Writer(DataSourceArrowWriter):
         return Written(made, f"{at}/part-{TaskContext.get().partitionId():06d}{SUFFIX}")
 
     def commit(self, messages: list[Written | None]) -> None:
-        files, _ = _open(self.path)
+        files, _ = open_folder(self.path)
         for m in messages:
             if m:
                 files.move(m.made, m.name)
 
     def abort(self, messages: list[Written | None]) -> None:
-        files, _ = _open(self.path)
+        files, _ = open_folder(self.path)
         for m in messages:
             if m and files.get_file_info(m.made).is_file:
                 files.delete_file(m.made)
@@ -204,7 +205,7 @@ def write_index(gallery: DataFrame, path: str, order: str = "vec_id", labels: st
     rows = gallery.repartitionByRange(order).sortWithinPartitions(order)
     rows.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<float>").alias("embedding")).write.format("vector_index").option("metric", metric).mode("append").save(path)
     if labels is not None:
-        files, at = _open(labels)
+        files, at = open_folder(labels)
         with files.open_output_stream(at) as f:
             f.write(b"[")
             for i, r in enumerate(gallery.select(order, label).orderBy(order).toLocalIterator(prefetchPartitions=True)):

@@ -2,11 +2,16 @@
 
 from __future__ import annotations
 
+import uuid
+from collections.abc import Iterator
+
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .store import Store
+from .vector_file import open_folder
 
 
 def flat(df: DataFrame) -> DataFrame:
@@ -50,6 +55,34 @@ def brand_object(brands: DataFrame, source: str, model: str) -> DataFrame:
     return brands.where("brand is not null").agg(names.alias("brands")).select(F.lit(source).alias("source"), F.lit(model).alias("model"), F.size("brands").alias("count"), "brands")
 
 
+def write_files(rows: DataFrame, folder: str, name: str = "name", content: str = "content") -> DataFrame:
+    """Each row's content as a file of its own, by the tasks that hold the rows; path and size of each, once they are read.
+
+    A file is written under a passing name and then gets its own, so a task that is
+    run again leaves whole files only.  Rows without a name or content are left out.
+    Names are plain: one with a slash stops the job.
+    """
+    base = folder.rstrip("/")
+
+    def put(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        files, at = open_folder(base)
+        files.create_dir(at, recursive=True)
+        for b in batches:
+            sizes = []
+            for n, data in zip(b["name"], b["content"], strict=True):
+                if "/" in n:
+                    raise ValueError(f"{n} is no plain name")
+                made = f"{at}/.{uuid.uuid4().hex}"
+                with files.open_output_stream(made) as f:
+                    f.write(data)
+                files.move(made, f"{at}/{n}")
+                sizes.append(len(data))
+            yield pd.DataFrame({"path": base + "/" + b["name"], "size": sizes})
+
+    wanted = rows.select(F.col(name).cast("string").alias("name"), F.col(content).cast("binary").alias("content"))
+    return wanted.where("name is not null and content is not null").mapInPandas(put, "path string, size long")
+
+
 def canonical_map_json(mapping: DataFrame, path: str, name: str = "brand", canonical: str = "brand_canonical", mode: str = "error") -> DataFrame:
     """One JSON object from names to their canonical spelling, in the order of names; also returned.
 
