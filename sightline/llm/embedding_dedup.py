@@ -19,7 +19,8 @@ representative with a count first.
 Vectors that are null, empty, zero, or hold null or non-finite components link
 with nothing.  Vectors of different length do not link.  A null vec_id links
 with nothing and has no component.  Rows repeated under one vec_id count as
-copies.  An empty table gives an empty result; other columns are ignored.
+copies.  Long vectors make blocks of fewer rows.  An empty table gives an empty
+result; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -37,6 +38,8 @@ from .common import components, forest, lean, materialize, tasks
 
 #: Bytes of vectors in a block, in double precision; pivots at most; deviations of the bound.
 BLOCK_BYTES, MOST_PIVOTS, SIGMAS = 8 << 20, 1024, 6.0
+#: Pairs whose estimates are held at a time.
+STRIP = 1 << 20
 
 
 def rotation(size: int) -> np.ndarray:
@@ -110,26 +113,63 @@ def prepared(table: DataFrame, id_column: str, vector: str) -> DataFrame:
     return rows.mapInPandas(lean(run), "set_key binary, size int, vector binary, code binary, factor double, id long")
 
 
-def _links(x: dict, y: dict | None, limit: float) -> tuple[np.ndarray, np.ndarray]:
-    """Linked pairs of two blocks as indices, or of one block with itself (i < j)."""
+def _links(x: dict, y: dict | None, limit: float) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Linked pairs of two blocks as indices, or of one block with itself (i < j), some at a time."""
     same = y is None
     y = x if same else y
     q = rotate(y["vector"]).astype(np.float32)
     least = (limit - slack(x["factor"], limit, q.shape[1])).astype(np.float32) * x["factor"].astype(np.float32)
     direction = signs(x["code"])
-    out = []
-    for at in range(0, len(direction), 512):
-        i, j = np.nonzero(direction[at : at + 512] @ q.T >= least[at : at + 512, None])
+    strip = max(1, STRIP // len(q))
+    for at in range(0, len(direction), strip):
+        i, j = np.nonzero(direction[at : at + strip] @ q.T >= least[at : at + strip, None])
         i += at
         if same:
             i, j = i[i < j], j[i < j]
         for k in range(0, len(i), 50_000):
             a, b = i[k : k + 50_000], j[k : k + 50_000]
             ok = np.einsum("ij,ij->i", x["vector"][a], y["vector"][b]) >= limit
-            out.append((a[ok], b[ok]))
-    if not out:
-        return np.zeros(0, np.int64), np.zeros(0, np.int64)
-    return np.concatenate([a for a, _ in out]), np.concatenate([b for _, b in out])
+            if ok.any():
+                yield a[ok], b[ok]
+
+
+def summed(x: dict, y: dict | None, limit: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of two blocks, or one with itself: ids, how many rows each is linked with, and the least id that it reaches.
+
+    Links are counted and joined to trees as they are found; no more than a strip of them is held.
+    """
+    parts = [x] if y is None else [x, y]
+    ids, n = (np.concatenate([p[k] for p in parts]) for k in ("id", "n"))
+    order = np.argsort(ids, kind="stable")
+    place = np.empty_like(order)
+    place[order] = np.arange(len(ids))
+    links, root = np.zeros(len(ids), np.int64), np.arange(len(ids))
+    for a, b in _links(x, y, limit):
+        b = b + (0 if y is None else len(x["id"]))
+        # Weights are whole numbers below 2**53, so sums of them are exact.
+        links += (np.bincount(a, weights=n[b], minlength=len(ids)) + np.bincount(b, weights=n[a], minlength=len(ids))).astype(np.int64)
+        p, q = root[place[a]], root[place[b]]
+        apart = p != q
+        if apart.any():
+            root = forest(p[apart], q[apart], len(ids))[root]
+    return ids, links, ids[order][root][place]
+
+
+def pivots_of(reps: DataFrame, wanted: int) -> dict[int, list[np.ndarray]]:
+    """Of each vector length the `wanted` vectors with the least hash of their id; lengths are few.
+
+    Hashes below a limit that some more than `wanted` rows pass come to the driver
+    with their vectors, so nothing is sorted but these.
+    """
+    h = F.xxhash64("id")
+    share = F.least(F.lit(1.0), F.lit(2.0 * wanted + 64) / F.col("rows"))
+    bound = F.lit(float(-(2**63))) + share * float(2**64)
+    counts = reps.groupBy("size").agg(F.count("*").alias("rows")).select("size", bound.alias("bound"))
+    drawn = reps.select("size", "id", "vector", h.alias("h")).join(counts, "size").where(F.col("h").cast("double") <= F.col("bound")).select("size", "id", "vector", "h")
+    out: dict[int, list[np.ndarray]] = {}
+    for r in sorted(drawn.collect(), key=lambda r: (r["h"], r["id"])):
+        out.setdefault(r["size"], []).append(np.frombuffer(r["vector"]))
+    return {size: v[:wanted] for size, v in out.items()}
 
 
 def near_groups(table: DataFrame, limit: float = 0.95, id_column: str = "vec_id", vector: str = "embedding") -> DataFrame:
@@ -142,14 +182,7 @@ def near_groups(table: DataFrame, limit: float = 0.95, id_column: str = "vec_id"
     longest = reps.agg(F.coalesce(F.max("size"), F.lit(1))).first()[0]
     block_rows = max(16, BLOCK_BYTES // (8 * longest))
     wanted = min(MOST_PIVOTS, max(1, total // block_rows))
-    # At most MOST_PIVOTS pivots for each vector length; lengths are few.
-    from pyspark.sql import Window
-
-    turn = F.row_number().over(Window.partitionBy("size").orderBy(F.xxhash64("id")))
-    pivots: dict[int, np.ndarray] = {}
-    for r in reps.select("size", "vector", turn.alias("turn")).where(F.col("turn") <= wanted).collect():
-        pivots.setdefault(r["size"], []).append(np.frombuffer(r["vector"]))
-    pivots = {size: np.stack(sorted(v, key=lambda x: x.tolist())) for size, v in sorted(pivots.items())}
+    pivots = {size: np.stack(sorted(v, key=lambda x: x.tolist())) for size, v in sorted(pivots_of(reps, wanted).items())}
     first_cell = dict(zip(pivots, np.cumsum([0, *map(len, pivots.values())]).tolist(), strict=False))
 
     def assign(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -204,18 +237,10 @@ def near_groups(table: DataFrame, limit: float = 0.95, id_column: str = "vec_id"
                     parts.append({"id": np.array([r[3] for r in g]), "n": np.array([r[4] for r in g]), "vector": np.stack([np.frombuffer(r[5]) for r in g]), "code": np.stack([np.frombuffer(r[6], np.uint8) for r in g]), "factor": np.array([r[7] for r in g])})
             if bi != bj and len(parts) < 2:
                 continue
-            a, b = _links(parts[0], None if bi == bj else parts[1], limit)
-            if not len(a):
-                continue
-            ids, n = (np.concatenate([p[k] for p in parts]) for k in ("id", "n"))
-            b = b + (0 if bi == bj else len(parts[0]["id"]))
-            links = np.bincount(a, weights=n[b], minlength=len(ids)) + np.bincount(b, weights=n[a], minlength=len(ids))
-            order = np.argsort(ids, kind="stable")
-            place = np.empty_like(order)
-            place[order] = np.arange(len(ids))
-            root = ids[order][forest(place[a], place[b], len(ids))][place]
+            ids, links, root = summed(parts[0], None if bi == bj else parts[1], limit)
             some = links > 0
-            yield pd.DataFrame({"id": ids[some], "links": links[some].astype(np.int64), "root": root[some]})
+            if some.any():
+                yield pd.DataFrame({"id": ids[some], "links": links[some], "root": root[some]})
 
     dealt = cells.mapInPandas(lean(deal), "id long, n long, vector binary, code binary, factor double, bi long, bj long, side int")
     dealt = dealt.repartition(tasks(spark), "bi", "bj").sortWithinPartitions("bi", "bj", "side", "id")
