@@ -10,8 +10,9 @@ Labels belong to documents, not lines.  Lines of good documents are taken as
 good.  Lines of bad documents begin as bad; after each fit those that the model
 finds good are relabelled, but the worst line of a bad document stays bad.
 
-A null or empty text is one empty line and gets a score like any other.
-Repeated rows get equal scores.  Labels that are null, or rows without a text,
+A null or empty text is one empty line and gets a score like any other.  A very
+long text is scored whole.  Repeated rows get equal scores; rows are scored by
+themselves, so there are no ties to decide.  An empty table gives an empty result.  Labels that are null, or rows without a text,
 are not learned from; with no labels of both kinds every score is the share of
 good ones (0.5 without any).  Other columns are ignored.
 """
@@ -29,6 +30,8 @@ from .common import lean, small_batches
 from .pieces import L, N, O, S, char_classes, code_points
 
 NAMES = ["upper", "digits", "symbols", "marks", "word_length", "repeats", "length", "empty", "twice", "distinct"]
+#: Steps of the fit below which it stands still.
+STILL = 4e-3
 #: Characters handled in one array pass.
 BATCH = 500_000
 _upper: list[np.ndarray] = []
@@ -190,7 +193,10 @@ class LineModel:
             marginal, pairs = chains(z @ theta[:-4], text, theta[-4:].reshape(2, 2))
             grad = np.append(z.T @ ((marginal - y) * weight) / scale, ((pairs - true) / links).ravel()) + 1e-3 * theta
             m, v = 0.9 * m + 0.1 * grad, 0.999 * v + 0.001 * grad**2
-            theta = theta - 0.1 * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.999**t)) + 1e-9)
+            step = 0.1 * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.999**t)) + 1e-9)
+            theta = theta - step
+            if np.abs(step).max() < STILL:
+                break
         self.weights, self.pair = theta[:-4], theta[-4:].reshape(2, 2)
 
     def share(self, x, text, size) -> np.ndarray:
@@ -207,23 +213,32 @@ class LineModel:
         return 1 / (1 + np.exp(-(self.curve[0] + self.curve[1] * share)))
 
 
-def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", sample: int = 4000) -> LineModel:
-    """Fit on at most `sample` labelled documents, those with the least hash of doc_id.
+def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", sample: int = 4000, lines: int = 400) -> LineModel:
+    """Fit on at most `sample` labelled documents, those with the least hash of doc_id, and `lines` lines of each.
 
-    Only their line features come to the driver.
+    Of a document with more lines a stretch is learned from that begins at a line
+    given by the hash of its text.  Of several rows of one doc_id that with the least
+    hash counts.  Only line features come to the driver, at most 44 * sample * lines
+    bytes (70 MB).
     """
     picked = labels.where(F.col(label).isNotNull() & F.col("doc_id").isNotNull()).select(F.col("doc_id").cast("long").alias("doc_id"), F.col(label).cast("int").alias("y"))
     picked = picked.groupBy("doc_id").agg(F.min("y").alias("y")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
-    rows = docs.where(F.col("text").isNotNull()).select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    small_batches(docs.sparkSession)
+    rows = docs.where(F.col("text").isNotNull()).select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.xxhash64("text").alias("h"))
     rows = rows.join(F.broadcast(picked), "doc_id")  # at most `sample` rows
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            for doc, y, text in zip(b["doc_id"].tolist(), b["y"].tolist(), b["text"], strict=True):
+            out = []
+            for doc, y, h, text in zip(b["doc_id"].tolist(), b["y"].tolist(), b["h"].tolist(), b["text"], strict=True):
                 x, _, size = line_features([text])
-                yield pd.DataFrame({"doc_id": [doc], "y": [y], "x": [x.astype(np.float32).tobytes()], "size": [size.astype(np.float32).tobytes()]})
+                at = h % (len(x) - lines + 1) if len(x) > lines else 0
+                out.append((doc, y, h, x[at : at + lines].astype(np.float32).tobytes(), size[at : at + lines].astype(np.float32).tobytes()))
+            yield pd.DataFrame(out, columns=["doc_id", "y", "h", "x", "size"])
 
-    got = sorted(rows.mapInPandas(lean(run), "doc_id long, y int, x binary, size binary").collect(), key=lambda r: (r["doc_id"], r["x"]))
+    found = rows.mapInPandas(lean(run), "doc_id long, y int, h long, x binary, size binary")
+    found = found.groupBy("doc_id", "y").agg(F.min_by(F.struct("x", "size"), F.col("h")).alias("s")).select("doc_id", "y", "s.x", "s.size")
+    got = sorted(found.collect(), key=lambda r: r["doc_id"])
     if not got:
         return LineModel()
     x = [np.frombuffer(r["x"], np.float32).reshape(-1, len(NAMES)).astype(np.float64) for r in got]
