@@ -4,12 +4,15 @@ Equal texts are one text first: a copy repeats its representative, the one with
 the smallest doc_id, from its first word to its last.
 
 Seeds are four-word shingles, half of them by their hash: ten edits in fifty
-words leave at least seven four-word shingles whole, mostly many more.  Longer
-shingles (16 and 40 words, an eighth of them) are seeds as well, for passages
-made of frequent phrases.  A seed that up to HOLDERS documents have joins each of
-them to all earlier ones; a more frequent one joins each to the first and to the
-NEAR before it.  Tasks do that for frequent seeds before the shuffle, and pass on
-their first holder alone.
+words leave at least seven four-word shingles whole, mostly many more.  A seed
+that up to HOLDERS documents have joins each of them to all earlier ones; a more
+frequent one joins each to the first and to the NEAR before it.  Tasks do that for
+frequent seeds before the shuffle, and pass on their first holder alone.
+
+A passage may be put together of frequent ones whose first holders have other parts
+of it.  So frequent seeds are matched once more in pairs, with seeds further on in
+the text: who has the pair has both parts, and a pair that is frequent itself has a
+first holder that has them too.  One match of a pair is enough to compare the texts.
 
 Matches of two documents that lie on neighbouring diagonals and spread far enough
 make a region.  The stretches of both texts around it are brought together and
@@ -47,8 +50,14 @@ from .common import documents, forest, fresh, lean, mark_maybe, materialize, tas
 from .shingles import helpings, shingle_hashes, word_hashes
 
 SIZE = 4
-#: Words of a seed, and of how many one is taken.
-SEEDS = [(SIZE, 2), (16, 8), (40, 8)]
+#: Of how many seeds one is taken.
+TAKEN = 2
+#: Frequent seeds are matched again in pairs: with one so many words behind, from each of these ranges.
+AHEAD = [(8, 16), (16, 24), (24, 32), (32, 40), (40, 48)]
+#: What a match of pairs counts for: it is a region by itself.
+SURE = 1 << 20
+#: Bits of a seed's hash that tasks agree on, and 64-bit words of the map of frequent seeds at most.
+LOW, MAP_WORDS = (1 << 48) - 1, 1 << 20
 #: A seed joins all pairs of up to HOLDERS documents; beyond, each to the first and to the NEAR before it.
 HOLDERS, NEAR = 16, 3
 #: Seeds that a task holds at a time.
@@ -138,16 +147,55 @@ def _seeds_of(texts: list[bytes], ids: np.ndarray) -> tuple[np.ndarray, np.ndarr
     which = np.repeat(np.arange(len(texts)), words)
     base = np.cumsum([0, *(len(t) + 1 for t in texts[:-1])])
     spot = ((np.arange(len(which)) - (np.cumsum(words) - words)[which]) << 32) + first - base[which]
-    out = []
-    for size, of in SEEDS:
-        h = shingle_hashes(hashes, size)
-        take = np.flatnonzero((which[: len(h)] == which[size - 1 :]) & ((h >> np.uint64(13)) % np.uint64(of) == 0)) if len(h) else np.zeros(0, np.int64)
-        out.append((h[take], which[take], spot[take]))
-    h, which, spot = map(np.concatenate, zip(*out, strict=True))
-    order = np.lexsort((spot, ids[which])) if len(texts) > 1 or len(SEEDS) > 1 else slice(None)
+    h = shingle_hashes(hashes, SIZE)
+    take = np.flatnonzero((which[: len(h)] == which[SIZE - 1 :]) & ((h >> np.uint64(13)) % np.uint64(TAKEN) == 0)) if len(h) else np.zeros(0, np.int64)
+    h, which, spot = h[take], which[take], spot[take]
+    order = np.lexsort((spot, ids[which])) if len(texts) > 1 else slice(None)
     return h[order], ids[which][order], spot[order]
 
 
+def least_within(value: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> np.ndarray:
+    """The least value of each range [lo, hi), which is not empty, by ranges of lengths that are powers of two."""
+    out = np.empty(len(lo), value.dtype)
+    level = np.frexp(hi - lo)[1] - 1
+    table = value
+    for k in range(int(level.max(initial=-1)) + 1):
+        at = np.flatnonzero(level == k)
+        out[at] = np.minimum(table[lo[at]], table[hi[at] - (1 << k)])
+        step = 1 << k
+        table = np.minimum(table[:-step], table[step:]) if len(table) > step else table
+    return out
+
+
+def in_pairs(h: np.ndarray, node: np.ndarray, place: np.ndarray, frequent: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Pairs of frequent seeds (in order of node and place) as seeds, at the first one's place.
+
+    The other is that with the least code of those in a range of words ahead, so
+    two texts that have the same passage mostly pair the same seeds, and texts that
+    have only parts of it in other surroundings do not.
+    """
+    low = h & np.uint64(LOW)
+    bit = low % np.uint64(64 * len(frequent))
+    some = np.flatnonzero((frequent[(bit >> np.uint64(6)).astype(np.int64)] >> (bit & np.uint64(63))) & np.uint64(1))
+    h, node, place = low[some], node[some], place[some]
+    if not len(h):
+        return h, node, place
+    code = h * np.uint64(0xD6E8FEB86659FD93)
+    code ^= code >> np.uint64(32)
+    number = np.cumsum(np.append(False, node[1:] != node[:-1]))
+    at = (number << 33) + (place >> 32)
+    out = []
+    for k, (near, far) in enumerate(AHEAD):
+        lo, hi = np.searchsorted(at, at + near), np.searchsorted(at, at + far)
+        has = np.flatnonzero(hi > lo)
+        both = (h[has] * np.uint64(0x9E3779B97F4A7C15 + 2 * k)) ^ least_within(code, lo[has], hi[has])
+        both *= np.uint64(0xBF58476D1CE4E5B9)
+        out.append((both ^ (both >> np.uint64(29)), node[has], place[has]))
+    h, node, place = map(np.concatenate, zip(*out, strict=True))
+    order = np.lexsort((place, node))
+    return h[order], node[order], place[order]
+
+
 def by_seed(h: np.ndarray, node: np.ndarray, place: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Rows in order of node and place brought into order of seed, and where they stood.
 
@@ -168,10 +216,10 @@ def by_seed(h: np.ndarray, node: np.ndarray, place: np.ndarray) -> tuple[np.ndar
     return h[o], node[o], place[o], order[o]
 
 
-def combine(h: np.ndarray, node: np.ndarray, place: np.ndarray, last: bool) -> tuple[np.ndarray, np.ndarray]:
-    """Cells of the matches of seeds (in order of node and place), and the places of rows to go on.
+def combine(h: np.ndarray, node: np.ndarray, place: np.ndarray, last: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Cells of the matches of seeds (in order of node and place), the places of rows to go on, and the seeds that more than HOLDERS documents have.
 
-    Unless this is the last time a seed is looked at, only those that more than HOLDERS documents have are matched; of these only the first row goes on.
+    Unless this is the last time a seed is looked at, only those are matched; of these only the first row goes on.
     """
     n = len(h)
     h, node, place, order = by_seed(h, node, place)
@@ -179,14 +227,22 @@ def combine(h: np.ndarray, node: np.ndarray, place: np.ndarray, last: bool) -> t
     fresh_doc = begins | np.append(True, node[1:] != node[:-1])
     group = np.cumsum(begins) - 1
     docs = np.bincount(group[fresh_doc], minlength=int(group[-1]) + 1)
+    frequent = (h[begins][docs > HOLDERS] & np.uint64(LOW)).view(np.int64)
     if last:
         take = docs > 1
-        return cells(links([h[take[group]], node[take[group]], place[take[group]]])), np.zeros(0, np.int64)
+        return cells(links([h[take[group]], node[take[group]], place[take[group]]])), np.zeros(0, np.int64), frequent
     many = (docs > HOLDERS)[group]
     gone = order[many & ~begins]
     goes_on = np.ones(n, bool)
     goes_on[gone[gone >= 0]] = False
-    return cells(links([h[many], node[many], place[many]])), np.flatnonzero(goes_on)
+    return cells(links([h[many], node[many], place[many]])), np.flatnonzero(goes_on), frequent
+
+
+def with_frequent(met: np.ndarray, frequent: np.ndarray) -> np.ndarray:
+    """Cells, and rows without a node for frequent seeds: (-1, -1, seed, 0, 0)."""
+    marks = np.zeros((len(frequent), 5), np.int64)
+    marks[:, :2], marks[:, 2] = -1, frequent
+    return np.concatenate([met, marks])
 
 
 def cells(met: list[np.ndarray]) -> np.ndarray:
@@ -205,8 +261,11 @@ def cells(met: list[np.ndarray]) -> np.ndarray:
     return np.stack([d[k], o[k], at[k], np.minimum.reduceat(own[order], first), n], 1)
 
 
-def seeds(rows: DataFrame, buckets: int) -> DataFrame:
-    """Packed seeds of the texts (bucket, cells: false, data), and cells of those that many texts of a task have (cells: true)."""
+def seeds(rows: DataFrame, buckets: int, pairs=None) -> DataFrame:
+    """Packed seeds of the texts (bucket, cells: false, data), and cells of those that many texts of a task have (cells: true).
+
+    pairs: a broadcast map of frequent seeds, whose pairs are taken instead.
+    """
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         held, size, turn = [], 0, 0
@@ -216,7 +275,9 @@ def seeds(rows: DataFrame, buckets: int) -> DataFrame:
             if len(held) > 1:
                 order = np.argsort(node, kind="stable")
                 h, node, place = h[order], node[order], place[order]
-            met, on = combine(h, node, place, False)
+            met, on, frequent = combine(h, node, place, False)
+            if pairs is None:
+                met = with_frequent(met, frequent)
             h, node, place = h[on], node[on], place[on]
             bucket = ((h >> np.uint64(48)) % np.uint64(buckets)).astype(np.uint16 if buckets <= 1 << 16 else np.int64)
             order = np.argsort(bucket, kind="stable")
@@ -235,6 +296,8 @@ def seeds(rows: DataFrame, buckets: int) -> DataFrame:
             texts, ids = b["text"].tolist(), b["node"].to_numpy(np.int64)
             for i, j in helpings(texts):
                 found = _seeds_of(texts[i:j], ids[i:j])
+                if pairs is not None:
+                    found = in_pairs(*found, pairs.value)
                 if not len(found[0]):
                     continue
                 held.append(found)
@@ -249,9 +312,13 @@ def seeds(rows: DataFrame, buckets: int) -> DataFrame:
     return rows.select("node", F.col("text").cast("binary").alias("text")).mapInPandas(lean(run), "bucket int, cells boolean, data binary")
 
 
-def meet(rows: DataFrame) -> DataFrame:
-    """Matches (node, owner, at, own, n) of documents that share seeds, one row for each pair of blocks."""
+def meet(rows: DataFrame, pairs=None) -> DataFrame:
+    """Matches (node, owner, at, own, n) of documents that share seeds, one row for each pair of blocks.
+
+    Without pairs (as in `seeds`) also rows that name the frequent seeds (with_frequent).
+    """
     names = ["node", "owner", "at", "own", "n"]
+    first_round = pairs is None
 
     def run(batches):
         import pyarrow as pa
@@ -259,6 +326,8 @@ def meet(rows: DataFrame) -> DataFrame:
         held, size, now = [], 0, None
 
         def out(rows: np.ndarray):
+            if not first_round:
+                rows = rows * np.array([1, 1, 1, 1, SURE])
             return pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(c)) for c in rows.T], names)
 
         def all_held():
@@ -266,31 +335,54 @@ def meet(rows: DataFrame) -> DataFrame:
             order = np.lexsort((place, node))
             return h[order].view(np.uint64), node[order], place[order]
 
+        def matched(rows, last: bool):
+            met, on, frequent = combine(*rows, last)
+            return out(with_frequent(met, frequent) if first_round else met), on
+
         for b in batches:
             for bucket, is_cells, data in zip(b.column("bucket").to_pylist(), b.column("cells").to_pylist(), b.column("data"), strict=True):
                 if is_cells:
                     yield out(np.frombuffer(data.as_py(), np.int64).reshape(-1, 5))
                     continue
                 if held and bucket != now:
-                    yield out(combine(*all_held(), True)[0])
+                    yield matched(all_held(), True)[0]
                     held, size = [], 0
                 now = bucket
                 held.append(unpack(data.as_py(), bucket))
                 size += len(held[-1][0])
                 if size > 2 * FLUSH:  # frequent seeds need not pile up
                     rows_ = all_held()
-                    met, on = combine(*rows_, False)
-                    yield out(met)
+                    met, on = matched(rows_, False)
+                    yield met
                     held = [tuple(c[on].view(np.int64) for c in rows_)]
                     size = size // 2 if len(on) > FLUSH else len(on)
         if held:
-            yield out(combine(*all_held(), True)[0])
+            yield matched(all_held(), True)[0]
 
     n = 4 * tasks(rows.sparkSession)  # buckets are matched as arrays: small ones
-    dealt = seeds(rows, n).repartition(tasks(rows.sparkSession), "bucket").sortWithinPartitions("cells", "bucket")
+    dealt = seeds(rows, n, pairs).repartition(tasks(rows.sparkSession), "bucket").sortWithinPartitions("cells", "bucket")
     return dealt.mapInArrow(lean(run), ", ".join(f"{c} long" for c in names))
 
 
+def frequent_map(met: DataFrame):
+    """A broadcast map of the frequent seeds that `meet` has named, or None where there are none.
+
+    It has 16 bits a seed and MAP_WORDS words at most; more seeds make more pairs
+    than are needed, and the same results.
+    """
+    named = met.where("node = -1").select(F.col("at").alias("h")).distinct()
+    n = named.count()
+    if not n:
+        return None
+    words = min(MAP_WORDS, 1 << max(6, (n * 16 // 64).bit_length()))
+    place = F.pmod(F.col("h"), F.lit(64 * words))
+    rows = named.groupBy(F.shiftright(place, 6).alias("w")).agg(F.bit_or(F.expr(f"shiftleft(1L, cast(pmod(h, {64 * words}) % 64 as int))")).alias("bits"))
+    out = np.zeros(words, np.uint64)
+    for r in rows.collect():  # MAP_WORDS rows at most
+        out[r["w"]] = r["bits"] & (2**64 - 1)
+    return met.sparkSession.sparkContext.broadcast(out)
+
+
 def _differ(columns: list[np.ndarray]) -> np.ndarray:
     """Whether each row but the first differs from that before it."""
     return np.logical_or.reduce([c[1:] != c[:-1] for c in columns])
@@ -337,7 +429,8 @@ def regions(rows: np.ndarray) -> np.ndarray:
     order = np.argsort(label, kind="stable")
     first = np.flatnonzero(np.append(True, label[order][1:] != label[order][:-1]))
     low, high = (lambda c: np.minimum.reduceat(c[order], first)), (lambda c: np.maximum.reduceat(c[order], first))
-    good = (np.add.reduceat(n[order], first) >= LEAST) & (high(at >> 32) - low(at >> 32) >= SPREAD)
+    n = np.add.reduceat(n[order], first)
+    good = (n >= LEAST) & (high(at >> 32) - low(at >> 32) >= SPREAD) | (n >= SURE)
     mask = 0xFFFFFFFF
     k = order[first]
     return np.stack([d[k], o[k], low(at) & mask, high(at) & mask, low(own & mask), high(own & mask)], 1)[good]
@@ -345,7 +438,11 @@ def regions(rows: np.ndarray) -> np.ndarray:
 
 def matches(rows: DataFrame) -> DataFrame:
     """Regions of matches: node, owner, and bytes lo, hi, owner_lo, owner_hi of the first and last."""
-    met = meet(rows)
+    met = materialize(meet(rows), "met")
+    frequent = frequent_map(met)
+    met = met.where("node >= 0")
+    if frequent is not None:
+        met = met.unionByName(meet(rows, frequent))
     names = ["node", "owner", "lo", "hi", "owner_lo", "owner_hi"]
 
     def run(batches):
