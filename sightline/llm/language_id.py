@@ -30,8 +30,9 @@ from .common import lean, small_batches
 from .pieces import L, char_classes
 
 SYMBOLS = 64
-#: The greatest kernel value with any landmark below which a text is in none of the languages.
-LEAST = 0.1
+#: The best regression value below which a text is in none of the languages; for a text of fewer than SHORT different n-grams
+#: the greatest kernel value with any landmark, below which it is in none.
+LEAST_VALUE, SHORT, LEAST = -0.12, 40, 0.1
 
 
 def symbol_table() -> np.ndarray:
@@ -99,7 +100,10 @@ class KernelModel:
 
     def values(self, texts: list[np.ndarray]) -> np.ndarray:
         """Regression values: 1 where a text belongs to the language, -1 where it belongs to the rest."""
-        return self.kernel(texts) @ self.project + self.weights[-1]
+        return self.of_kernel(self.kernel(texts))
+
+    def of_kernel(self, kernel: np.ndarray) -> np.ndarray:
+        return kernel @ self.project + self.weights[-1]
 
     def scores(self, texts: list[np.ndarray]) -> np.ndarray:
         """Of each text and language; a sharpened softmax of the regression values."""
@@ -181,13 +185,15 @@ def predict(docs: DataFrame, model: KernelModel | None, *extra: str) -> DataFram
     return rows.mapInPandas(lean(run), schema)
 
 
-def accept(docs: DataFrame, model: KernelModel | None, least: float = LEAST) -> DataFrame:
+def accept(docs: DataFrame, model: KernelModel | None, least: float = LEAST_VALUE) -> DataFrame:
     """The rows of a table that are in one of the model's languages, with all their columns.
 
-    A text without a letter goes, and one that is in none of the languages: that
-    has a kernel value below `least` with every landmark of them, so that the
-    regression could only guess.  Without a model (no row has a label) lettered
-    rows stay.
+    A text without a letter goes, and one whose regression value stays below `least`
+    for every language: 1 is what a language's own texts are fitted to, -1 what the
+    rest is.  A text of fewer than SHORT different n-grams says too little for that;
+    it goes if its kernel value with every landmark is below LEAST.  Without a model
+    (no row has a label) lettered rows stay.  Nulls count as texts without a letter;
+    very long texts are read whole; equal rows go or stay together.
     """
     small_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(model)  # landmarks x n-grams: bounded by `landmarks`
@@ -202,8 +208,12 @@ def accept(docs: DataFrame, model: KernelModel | None, least: float = LEAST) ->
             for at in range(0, len(texts), 256):
                 codes = [grams(t) if t else np.zeros(0, np.int32) for t in texts[at : at + 256]]
                 some = np.flatnonzero([len(g) > 0 for g in codes])
-                if len(some):
-                    keep[at + some] = True if m is None else m.kernel([codes[i] for i in some]).max(1) >= least
+                if len(some) and m is None:
+                    keep[at + some] = True
+                elif len(some):
+                    kernel = m.kernel([codes[i] for i in some])
+                    short = np.array([len(codes[i]) < SHORT for i in some])
+                    keep[at + some] = np.where(short, kernel.max(1) >= LEAST, m.of_kernel(kernel).max(1) >= least)
             yield b.filter(pa.array(keep))
 
     return docs.mapInArrow(lean(run), docs.schema)

@@ -18,12 +18,12 @@ def shingles(text):
     return frozenset(tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))) if w else frozenset()
 
 
-def near_components(texts):
+def near_components(texts, percent=85):
     sets = {k: shingles(t) for k, t in texts.items()}
     parent = {k: k for k in sets}
     for a in sets:
         for b in sets:
-            if a < b and sets[a] and 100 * len(sets[a] & sets[b]) >= 85 * len(sets[a] | sets[b]):
+            if a < b and sets[a] and 100 * len(sets[a] & sets[b]) >= percent * len(sets[a] | sets[b]):
                 x, y = find(parent, a), find(parent, b)
                 parent[max(x, y)] = min(x, y)
     return {k: find(parent, k) for k in sets}
