@@ -6,13 +6,13 @@ the smallest doc_id, from its first word to its last.
 Seeds are four-word shingles, half of them by their hash: ten edits in fifty
 words leave at least seven four-word shingles whole, mostly many more.  A seed
 that up to HOLDERS documents have joins each of them to all earlier ones; a more
-frequent one joins each to the first and to the NEAR before it.  Tasks do that for
-frequent seeds before the shuffle, and pass on their first holder alone.
+frequent one joins each to the first.  Tasks do that for frequent seeds before the
+shuffle, and pass on their first holder alone.
 
 A passage may be put together of frequent ones whose first holders have other parts
 of it.  So frequent seeds are matched once more in pairs, with seeds further on in
-the text: who has the pair has both parts, and a pair that is frequent itself has a
-first holder that has them too.  One match of a pair is enough to compare the texts.
+the text: who has the pair has both parts, and each is joined to the first one that
+has them.  One match of a pair is enough to compare the texts.
 
 Matches of two documents that lie on neighbouring diagonals and spread far enough
 make a region.  The stretches of both texts around it are brought together and
@@ -53,13 +53,13 @@ SIZE = 4
 #: Of how many seeds one is taken.
 TAKEN = 2
 #: Frequent seeds are matched again in pairs: with one so many words behind, from each of these ranges.
-AHEAD = [(8, 16), (16, 24), (24, 32), (32, 40), (40, 48)]
+AHEAD = [(8, 18), (18, 28), (28, 38), (38, 48)]
 #: What a match of pairs counts for: it is a region by itself.
 SURE = 1 << 20
 #: Bits of a seed's hash that tasks agree on, and 64-bit words of the map of frequent seeds at most.
 LOW, MAP_WORDS = (1 << 48) - 1, 1 << 20
-#: A seed joins all pairs of up to HOLDERS documents; beyond, each to the first and to the NEAR before it.
-HOLDERS, NEAR = 16, 3
+#: A seed joins all pairs of up to HOLDERS documents; beyond, each to the first.  A pair of seeds joins each to the first.
+HOLDERS, OF_PAIRS = 16, 1
 #: Seeds that a task holds at a time.
 FLUSH = 400_000
 #: Words of a block as a power of two; a region needs LEAST matches, of which two begin SPREAD words apart.
@@ -216,8 +216,8 @@ def by_seed(h: np.ndarray, node: np.ndarray, place: np.ndarray) -> tuple[np.ndar
     return h[o], node[o], place[o], order[o]
 
 
-def combine(h: np.ndarray, node: np.ndarray, place: np.ndarray, last: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Cells of the matches of seeds (in order of node and place), the places of rows to go on, and the seeds that more than HOLDERS documents have.
+def combine(h: np.ndarray, node: np.ndarray, place: np.ndarray, last: bool, holders: int = HOLDERS) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Cells of the matches of seeds (in order of node and place), the places of rows to go on, and the seeds that more than `holders` documents have.
 
     Unless this is the last time a seed is looked at, only those are matched; of these only the first row goes on.
     """
@@ -227,15 +227,15 @@ def combine(h: np.ndarray, node: np.ndarray, place: np.ndarray, last: bool) -> t
     fresh_doc = begins | np.append(True, node[1:] != node[:-1])
     group = np.cumsum(begins) - 1
     docs = np.bincount(group[fresh_doc], minlength=int(group[-1]) + 1)
-    frequent = (h[begins][docs > HOLDERS] & np.uint64(LOW)).view(np.int64)
+    frequent = (h[begins][docs > holders] & np.uint64(LOW)).view(np.int64)
     if last:
         take = docs > 1
-        return cells(links([h[take[group]], node[take[group]], place[take[group]]])), np.zeros(0, np.int64), frequent
-    many = (docs > HOLDERS)[group]
+        return cells(links([h[take[group]], node[take[group]], place[take[group]]], holders)), np.zeros(0, np.int64), frequent
+    many = (docs > holders)[group]
     gone = order[many & ~begins]
     goes_on = np.ones(n, bool)
     goes_on[gone[gone >= 0]] = False
-    return cells(links([h[many], node[many], place[many]])), np.flatnonzero(goes_on), frequent
+    return cells(links([h[many], node[many], place[many]], holders)), np.flatnonzero(goes_on), frequent
 
 
 def with_frequent(met: np.ndarray, frequent: np.ndarray) -> np.ndarray:
@@ -267,6 +267,8 @@ def seeds(rows: DataFrame, buckets: int, pairs=None) -> DataFrame:
     pairs: a broadcast map of frequent seeds, whose pairs are taken instead.
     """
 
+    holders = HOLDERS if pairs is None else OF_PAIRS
+
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         held, size, turn = [], 0, 0
 
@@ -275,7 +277,7 @@ def seeds(rows: DataFrame, buckets: int, pairs=None) -> DataFrame:
             if len(held) > 1:
                 order = np.argsort(node, kind="stable")
                 h, node, place = h[order], node[order], place[order]
-            met, on, frequent = combine(h, node, place, False)
+            met, on, frequent = combine(h, node, place, False, holders)
             if pairs is None:
                 met = with_frequent(met, frequent)
             h, node, place = h[on], node[on], place[on]
@@ -319,6 +321,7 @@ def meet(rows: DataFrame, pairs=None) -> DataFrame:
     """
     names = ["node", "owner", "at", "own", "n"]
     first_round = pairs is None
+    holders = HOLDERS if first_round else OF_PAIRS
 
     def run(batches):
         import pyarrow as pa
@@ -336,7 +339,7 @@ def meet(rows: DataFrame, pairs=None) -> DataFrame:
             return h[order].view(np.uint64), node[order], place[order]
 
         def matched(rows, last: bool):
-            met, on, frequent = combine(*rows, last)
+            met, on, frequent = combine(*rows, last, holders)
             return out(with_frequent(met, frequent) if first_round else met), on
 
         for b in batches:
@@ -388,8 +391,11 @@ def _differ(columns: list[np.ndarray]) -> np.ndarray:
     return np.logical_or.reduce([c[1:] != c[:-1] for c in columns])
 
 
-def links(rows: list[np.ndarray]) -> list[np.ndarray]:
-    """Matches (node, owner, at, own) of rows (h, node, place) in this order."""
+def links(rows: list[np.ndarray], holders: int = HOLDERS) -> list[np.ndarray]:
+    """Matches (node, owner, at, own) of rows (h, node, place) in this order.
+
+    Of up to `holders` documents with a seed all pairs; else each with the first.
+    """
     h, node, place = rows
     if not len(h):
         return [node, node, place, place]
@@ -402,11 +408,11 @@ def links(rows: list[np.ndarray]) -> list[np.ndarray]:
     count, rank = np.diff(np.append(start, len(holder))), np.arange(len(holder)) - start[group]
     n, r = count[group][mine], rank[mine]
     met, with_ = [], []
-    for k in range(1, min(max(HOLDERS - 1, NEAR), int(r.max(initial=0))) + 1):
-        i = np.flatnonzero((r >= k) & ((n <= HOLDERS) | (k <= NEAR)))
+    for k in range(1, min(holders - 1, int(r.max(initial=0))) + 1):
+        i = np.flatnonzero((r >= k) & (n <= holders))
         met.append(i)
         with_.append(holder[mine[i] - k])
-    i = np.flatnonzero((n > HOLDERS) & (r > NEAR))
+    i = np.flatnonzero((n > holders) & (r > 0))
     i, o = np.concatenate([*met, i]), np.concatenate([*with_, holder[start[group[mine[i]]]]])
     return [node[i], node[o], place[i], place[o]]
 
