@@ -25,7 +25,7 @@ def test_batch_match(spark):
 
 @pytest.mark.parametrize("most", [10**6, 1])
 def test_ties_by_the_list(spark, monkeypatch, most):
-    monkeypatch.setattr(M, "MOST_NAMES", most)
+    monkeypatch.setattr(M, "MOST_BYTES", most)
     monkeypatch.setattr(M, "BLOCK", 1)
     q = spark.createDataFrame([("abc1",)], "q string")
     b = spark.createDataFrame([("abc2", 10), ("abc3", 9)], "b string, place int")

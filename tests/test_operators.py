@@ -244,7 +244,7 @@ def test_best_match_ways_agree(spark, monkeypatch):
     want = {x: max(b, key=lambda y: (S.wratio(x, y), [-ord(c) for c in y])) for x in q}
     best = {x: max(S.wratio(x, y) for y in b) for x in q}
     for most in (10**6, 1):
-        monkeypatch.setattr(M, "MOST_NAMES", most)
+        monkeypatch.setattr(M, "MOST_BYTES", most)
         monkeypatch.setattr(M, "BLOCK", 7)
         got = {r["q"]: (r["b"], r["score"]) for r in M.best_match(qs, "q", bs, "b", "wratio", 0.0).collect()}
         assert {k: v[1] for k, v in got.items()} == best
