@@ -31,8 +31,8 @@ from .pieces import L, char_classes
 
 SYMBOLS = 64
 #: The best regression value below which a text is in none of the languages; for a text of fewer than SHORT different n-grams
-#: the greatest kernel value with any landmark, below which it is in none.
-LEAST_VALUE, SHORT, LEAST = -0.12, 40, 0.1
+#: the greatest kernel value with any landmark, below which it is in none.  ALIKE: the kernel value of texts that mix languages.
+LEAST_VALUE, SHORT, LEAST, ALIKE = -0.12, 40, 0.1, 0.25
 
 
 def symbol_table() -> np.ndarray:
@@ -189,8 +189,9 @@ def accept(docs: DataFrame, model: KernelModel | None, least: float = LEAST_VALU
     """The rows of a table that are in one of the model's languages, with all their columns.
 
     A text without a letter goes, and one whose regression value stays below `least`
-    for every language: 1 is what a language's own texts are fitted to, -1 what the
-    rest is.  A text of fewer than SHORT different n-grams says too little for that;
+    for every language (1 is what a language's own texts are fitted to, -1 what the
+    rest is), unless its kernel value with a landmark is ALIKE or more, as with texts
+    that mix the languages.  A text of fewer than SHORT different n-grams says too little for that;
     it goes if its kernel value with every landmark is below LEAST.  Without a model
     (no row has a label) lettered rows stay.  Nulls count as texts without a letter;
     very long texts are read whole; equal rows go or stay together.
@@ -213,7 +214,8 @@ def accept(docs: DataFrame, model: KernelModel | None, least: float = LEAST_VALU
                 elif len(some):
                     kernel = m.kernel([codes[i] for i in some])
                     short = np.array([len(codes[i]) < SHORT for i in some])
-                    keep[at + some] = np.where(short, kernel.max(1) >= LEAST, m.of_kernel(kernel).max(1) >= least)
+                    like = kernel.max(1)
+                    keep[at + some] = np.where(short, like >= LEAST, (m.of_kernel(kernel).max(1) >= least) | (like >= ALIKE))
             yield b.filter(pa.array(keep))
 
     return docs.mapInArrow(lean(run), docs.schema)
