@@ -34,7 +34,7 @@ def best_match(queries: DataFrame, query: str, brands: DataFrame, brand: str, sc
     schema = f"`{query}` string, `{brand}` string, score double, _p double"
 
     def best(q: list[str], b: list[tuple[float, str]], index: NameIndex) -> pd.DataFrame:
-        found = [(x, index.best(x)) for x in q]
+        found = zip(q, index.best_of_each(q), strict=True)
         rows = [(x, b[top[1]][1], float(top[0]), b[top[1]][0]) for x, top in found if top]
         return pd.DataFrame(rows, columns=[query, brand, "score", "_p"])
 
@@ -47,7 +47,9 @@ def best_match(queries: DataFrame, query: str, brands: DataFrame, brand: str, sc
             for part in batches:
                 yield best(part[query].tolist(), shared.value, index)
 
-        found = asked.mapInPandas(run, schema)
+        # A few small rows make much work, so they are dealt to all tasks instead of being put together by size.
+        tasks = max(queries.sparkSession.sparkContext.defaultParallelism, int(queries.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+        found = asked.repartition(tasks, query).mapInPandas(run, schema)
     else:
         # Blocks of texts meet blocks of names; both are of bounded size, whichever side is the larger.
         across, down = -(-n // BLOCK), max(1, -(-asked.count() // BLOCK))

@@ -6,6 +6,9 @@ out as sums over postings; they bound the longest common subsequence, and so, wi
 lengths and numbers of words, each of the scores.  The best name is searched in
 the order of the bounds until no bound reaches the best score so far: the result is
 that of scoring every name, ties included.
+
+Where names are much alike, as numbered ones are, the bounds leave nearly all of
+them.  The plain ratio therefore goes through all names side by side (NameTree).
 """
 
 from __future__ import annotations
@@ -18,6 +21,8 @@ from ..functions import similarity as S
 
 #: Names scored before the first look at the bounds of the rest; what rounding may add to a score.
 FIRST, ROUNDING = 8, 1e-9
+#: Longest text that NameTree takes, and pairs that it holds at once, about.
+WORD, PAIRS = 64, 1 << 16
 
 
 class Shape:
@@ -49,6 +54,49 @@ def _partial(common: np.ndarray, a, b) -> np.ndarray:
     return np.where(short > 0, 200.0 * common / np.maximum(short + common, 1), np.where(np.maximum(a, b) > 0, 0.0, 100.0))
 
 
+class NameTree:
+    """Names by their beginnings, so that what they have in common is compared with a text once.
+
+    The longest common subsequence is found by bits over the text, as in
+    similarity.lcs, for many texts and all beginnings of one length at a time.
+    """
+
+    def __init__(self, names: list[str]):
+        self.n = len(names)
+        self.length = np.array([len(y) for y in names], np.int64)
+        self.place = {c: i for i, c in enumerate(sorted(set().union(*names)), 1)}  # 0: past the end
+        order = sorted(range(self.n), key=names.__getitem__)
+        self.leaf = np.empty(self.n, np.int64)  # by name: its place in order
+        self.leaf[order] = np.arange(self.n)
+        self.levels: list[tuple[np.ndarray, np.ndarray]] = []  # the beginning without the last letter, and that letter
+        new, node = np.zeros(self.n, bool), np.zeros(self.n, np.int32)
+        new[:1] = True
+        for k in range(int(self.length.max(initial=0))):
+            letter = np.array([self.place[names[i][k]] if k < len(names[i]) else 0 for i in order], np.int32)
+            new[1:] |= letter[1:] != letter[:-1]
+            self.levels.append((node[new], letter[new]))
+            node = (np.cumsum(new) - 1).astype(np.int32)
+        self.last = node
+
+    def ratios(self, texts: list[str]) -> np.ndarray:
+        """The ratio of each text, of WORD letters at most, with each name."""
+        masks = np.zeros((len(texts), len(self.place) + 1), np.uint64)
+        for i, t in enumerate(texts):
+            for k, c in enumerate(t):
+                if c in self.place:
+                    masks[i, self.place[c]] |= np.uint64(1 << k)
+        v = np.full((len(texts), 1), np.iinfo(np.uint64).max, np.uint64)
+        for parent, letter in self.levels:
+            v = v.take(parent, axis=1)
+            u = v & masks.take(letter, axis=1)
+            v = (v + u) | (v - u)
+        length = np.array([len(t) for t in texts], np.int64)[:, None]
+        full = np.array([[(1 << len(t)) - 1] for t in texts], np.uint64)
+        common = length - np.bitwise_count(v & full).take(self.last, axis=1).take(self.leaf, axis=1)
+        both = length + self.length
+        return np.where(both > 0, 200.0 * common / np.maximum(both, 1), 100.0)
+
+
 class NameIndex:
     """Names in the order in which ties are decided, for one scorer."""
 
@@ -68,6 +116,7 @@ class NameIndex:
         self.words = {w: np.array(p, np.int64) for w, p in words.items()}
         self.starts = [np.array([t[k : k + 1] for t in texts], "U1") for k in range(4)]
         self.scored = 0
+        self.tree: NameTree | None = None
 
     def _plain(self, text: str) -> str:
         return S.smart_form(text) if self.scorer == "smart_score" else text
@@ -149,3 +198,18 @@ class NameIndex:
         look(np.argpartition(-bound, k - 1)[:k])
         look(np.flatnonzero((bound >= best[0]) & ~seen))
         return best[0], -best[1]
+
+    def best_of_each(self, texts: list[str]) -> list[tuple[float, int] | None]:
+        """`best` of many texts."""
+        if self.scorer != "ratio" or not self.names:
+            return [self.best(x) for x in texts]
+        self.tree = self.tree or NameTree(self.names)
+        short = [i for i, x in enumerate(texts) if len(x) <= WORD]
+        found: dict[int, tuple[float, int]] = {}
+        step = max(1, PAIRS // len(self.names))
+        for at in range(0, len(short), step):
+            part = short[at : at + step]
+            scores = self.tree.ratios([texts[i] for i in part])
+            top = scores.argmax(1)  # the first of equal ones
+            found |= {i: (float(row[k]), int(k)) for i, row, k in zip(part, scores, top, strict=True)}
+        return [found[i] if i in found else self.best(x) for i, x in enumerate(texts)]

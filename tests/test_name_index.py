@@ -60,3 +60,17 @@ def test_blocks_give_the_same_as_one_list(spark, monkeypatch):
     monkeypatch.setattr(M, "BLOCK", 17)
     assert sorted(map(tuple, M.best_match(q, "q", b, "brand", "wratio", 80.0).collect()), key=str) == one
     assert M.best_match(q, "q", b.limit(0), "brand", "wratio", 80.0).count() == 0
+
+
+def test_names_that_bounds_leave_are_scored_side_by_side(monkeypatch):
+    """Numbered names are nearly all within each other's bounds; scored one by one they took minutes."""
+    rng = random.Random(7)
+    listed = sorted(f"supplier#{i * 7:09} {rng.choice(ADJECTIVES)}" for i in range(300)) + ODD
+    asked = [f"customer#{rng.randrange(10**6):09} {rng.choice(NOUNS)}" for _ in range(40)] + ODD + ["y" * 63 + "ß", "supplier#" * 9, listed[9]]
+    index = NameIndex(listed, "ratio")
+    got = index.best_of_each(asked)
+    assert index.scored <= len(listed)  # the one text of more than 64 letters
+    for q, found in zip(asked, got, strict=True):
+        scores = [S.ratio(q, y) for y in listed]
+        assert found == (max(scores), scores.index(max(scores))), q
+    assert NameIndex([], "ratio").best_of_each(["a"]) == [None] and NameIndex([""], "ratio").best_of_each(["", "a"]) == [(100.0, 0), (0.0, 0)]
