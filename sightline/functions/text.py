@@ -102,9 +102,9 @@ def after_last(c: Column, mark: str) -> Column:
     return F.regexp_replace(F.element_at(F.split(c, mark), -1), r"^\s+|\s+$", "")
 
 
-def after_first(c: Column, mark: str) -> Column:
-    """What lies between the first and the second `mark`, trimmed; null without one."""
-    return F.regexp_replace(F.get(F.split(c, mark), F.lit(1)), r"^\s+|\s+$", "")
+def after_first(c: Column, mark: str, blank: str = r"\s") -> Column:
+    """What lies between the first and the second `mark`, without the `blank` characters around it; null without one."""
+    return F.regexp_replace(F.get(F.split(c, mark), F.lit(1)), rf"^{blank}+|{blank}+\z", "")
 
 
 def header_line(c: Column, header: str) -> Column:

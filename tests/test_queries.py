@@ -49,3 +49,22 @@ def test_entry(spark):
 
     assert e.entry(spark).count() == 1
     assert set(e.oracle_sql()) <= set(e.queries())
+
+
+def same_as_sql(spark, folder, name, **tables):
+    """A query against its SQL on tables of its own."""
+    c = duckdb.connect()
+    for t, df in tables.items():
+        df.coalesce(1).write.parquet(f"{folder}/{t}.parquet")
+        c.execute(f"create view {t} as select * from read_parquet('{folder}/{t}.parquet/*.parquet')")
+    df, r = QUERIES[name](spark, str(folder)), c.sql(SQL[name])
+    cols = sorted(df.columns)
+    want = sorted(tuple(plain(dict(zip(r.columns, row, strict=True))[c]) for c in cols) for row in r.fetchall())
+    assert sorted(tuple(plain(row[c]) for c in cols) for row in df.collect()) == want
+    return want
+
+
+def test_only_blanks_are_trimmed_as_in_sql(spark, tmp_path):
+    texts = ["a the b.\n", "the\t\n x \n\nthe", "the  \u00a0x\u3000 ", "the", "no", "", None, " the \r\n the"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    assert len(same_as_sql(spark, tmp_path, "answer_parts", documents=docs)) == len(texts)
