@@ -73,9 +73,10 @@ def keyframes(peak: DataFrame, key: list[str]) -> DataFrame:
     return peak.select(*key, "pos", F.floor((F.col("pos") + F.lag("pos", 1, 0).over(w)) / 2).cast("int").alias("keyframe"))
 
 
-def brand_intervals(detections: DataFrame, keys: list[str], limit: int | None = None) -> DataFrame:
+def brand_intervals(detections: DataFrame, keys: list[str], limit: int | None = None, place: Column | None = None) -> DataFrame:
     """One row per key of named detections (brand, frame, time, source, tie): first and last by frame, and the sources in order of appearance.
 
+    place: what first and last go by instead of frame and tie, of equal ones the smallest tie; rows without a place are neither.
     A source is written again whenever it differs from the whole list so far; a
     missing one is `unknown`.  Slices of a key are summed up by themselves (the
     runs they begin with, and all their sources as text) and then put together, so
@@ -85,10 +86,11 @@ def brand_intervals(detections: DataFrame, keys: list[str], limit: int | None =
     # Once the list is longer than any source it equals none, and what follows is only written down.  Two runs
     # lengthen it by a letter at least, so no more runs than this have to be looked at one by one.
     longest = rows.agg(F.coalesce(F.max(F.length("source")), F.lit(0))).first()[0]
-    at = F.struct("frame", "tie")
+    at = F.struct("frame", "tie") if place is None else place
+    end = lambda tie: F.when(at.isNotNull() & F.col("time").isNotNull(), F.struct(at.alias("at"), tie.alias("tie"), "time"))
     rows, _ = with_slices(rows, keys, F.col("frame"), limit=limit)
     first_runs, put_together = F.pandas_udf(_first_runs, "array<struct<name: string, n: bigint>>"), F.pandas_udf(_put_together, "string")
-    part = rows.groupBy(*keys, "_slice").agg(F.min(F.struct(at, "time")).alias("a"), F.max(F.struct(at, "time")).alias("b"), F.count("*").alias("n"), F.sort_array(F.collect_list(F.struct("frame", "tie", "source"))).alias("s"))
+    part = rows.groupBy(*keys, "_slice").agg(F.min(end(F.col("tie"))).alias("a"), F.max(end(-F.col("tie"))).alias("b"), F.count("*").alias("n"), F.sort_array(F.collect_list(F.struct("frame", "tie", "source"))).alias("s"))
     names = part.select(*keys, "_slice", "a", "b", "n", F.transform("s", lambda x: x["source"]).alias("s"))
     heads = names.select(*keys, "_slice", "a", "b", "n", first_runs(F.col("s"), F.lit(longest + 2)).alias("runs"), F.array_join("s", SEPARATOR).alias("all"))
     out = heads.groupBy(*keys).agg(F.min("a").alias("a"), F.max("b").alias("b"), F.sum("n").alias("n"), F.sort_array(F.collect_list(F.struct("_slice", "runs", "all"))).alias("p"))

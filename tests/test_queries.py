@@ -68,3 +68,15 @@ def test_only_blanks_are_trimmed_as_in_sql(spark, tmp_path):
     texts = ["a the b.\n", "the\t\n x \n\nthe", "the  \u00a0x\u3000 ", "the", "no", "", None, " the \r\n the"]
     docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
     assert len(same_as_sql(spark, tmp_path, "answer_parts", documents=docs)) == len(texts)
+
+
+@pytest.mark.parametrize("name", ["brand_interval_bounds", "brand_intervals"])
+def test_ends_of_intervals_with_ties_beyond_a_million(spark, tmp_path, name):
+    """Places are frame * 1000000 + tie in SQL, so event 2,500,000 of frame 10 comes after event 5 of frame 11."""
+    rows = [(2_500_000, 1.0), (5, 1.1), (7, 0.7), (5_900_001, 0.5), (3_000_000, 0.6), (9, None)]
+    events = spark.createDataFrame([(i, 50, "view", v) for i, v in rows] + [(11, 51, "error", 2.0), (12, 51, "click", None)], "event_id long, user_id long, event_type string, value double")
+    events = events.selectExpr("*", "timestamp'2024-01-01 00:00:00' as ts", "'{}' as props")
+    if name == "brand_intervals":  # where rows without a frame come among the sources is open
+        events = events.where("value is not null")
+    want = same_as_sql(spark, tmp_path, name, events=events)
+    assert any("0.7" in row and "1.0" in row for row in want)
