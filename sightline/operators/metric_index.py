@@ -8,6 +8,11 @@ visits the blocks whose lower bound (ring distance, or half the difference of th
 distances to both pivots) is within the radius, and no others.  Gallery rows are
 sent once for each helping of visitors that their block has.
 
+On vectors without clusters the triangle inequality rules hardly anything out, and
+queries would be sent to nearly every block.  A sample of the queries tells so
+beforehand: then whole packs of queries meet whole packs of rows (packs.py), which
+are kept once and never dealt by pairs.
+
 To the driver come the pivots and one row for each pivot and ring width; both are
 bounded by parameters here, not by the data.
 """
@@ -22,6 +27,11 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from . import packs
+
+#: Bytes of queries that may be sent to blocks whatever they come to, and how many times each may be sent beyond that;
+#: queries of the sample that tells.
+SPARE, VISITS, SAMPLE = 256 << 20, 4, 256
 #: Pivots at most, widths of the rings of a cell, and what rounding may take from a lower bound.
 MOST_PIVOTS, WIDTHS, ROUNDING = 512, 256, 1e-6
 KEPT = "block int, vec_id long, embedding array<double>"
@@ -183,7 +193,7 @@ def _meet(q: pd.DataFrame, g: pd.DataFrame, k: int, nearest, leave_out_self: boo
 
 
 def search(queries: DataFrame, gallery: DataFrame, rows: int, k: int, block: int, nearest, leave_out_self: bool = False) -> tuple[DataFrame, dict]:
-    """query_id, vec_id and d2 of at least the k nearest rows of each query; and how many of all (query, block) pairs were visited.
+    """query_id, vec_id and d2 of at least the k nearest rows of each query; and how many of all (query, block) pairs were visited (all of them by packs).
 
     queries(query_id, embedding) and gallery(vec_id, embedding) of doubles; rows:
     the gallery's.  nearest: the search within a block.  A query_id that occurs
@@ -191,6 +201,9 @@ def search(queries: DataFrame, gallery: DataFrame, rows: int, k: int, block: int
     """
     spark: SparkSession = gallery.sparkSession
     made = layout(gallery, rows, block)
+    n, wide = queries.count(), made.pivots.shape[1]
+    if _visits(queries, n, gallery, made, k, leave_out_self) * n * wide * 8 > max(SPARE, VISITS * n * wide * 8):
+        return packs.nearest(queries, n, gallery, rows, wide, k, 2 * block, leave_out_self), {"visited": n * len(made.cell), "blocks": len(made.cell)}
     plan = spark.sparkContext.broadcast(made)
     asked = with_radius(queries, gallery, plan, k, nearest, leave_out_self)
     counts = {r["block"]: r["n"] for r in _ask(asked, plan, k, False).groupBy("block").agg(F.count("*").alias("n")).collect()}  # a row a block
@@ -203,6 +216,33 @@ def search(queries: DataFrame, gallery: DataFrame, rows: int, k: int, block: int
     return both.applyInPandas(meet, HITS), {"visited": sum(counts.values()), "blocks": len(made.cell)}
 
 
+def _visits(queries: DataFrame, n: int, gallery: DataFrame, made: Layout, k: int, leave_out_self: bool) -> float:
+    """How many blocks a query has to look into at least, on the average of a sample."""
+    limit = -(2**63) + 2**64 * min(n, 2 * SAMPLE) // max(n, 1)
+    drawn = queries.where(F.xxhash64("query_id") <= min(limit, 2**63 - 1)).limit(SAMPLE).collect()
+    if not drawn:
+        return 0.0
+    ids, vectors = np.array([r["query_id"] for r in drawn]), matrix(r["embedding"] for r in drawn)
+    shared = gallery.sparkSession.sparkContext.broadcast((ids, vectors))
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        asked, v = shared.value
+        best = np.full((len(asked), k), np.inf)
+        for b in batches:
+            for at in range(0, len(b), 4096):
+                part = b.iloc[at : at + 4096]
+                d2 = squared(v, matrix(part["embedding"]))
+                if leave_out_self:
+                    d2[asked[:, None] == part["vec_id"].to_numpy()[None, :]] = np.inf
+                best = np.partition(np.hstack([best, d2]), k - 1, axis=1)[:, :k]
+        yield pd.DataFrame({"best": [best.tobytes()]})
+
+    found = [np.frombuffer(r["best"]).reshape(len(drawn), k) for r in gallery.mapInPandas(run, "best binary").collect()]  # a row a task
+    radius = np.sqrt(np.sort(np.hstack(found), axis=1)[:, k - 1])
+    low, _ = made.lower(vectors)
+    return float((low <= radius[:, None]).sum(1).mean())
+
+
 def earliest_within(queries: DataFrame, gallery: DataFrame, rows: int, near, block: int) -> DataFrame:
     """query_id and vec_id: of each query the smallest smaller id among the gallery rows that `near` accepts, if there is one.
 

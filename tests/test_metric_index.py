@@ -87,3 +87,31 @@ def test_insertion_in_order(spark, monkeypatch, size):
     got = V.skip_near(rows.where("vec_id >= 40 or vec_id is null"), rows.where("vec_id < 40"), limit, within=True)
     assert sorted(r["vec_id"] for r in got.where("embedding is not null").collect()) == kept and 3 < len(kept) < 220
     assert V.insert_in_order(rows.limit(0), limit).count() == 0
+
+
+@pytest.mark.parametrize("kind", ["unclustered", "equal", "clustered", "double"])
+@pytest.mark.parametrize("own", [True, False])
+def test_packs_are_exact_and_send_no_queries_to_blocks(spark, monkeypatch, kind, own):
+    """Where blocks cannot be ruled out, no row for each query and block is made; equal vectors go by id."""
+    x = data(kind, 700, 9).astype(np.float64)
+    x = x + 1e-9 * np.arange(9) if kind == "double" else x  # not in single precision
+    x[5] = x[600]
+    g = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>").repartition(5)
+    q = g.where("vec_id % 3 = 0").withColumnRenamed("vec_id", "query_id")
+    monkeypatch.setattr(M, "SPARE", 0)
+    monkeypatch.setattr(M, "VISITS", 0)
+    monkeypatch.setattr(M.packs, "HELD", 8_000)
+    monkeypatch.setattr(M, "_ask", None)
+    monkeypatch.setattr(V, "BROADCAST_BYTES", 10)
+    monkeypatch.setattr(V, "BLOCK", 40)
+    got: dict = {}
+    for r in V.knn(q, g, 4, own).collect():
+        got.setdefault(r["query_id"], []).append((r["rank"], r["vec_id"], r["d2"]))
+    d2 = ((x[:, None, :] - x[None, :, :]) ** 2).sum(2)
+    if own:
+        np.fill_diagonal(d2, np.inf)
+    for i in range(0, 700, 3):
+        want = np.lexsort((np.arange(700), d2[i]))[:4]
+        assert [v for _, v, _ in sorted(got[i])] == want.tolist()
+        assert np.allclose([d for *_, d in sorted(got[i])], d2[i][want], atol=1e-15)
+    assert set(got) == set(range(0, 700, 3))
