@@ -153,27 +153,85 @@ def _kept(df: DataFrame) -> DataFrame:
 def insert_in_order(new: DataFrame, limit: float) -> DataFrame:
     """Rows of new(vec_id, embedding, ...) that are added if each is left out when one added before it is at least as similar as `limit`.
 
-    In rounds: a row that no undecided row before it is near is added; undecided
-    rows near an added one are left out.  What a round needs of a row is the first
-    near row before it, so no pairs are made, however many copies there are.  The
-    number of rounds is the length of the longest chain of rows, each left out or
-    added because of the one before.  Rows with a null id or embedding are left out.
+    In steps: the first undecided rows are gone through in order by one task, BLOCK of
+    them and then up to 16 times as many; then all later rows that are near an added one
+    are left out, wherever they lie.  So rows are compared with added rows only, and the
+    fewer remain, the more rows have near ones.  Rows with a null id or embedding are left out.
     """
-    rows = _kept(new.where("vec_id is not null and embedding is not null").select("vec_id", F.col("embedding").cast("array<double>").alias("embedding")))
+    left = _kept(new.where("vec_id is not null and embedding is not null").select("vec_id", F.col("embedding").cast("array<double>").alias("embedding")))
     radius = 2.0 * np.sqrt(max(0.0, 1.0 - limit)) + 1e-6
     test = lambda d2: 1.0 - d2 / 4.0 >= limit
-    added, left = [], rows
-    while n := left.count():
-        first = _kept(left.join(_earliest_near(left, left, n, radius, test), "vec_id", "left"))
-        in_ = first.where("before is null").select("vec_id", "embedding")
+    n, bytes_ = left.agg(F.count("*"), F.coalesce(F.sum(F.size("embedding") * 8), F.lit(0))).first()
+    most = max(BLOCK, min(16 * BLOCK, BROADCAST_BYTES // max(1, bytes_ // max(1, n))))
+    added, size = [], BLOCK
+    while n:
+        # Wherever the cut lies the result is the same; equal ids are not parted.
+        cut = left.agg(F.percentile_approx("vec_id", size / n, 10_000)).first()[0] if n > size else None
+        head = left if cut is None else left.where(F.col("vec_id") <= cut)
+        in_ = _kept(head.coalesce(1).mapInPandas(_in_order(test), "vec_id long, embedding array<double>"))
         added.append(in_.select("vec_id"))
-        rest = first.where("before is not null").select("vec_id", "embedding")
-        out = _earliest_near(rest, in_, in_.count(), radius, test).where("before is not null")
-        left = _kept(rest.join(out, "vec_id", "left_anti"))
-    ids = reduce(DataFrame.unionByName, added) if added else rows.select("vec_id")
+        if cut is None:
+            break
+        left = _kept(_without_near(left.where(F.col("vec_id") > cut), in_, radius, test))
+        n, size = left.count(), min(2 * size, most)
+    ids = reduce(DataFrame.unionByName, added) if added else left.select("vec_id")
     return new.join(ids, "vec_id", "left_semi")
 
 
+def _in_order(test):
+    """Of the rows in one task, those that are added one after the other."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held = [b for b in batches if len(b)]
+        if not held:
+            return
+        ids = np.concatenate([b["vec_id"].to_numpy() for b in held])
+        v = np.concatenate([M.matrix(b["embedding"]) for b in held])
+        order = np.argsort(ids, kind="stable")
+        ids, v = ids[order], v[order]
+        kept, n = np.zeros(len(ids), np.int64), 0  # places of added rows
+        for at in range(0, len(ids), 512):
+            part = np.arange(at, min(at + 512, len(ids)))
+            for k in range(0, n, 8192):
+                own = kept[k : min(k + 8192, n)]
+                part = part[~(test(M.squared(v[part], v[own])) & (ids[own][None, :] < ids[part][:, None])).any(1)]
+            near = test(M.squared(v[part], v[part])) & (ids[part][None, :] < ids[part][:, None])
+            in_ = np.zeros(len(part), bool)
+            for i in range(len(part)):
+                in_[i] = not (near[i] & in_).any()
+            kept[n : n + in_.sum()] = part[in_]
+            n += in_.sum()
+        for at in range(0, n, 1000):
+            own = kept[at : min(at + 1000, n)]
+            yield pd.DataFrame({"vec_id": ids[own], "embedding": list(v[own])})
+
+    return run
+
+
+def _without_near(queries: DataFrame, rows: DataFrame, radius: float, test) -> DataFrame:
+    """Queries (vec_id, embedding) that no row before them is near."""
+    n, bytes_ = rows.agg(F.count("*"), F.coalesce(F.sum(F.size("embedding") * 8), F.lit(0))).first()
+    if bytes_ > BROADCAST_BYTES:
+        return queries.join(_earliest_near(queries, rows, n, radius, test), "vec_id", "left_anti")
+    held = rows.collect()  # checked above
+    if not held:
+        return queries
+    shared = rows.sparkSession.sparkContext.broadcast((np.array([r["vec_id"] for r in held]), M.matrix(r["embedding"] for r in held)))
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        ids, g = shared.value
+        for b in batches:
+            for at in range(0, len(b), 512):
+                part = b.iloc[at : at + 512]
+                for k in range(0, len(ids), 8192):
+                    if len(part):
+                        near = test(M.squared(M.matrix(part["embedding"]), g[k : k + 8192])) & (ids[None, k : k + 8192] < part["vec_id"].to_numpy()[:, None])
+                        part = part[~near.any(1)]
+                yield part
+
+    return queries.mapInPandas(run, "vec_id long, embedding array<double>")
+
+
 def _earliest_near(queries: DataFrame, rows: DataFrame, n: int, radius: float, test) -> DataFrame:
     """vec_id of queries that have a near row before them, and the first such row as `before`."""
     q = queries.withColumnRenamed("vec_id", "query_id")

@@ -115,3 +115,16 @@ def test_packs_are_exact_and_send_no_queries_to_blocks(spark, monkeypatch, kind,
         assert [v for _, v, _ in sorted(got[i])] == want.tolist()
         assert np.allclose([d for *_, d in sorted(got[i])], d2[i][want], atol=1e-15)
     assert set(got) == set(range(0, 700, 3))
+
+
+def test_insertion_takes_few_steps_whatever_the_chains(spark, monkeypatch):
+    """Every row is near the next one only: rounds over undecided rows would go through the chain link by link."""
+    monkeypatch.setattr(V, "BLOCK", 40)
+    seen: list[int] = []
+    without = V._without_near
+    monkeypatch.setattr(V, "_without_near", lambda q, rows, radius, test: (seen.append(rows.count()), without(q, rows, radius, test))[1])
+    turn = [i * 0.01 for i in range(400)]
+    rows = spark.createDataFrame([(i, [float(np.cos(t)), float(np.sin(t))]) for i, t in enumerate(turn)], "vec_id long, embedding array<double>").repartition(3)
+    limit = float(1 - (2 * np.sin(0.0055)) ** 2 / 4)
+    assert sorted(r["vec_id"] for r in V.insert_in_order(rows, limit).collect()) == list(range(0, 400, 2))
+    assert 2 <= len(seen) <= 5 and sum(seen) <= 200
